@@ -158,10 +158,11 @@ def model_contract(
     history = demand.join(bounds, "restaurant_id").where(
         F.col("business_date").between(F.col("train_start"), F.col("train_end"))
     )
+    # Both sides may stem from one table; fresh column identities keep the pairing unambiguous.
+    past_side = history.select(*[F.col(c).alias(c) for c in [*CELL, "demand"]])
     return (
-        history.select(*KEY, "fold", "demand")
-        .groupBy(*group)
-        .cogroup(targets.select(*CELL).groupBy(*group))
+        past_side.groupBy(*group)
+        .cogroup(targets.select(*[F.col(c).alias(c) for c in CELL]).groupBy(*group))
         .applyInPandas(run, schema)
         .withColumn("model", F.lit(name))
     )

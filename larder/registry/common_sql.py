@@ -439,13 +439,21 @@ UNION ALL
 SELECT {KEYS}, fold, train_end, test_start, test_end, actual, 'quantile_newsvendor', prep
 FROM end_cells JOIN batch_prep USING ({KEYS}, fold)
 """)
-VIEWS["batch_prep"] = f"""
-SELECT c.restaurant_id, c.business_date, c.item_id, c.service_period, c.fold,
-       arg_min(x, abs(quantile - cu / (co + cu))) AS prep
+VIEWS["batch_quantiles"] = f"""
+SELECT c.restaurant_id, c.business_date, c.item_id, c.service_period, c.fold, quantile, greatest(x, 0) AS forecast, cu / (co + cu) AS r
 FROM end_cells c JOIN (
   SELECT {SERIES}, fold, dow, quantile, {interp("ys", "quantile")} AS x FROM end_samples JOIN batch_levels USING (restaurant_id)
 ) q USING ({SERIES}, fold) JOIN item_economics e USING (restaurant_id, item_id)
-WHERE dow = isodow(c.business_date) AND prep_type = 'batch' GROUP BY ALL
+WHERE dow = isodow(c.business_date) AND prep_type = 'batch'
+"""
+VIEWS["batch_prep"] = f"""
+SELECT {KEYS}, fold, CASE WHEN above.q = below.q THEN below.x
+    ELSE below.x + (above.x - below.x) * (r - below.q) / (above.q - below.q) END AS prep
+FROM (
+  SELECT {KEYS}, fold, any_value(r) AS r, max({{q: quantile, x: forecast}}) FILTER (quantile <= r) AS below,
+    min({{q: quantile, x: forecast}}) FILTER (quantile >= r) AS above
+  FROM batch_quantiles GROUP BY {KEYS}, fold
+) b
 """
 VIEWS["newsvendor_scores"] = _scores("newsvendor_scored")
 
@@ -581,7 +589,7 @@ SELECT restaurant_id, event_date, ['low', 'medium', 'high'][n % 4] AS band FROM
 
 
 def _expand(text: str) -> str:
-    return re.sub(r"«([^»]*)»", r"(round(\1, 6) + 0::DOUBLE)", text)
+    return re.sub(r"«([^»]*)»", r"(round_even(round_even((\1) * 1e9, 0) / 1e9 * 1e6, 0) / 1e6 + 0::DOUBLE)", text)
 
 
 def _mentioned(text: str, skip: str = "") -> list[str]:

@@ -218,7 +218,7 @@ RAW_SALES = """raw AS (SELECT restaurant_id, seq, CASE WHEN seq % 109 = 0 THEN '
 
 def _messages(rules: list[tuple[str, str]]) -> str:
     parts = ", ".join(f"CASE WHEN {test} THEN '{text}' END" for test, text in rules)
-    return f"array_to_string(list_filter([{parts}], x -> x IS NOT NULL), '; ')"
+    return f"array_to_string(list_filter([{parts}], lambda x: x IS NOT NULL), '; ')"
 
 
 @query(

@@ -63,7 +63,8 @@ def compare(spark, con, run, sql: str, sf_dir: str) -> tuple[str, int]:
     a, b = _rows(df.columns, got), _rows(names, want)
     if a == b:
         return "", len(got)
-    only_a, only_b = [x for x in a if x not in set(b)][:3], [x for x in b if x not in set(a)][:3]
+    in_a, in_b = set(a), set(b)
+    only_a, only_b = sorted(in_a - in_b)[:3], sorted(in_b - in_a)[:3]
     return f"{len(a)} rows vs {len(b)}; {sorted(names)}\n   spark only {only_a}\n   sql only   {only_b}", len(got)
 
 
