@@ -7,47 +7,39 @@ from pyspark.sql import Column, functions as F
 NEGLIGIBLE_TAIL = 1e-9
 
 
-def _mass_up_to(cap: Column, log_p0: Column, log_step) -> Column:
-    """Struct of P(X <= cap) and log P(X = cap), summed by recurrence in logs.
-
-    ``log_step(k)`` is log P(X = k) - log P(X = k - 1). Logs keep large means from underflowing.
-    """
-    start = F.struct(F.exp(log_p0).alias("total"), log_p0.alias("log_p"))
-
-    def add(state: Column, k: Column) -> Column:
-        log_p = state["log_p"] + log_step(k.cast("double"))
-        return F.struct((state["total"] + F.exp(log_p)).alias("total"), log_p.alias("log_p"))
-
-    steps = F.when(cap >= 1, F.sequence(F.lit(1), cap.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, add)
-
-
 def tail_mean(mean: Column, variance: Column, cap: Column) -> Column:
     """E[D | D > cap]: negative binomial when variance exceeds mean, else Poisson.
 
-    Both families satisfy E[D; D > c] = mean * P'(D >= c), where P' is the same Poisson, or the
-    negative binomial with one more success and the same success probability.
+    Both families have the ratio P(k) / P(k - 1) = (a + b (k - 1)) / k, so one pass over 1..cap sums
+    the probability and the mean up to the cap; what is left of both lies above it. The pass works
+    on logs, which keeps large means from underflowing.
     """
     mean, variance, cap = (c.cast("double") for c in (mean, variance, cap))
-    floor_cap = F.floor(cap)
-
-    pois = _mass_up_to(floor_cap, -mean, lambda k: F.ln(mean) - F.ln(k))
-    pois_above = 1.0 - pois["total"]
-    pois_mean = mean * (pois_above + F.exp(pois["log_p"])) / pois_above
-
-    size = mean * mean / (variance - mean)
-    log_p = F.ln(size / (size + mean))
-    log_q = F.ln(mean / (size + mean))
-    nb = _mass_up_to(floor_cap, size * log_p, lambda k: F.ln(k + size - 1.0) - F.ln(k) + log_q)
-    nb_above = 1.0 - nb["total"]
-    nb_next = _mass_up_to(floor_cap, (size + 1.0) * log_p, lambda k: F.ln(k + size) - F.ln(k) + log_q)
-    nb_mean = mean * (1.0 - nb_next["total"] + F.exp(nb_next["log_p"])) / nb_above
-
     overdispersed = variance > mean
-    return (
-        F.when(mean <= 0, cap)
-        .when(overdispersed & (nb_above < NEGLIGIBLE_TAIL), cap + 1.0)
-        .when(overdispersed, nb_mean)
-        .when(pois_above < NEGLIGIBLE_TAIL, cap + 1.0)
-        .otherwise(pois_mean)
+    size = mean * mean / (variance - mean)
+    ratio = mean / (size + mean)
+    log_p = F.when(overdispersed, size * F.ln(size / (size + mean))).otherwise(-mean)
+    start = F.struct(
+        log_p.alias("log_p"),
+        F.exp(log_p).alias("total"),
+        F.lit(0.0).alias("moment"),
+        F.when(overdispersed, size * ratio).otherwise(mean).alias("a"),
+        F.when(overdispersed, ratio).otherwise(0.0).alias("b"),
     )
+
+    def add(state: Column, k: Column) -> Column:
+        log_p = state["log_p"] + F.ln((state["a"] + state["b"] * (k - 1)) / k)
+        return F.struct(
+            log_p.alias("log_p"),
+            (state["total"] + F.exp(log_p)).alias("total"),
+            (state["moment"] + k * F.exp(log_p)).alias("moment"),
+            state["a"].alias("a"),
+            state["b"].alias("b"),
+        )
+
+    def above(state: Column) -> Column:
+        left = 1.0 - state["total"]
+        return F.when(left < NEGLIGIBLE_TAIL, cap + 1.0).otherwise((mean - state["moment"]) / left)
+
+    steps = F.when(cap >= 1, F.sequence(F.lit(1), F.floor(cap).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.when(mean <= 0, cap).otherwise(F.aggregate(steps, start, add, above))

@@ -68,31 +68,27 @@ def baseline_chef_gut(demand: DataFrame, targets: DataFrame, folds: DataFrame) -
     return long_forecasts(naive_forecasts(demand, targets, folds), ["chef_gut"])
 
 
-def _croston_rate(demands: Column, alpha: float, textbook: bool) -> Column:
-    """Smoothed demand size over smoothed interval of one date-ordered series.
+def _croston_rate(alpha: float, textbook: bool) -> Column:
+    """Smoothed demand size over smoothed interval, from the columns seen, hits and gaps.
 
     By default the interval is looked up by day position, not by occurrence number, as the engine
     this library has to agree with does; ``textbook`` pairs each occurrence with its own interval.
     """
-    days = F.filter(F.sequence(F.lit(0), F.size(demands) - 1), lambda i: F.get(demands, i) > 0)
-    gaps = F.transform(days, lambda day, i: day - F.when(i == 0, F.lit(0)).otherwise(F.get(days, i - 1)))
-    gaps = F.filter(gaps, lambda gap: gap > 0)
     start = F.struct(
-        F.get(demands, F.get(days, F.lit(0))).alias("size"), F.lit(1.0).alias("gap"), F.lit(0).alias("n")
+        F.get("seen", F.get("hits", F.lit(0))).alias("size"), F.lit(1.0).alias("gap"), F.lit(0).alias("n")
     )
 
     def smooth(state: Column, day: Column) -> Column:
         place = state["n"] if textbook else day
-        gap = F.coalesce(F.get(gaps, F.least(place, F.size(gaps) - 1)).cast("double"), F.lit(1.0))
+        gap = F.coalesce(F.get("gaps", F.least(place, F.size("gaps") - 1)).cast("double"), F.lit(1.0))
         return F.struct(
-            (alpha * F.get(demands, day) + (1 - alpha) * state["size"]).alias("size"),
+            (alpha * F.get("seen", day) + (1 - alpha) * state["size"]).alias("size"),
             (alpha * gap + (1 - alpha) * state["gap"]).alias("gap"),
             (state["n"] + 1).alias("n"),
         )
 
-    end = F.aggregate(days, start, smooth)
-    rate = F.greatest(end["size"] / F.greatest(end["gap"], F.lit(1.0)), F.lit(0.0))
-    return F.when(F.size(days) > 0, rate).otherwise(0.0)
+    end = F.aggregate("hits", start, smooth)
+    return F.when(F.size("hits") > 0, end["size"] / F.greatest(end["gap"], F.lit(1.0))).otherwise(0.0)
 
 
 def croston_rates(demand: DataFrame, folds: DataFrame, alpha: float = CROSTON_ALPHA, textbook: bool = False) -> DataFrame:
@@ -100,18 +96,17 @@ def croston_rates(demand: DataFrame, folds: DataFrame, alpha: float = CROSTON_AL
     sorted array of a series is bounded; it is built once and cut per fold."""
     point = F.struct("business_date", F.col("demand").cast("double").alias("demand"))
     whole = demand.groupBy(SERIES).agg(F.array_sort(F.collect_list(point)).alias("days"))
-    per_fold = whole.join(folds, "restaurant_id").withColumn(
-        "seen",
-        F.transform(
-            F.filter(
-                "days",
-                lambda d: (d["business_date"] >= F.col("train_start")) & (d["business_date"] <= F.col("train_end")),
-            ),
-            lambda d: d["demand"],
-        ),
+    in_train = lambda d: (d["business_date"] >= F.col("train_start")) & (d["business_date"] <= F.col("train_end"))
+    seen = F.transform(F.filter("days", in_train), lambda d: d["demand"])
+    hits = F.filter(F.transform("seen", lambda y, i: F.when(y > 0, i)), lambda i: i.isNotNull())
+    steps = F.transform("hits", lambda day, i: day - F.when(i == 0, F.lit(0)).otherwise(F.get("hits", i - 1)))
+    per_fold = (
+        whole.join(folds, "restaurant_id")
+        .withColumn("seen", seen)
+        .withColumn("hits", hits)
+        .withColumn("gaps", F.filter(steps, lambda gap: gap > 0))
     )
-    rate = F.when(F.size("seen") > 0, _croston_rate(F.col("seen"), alpha, textbook)).otherwise(0.0)
-    return per_fold.select(*SERIES, "fold", rate.alias("forecast"))
+    return per_fold.select(*SERIES, "fold", _croston_rate(alpha, textbook).alias("forecast"))
 
 
 def baseline_croston(

@@ -30,7 +30,7 @@ def bom_price_join(bom: DataFrame, latest: DataFrame) -> DataFrame:
     """Recipe lines with the ingredient's latest price and the as-used cost; null where either the
     price or the unit conversion is missing."""
     prices = latest.select(*INGREDIENT, "unit_price")
-    lines = salted_join(bom, prices, INGREDIENT, "left")
+    lines = salted_join(bom, prices, INGREDIENT, ["dish_id"], "left")
     return lines.withColumn("line_qty", line_quantity()).withColumn(
         "line_cost", F.col("line_qty") * F.col("unit_price")
     )
@@ -74,7 +74,7 @@ def plate_cost(
         "canonical_unit",
         "yield_factor",
     ).join(latest.select(*INGREDIENT, "unit_price"), INGREDIENT, "left")
-    lines = salted_join(keyed, known, INGREDIENT, "left").withColumn("line_qty", line_quantity())
+    lines = salted_join(keyed, known, INGREDIENT, ["dish_id"], "left").withColumn("line_qty", line_quantity())
     reason = (
         F.when(F.col("line_no").isNull(), F.lit("no recipe lines"))
         .when(F.col("ingredient_name").isNull(), F.concat(F.lit("unknown ingredient "), "ingredient_id"))
@@ -97,10 +97,11 @@ def plate_cost(
 
 
 def covers_by_dish(sales: DataFrame) -> DataFrame:
-    """Covers per normalized dish name, shown under the first spelling on record."""
-    first = F.struct("seq", "dish_name")
-    return sales.groupBy("restaurant_id", normalize_name(F.col("dish_name")).alias("dish_key")).agg(
-        F.sum("count").alias("covers"), F.min_by(strip(F.col("dish_name")), first).alias("display_name")
+    """Covers per normalized dish name, shown under the first spelling on record. Sums are taken
+    per raw spelling first, so each spelling is normalized once."""
+    spelled = sales.groupBy("restaurant_id", "dish_name").agg(F.sum("count").alias("covers"), F.min("seq").alias("seq"))
+    return spelled.groupBy("restaurant_id", normalize_name(F.col("dish_name")).alias("dish_key")).agg(
+        F.sum("covers").alias("covers"), F.min_by(strip(F.col("dish_name")), "seq").alias("display_name")
     )
 
 
@@ -181,7 +182,7 @@ def menu_grid(costed: DataFrame, covers: DataFrame) -> DataFrame:
         F.when(popular & rich, "Star").when(popular, "Plowhorse").when(rich, "Puzzle").otherwise("Dog")
     )
     return (
-        salted_join(rows, means, ["restaurant_id"])
+        salted_join(rows, means, ["restaurant_id"], ["dish_id"])
         .withColumns({"quadrant": quadrant, "food_cost_tier": food_cost_tier(F.round("food_cost_pct", 9))})
         .drop("mean_covers", "mean_margin", "dish_key")
     )
@@ -290,8 +291,12 @@ def data_summary(bom: DataFrame, sales: DataFrame, prices: DataFrame, food_cost:
 def upload_summary(bom: DataFrame, sales: DataFrame) -> DataFrame:
     """Counts for a staged recipe sheet and sales export; a dish counts as costable when both files
     name it."""
-    in_bom = bom.select("restaurant_id", normalize_name(F.col("dish_name")).alias("k"))
-    in_sales = sales.select("restaurant_id", normalize_name(F.col("dish_name")).alias("k"))
+    in_bom, in_sales = (
+        df.select("restaurant_id", "dish_name").distinct().select(
+            "restaurant_id", normalize_name(F.col("dish_name")).alias("k")
+        )
+        for df in (bom, sales)
+    )
     shared = in_bom.intersect(in_sales).groupBy("restaurant_id").agg(F.count("*").alias("costable_dish_count"))
     recipes = bom.groupBy("restaurant_id").agg(
         F.count_distinct("dish_name").alias("dish_count"), F.count("*").alias("recipe_line_count")
@@ -332,7 +337,7 @@ def affected_dishes(bom: DataFrame, prices: DataFrame, threshold: float = 0.10)
         F.sum("line_qty").alias("used_qty"), F.sum("line_cost").alias("used_cost")
     )
     moves = significant_moves(price_trend(prices), threshold)
-    rows = salted_join(usage, moves, INGREDIENT).join(totals, DISH)
+    rows = salted_join(usage, moves, INGREDIENT, ["dish_id"]).join(totals, DISH)
     others = F.col("latest_cost") - F.col("used_cost")
     priced = F.col("costed")
     return rows.withColumns(

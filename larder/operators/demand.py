@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.calendar import PERIODS, daypart, flag, log_hour
 from . import KEY
-from .joins import salted_join
 
 
 def void_flag() -> Column:
@@ -70,9 +69,12 @@ def _known_item(name: Column, item_id: Column) -> Column:
 
 
 def reconcile_names(rows: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Replace the drifting display name by the stable item id."""
+    """Replace the drifting display name by the stable item id.
+
+    ``rows`` are sums per name and day, so one name holds no more rows than there are days.
+    """
     names = aliases.select("restaurant_id", F.col("alias").alias("item_name"), "item_id").distinct()
-    joined = salted_join(rows, names, ["restaurant_id", "item_name"], "left")
+    joined = rows.join(names, ["restaurant_id", "item_name"], "left")
     return joined.withColumn("item_id", _known_item(F.col("item_name"), F.col("item_id")))
 
 
@@ -84,14 +86,16 @@ def daily_item_sales(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     """Portions per day, item and daypart; item id is null where the export had no name.
 
     Lines are summed per display name before the alias join, so the join and everything after it
-    sees at most one row per day, name and daypart, however busy a dish is.
+    sees at most one row per day, name and daypart, however busy a dish is. The result is
+    partitioned by day, which the grid needs too.
     """
     per_name = (
         with_daypart(lines)
         .groupBy("restaurant_id", "business_date", "item_name", "service_period")
         .agg(F.sum("qty").alias("qty"))
     )
-    return reconcile_names(per_name, aliases).groupBy(KEY).agg(F.sum("qty").alias("qty"))
+    per_day = reconcile_names(per_name, aliases).repartition("restaurant_id", "business_date")
+    return per_day.groupBy(KEY).agg(F.sum("qty").alias("qty"))
 
 
 def _menu(aliases: DataFrame) -> DataFrame:
@@ -144,7 +148,7 @@ def censored_keys(log: DataFrame, aliases: DataFrame) -> DataFrame:
     entries = log.select(
         "restaurant_id", "business_date", "item_name", daypart(log_hour(F.col("time_86d"))).alias("service_period")
     ).distinct()
-    return salted_join(entries, names, ["restaurant_id", "item_name"]).select(KEY).distinct()
+    return entries.join(names, ["restaurant_id", "item_name"]).select(KEY).distinct()
 
 
 def censor_tag(demand: DataFrame, log: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def _on_actual_days(windows: DataFrame, demand: DataFrame) -> DataFrame:
     day = F.col("business_date")
     train, test = day < F.col("from_day"), day.between(F.col("from_day"), F.col("to_day"))
     found = (
-        salted_join(days, windows, ["restaurant_id"])
+        days.join(windows, "restaurant_id")
         .where(day.between(F.col("first_day"), F.col("to_day")))
         .groupBy("restaurant_id", "slot")
         .agg(
@@ -83,8 +83,8 @@ def tail_folds(demand: DataFrame, n_folds: int = 4, test_weeks: int = 4) -> Data
 
 
 def with_folds(rows: DataFrame, folds: DataFrame) -> DataFrame:
-    """Rows repeated once per fold of their tenant; a tenant with most rows is salted."""
-    return salted_join(rows, folds, ["restaurant_id"])
+    """Rows repeated once per fold of their tenant; a tenant with most rows is spread by day."""
+    return salted_join(rows, folds, ["restaurant_id"], ["business_date"])
 
 
 def fold_range_join(rows: DataFrame, folds: DataFrame) -> DataFrame:

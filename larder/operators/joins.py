@@ -6,23 +6,38 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 SALTS = 16
+# Rows a table may have to be sent to every task: some tens of megabytes at a hundred bytes each.
+BROADCAST_ROWS = 200_000
 
 
 def salted_join(
     big: DataFrame,
     small: DataFrame,
     keys: Sequence[str],
+    salt_by: Sequence[str],
     how: str = "inner",
     salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join that spreads each key of ``big`` over ``salts`` tasks.
 
+    ``salt_by`` names columns of ``big`` that tell the rows of one key apart; only they are read
+    for the salt, and the same row always gets the same one, also when a lost task runs again.
     ``small`` must hold few rows per key; it is repeated once per salt. Works for inner, left,
     left_semi and left_anti joins. No broadcast is forced: Spark broadcasts ``small`` only when its
     own size check says it fits, and otherwise shuffles on the salted key.
     """
-    others = [c for c in big.columns if c not in keys]
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in (others or big.columns)]), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
     left = big.withColumn("_salt", salt)
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def dimension_join(big: DataFrame, dimension: DataFrame, keys: Sequence[str], salt_by: Sequence[str]) -> DataFrame:
+    """Inner join of raw lines with a stored dimension table.
+
+    The dimension is counted first, which reads file footers only. A small one is broadcast, so the
+    lines are not shuffled at all; beyond the bound the join is salted.
+    """
+    if dimension.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(dimension), list(keys))
+    return salted_join(big, dimension, keys, salt_by)

@@ -13,22 +13,24 @@ RETENTION_DAYS = 400
 def latest_price(prices: DataFrame) -> DataFrame:
     """Newest price per ingredient; of two on one day the one ingested later wins."""
     row = F.struct("ingredient_name", "unit_price", "observed_date")
-    return (
-        prices.groupBy(INGREDIENT)
-        .agg(F.max_by(row, F.struct("observed_date", "seq", "unit_price")).alias("last"))
-        .select(*INGREDIENT, "last.*")
-    )
+    newest = daily_price(prices).groupBy(INGREDIENT).agg(F.max_by(row, "observed_date").alias("last"))
+    return newest.select(*INGREDIENT, "last.*")
 
 
 def daily_price(prices: DataFrame) -> DataFrame:
     """Last price of every ingredient and day. Later steps work on this table, which holds at most
-    one row per ingredient and calendar day however many invoices there are."""
-    row = F.struct("ingredient_name", "unit_price")
-    return (
-        prices.groupBy(*INGREDIENT, "observed_date").agg(F.max_by(row, F.struct("seq", "unit_price")).alias("last")).select(
-            *INGREDIENT, "observed_date", "last.*"
-        )
+    one row per ingredient and calendar day however many invoices there are.
+
+    ``seq`` numbers a tenant's rows in ingest order. The first aggregation keeps only numbers in
+    its buffers, so it combines raw rows by hashing; the few spellings left per day are then
+    reduced to the last one.
+    """
+    spelled = prices.groupBy(*INGREDIENT, "ingredient_name", "observed_date").agg(
+        F.max("seq").alias("seq"), F.max_by("unit_price", "seq").alias("unit_price")
     )
+    row = F.struct("ingredient_name", "unit_price")
+    days = spelled.groupBy(*INGREDIENT, "observed_date").agg(F.max_by(row, "seq").alias("last"))
+    return days.select(*INGREDIENT, "observed_date", "last.*")
 
 
 def price_asof(prices: DataFrame, as_of: str | None = None, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:

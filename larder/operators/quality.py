@@ -210,10 +210,12 @@ def missingness_report(df: DataFrame) -> DataFrame:
 
 
 def _name_keys(df: DataFrame, name: str, order: Column | None = None) -> DataFrame:
-    """One display name per key: the last one by ``order``, as a later row overwrites."""
-    rank = F.struct(order, name) if order is not None else F.col(name)
-    return df.groupBy("restaurant_id", normalize_name(F.col(name)).alias("name_key")).agg(
-        F.max_by(F.col(name), rank).alias("name")
+    """One display name per key: the last one by ``order``, as a later row overwrites. Each raw
+    spelling is normalized once."""
+    place = F.max(order) if order is not None else F.lit(0)
+    spelled = df.groupBy("restaurant_id", name).agg(place.alias("place"))
+    return spelled.groupBy("restaurant_id", normalize_name(F.col(name)).alias("name_key")).agg(
+        F.max_by(F.col(name), F.struct("place", name)).alias("name")
     )
 
 
@@ -229,9 +231,8 @@ def xref_dishes(bom: DataFrame, sales: DataFrame) -> DataFrame:
 
 def xref_ingredients(prices: DataFrame, bom: DataFrame) -> DataFrame:
     """Invoiced ingredients no recipe uses."""
-    invoiced = prices.groupBy("restaurant_id", "ingredient_id").agg(
-        F.max_by("ingredient_name", F.struct("seq", "ingredient_name")).alias("name")
-    )
+    spelled = prices.groupBy("restaurant_id", "ingredient_id", "ingredient_name").agg(F.max("seq").alias("seq"))
+    invoiced = spelled.groupBy("restaurant_id", "ingredient_id").agg(F.max_by("ingredient_name", "seq").alias("name"))
     known = bom.select("restaurant_id", "ingredient_id").distinct()
     return invoiced.join(known, ["restaurant_id", "ingredient_id"], "left_anti").select("restaurant_id", "name")
 
@@ -248,7 +249,7 @@ def denormalize_bom(recipe_lines: DataFrame, dishes: DataFrame, ingredients: Dat
         "yield_factor",
     )
     named = recipe_lines.join(dish, ["restaurant_id", "dish_id"])
-    return salted_join(named, ingredient, ["restaurant_id", "ingredient_id"]).select(
+    return salted_join(named, ingredient, ["restaurant_id", "ingredient_id"], ["dish_id"]).select(
         "restaurant_id",
         "dish_id",
         "dish_name",

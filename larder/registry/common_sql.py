@@ -30,7 +30,7 @@ VIEWS: dict[str, str] = {}
 
 VIEWS["lines"] = """
 SELECT *, 'r' || CAST(l_suppkey % 2 AS VARCHAR) AS restaurant_id, CAST(l_shipdate AS DATE) AS business_date,
-       l_orderkey * 8 + l_linenumber AS seq
+       (l_orderkey * 8 + l_linenumber) * 1000000 + (l_partkey * 1000 + l_suppkey) % 1000000 AS seq
 FROM lineitem JOIN part ON l_partkey = p_partkey
 """
 VIEWS["pos_sales"] = """

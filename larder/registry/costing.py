@@ -310,11 +310,11 @@ def xref_dishes(v: Views) -> DataFrame:
 @query(
     "xref_ingredients",
     """SELECT restaurant_id, max(ingredient_name) AS name FROM price_observations p
-       WHERE NOT EXISTS (SELECT 1 FROM bom b WHERE b.restaurant_id = p.restaurant_id AND b.ingredient_id = p.ingredient_id AND b.qty < 4)
+       WHERE NOT EXISTS (SELECT 1 FROM bom b WHERE b.restaurant_id = p.restaurant_id AND b.ingredient_id = p.ingredient_id AND b.qty < 2)
        GROUP BY restaurant_id, ingredient_id""",
 )
 def xref_ingredients(v: Views) -> DataFrame:
-    return quality.xref_ingredients(v.price_observations, v.bom.where("qty < 4"))
+    return quality.xref_ingredients(v.price_observations, v.bom.where("qty < 2"))
 
 
 # ---- scalar rules
@@ -322,8 +322,9 @@ def xref_ingredients(v: Views) -> DataFrame:
 
 @query("normalize_name", f"SELECT restaurant_id, {norm('dish_name')} AS name_key, count(*) AS n FROM sales_export GROUP BY ALL")
 def normalize_name_query(v: Views) -> DataFrame:
-    return v.sales_export.groupBy("restaurant_id", normalize_name(F.col("dish_name")).alias("name_key")).agg(
-        F.count("*").alias("n")
+    spelled = v.sales_export.groupBy("restaurant_id", "dish_name").agg(F.count("*").alias("n"))
+    return spelled.groupBy("restaurant_id", normalize_name(F.col("dish_name")).alias("name_key")).agg(
+        F.sum("n").alias("n")
     )
 
 

@@ -7,9 +7,10 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import normalize_name
-from ..operators.joins import salted_join
+from ..operators.joins import dimension_join
 
 # Menu reprints, per-item waste and shortage costs, staff accounts.
 MENU_ERAS = """
@@ -27,6 +28,9 @@ ITEM_ECONOMICS = """
 STAFF = ("S001", "S002")
 PRICE_DIVISOR = 40000.0
 
+# Schemas already read from the files' footers; the data itself is never kept.
+_schemas: dict[str, StructType] = {}
+
 
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
@@ -34,7 +38,10 @@ class Views:
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _schemas:
+            _schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_schemas[path]).parquet(path)
 
     def literals(self, rows: str, columns: str) -> DataFrame:
         return self.spark.sql(f"SELECT * FROM (VALUES {rows}) AS t({columns})")
@@ -50,14 +57,16 @@ class Views:
     @cached_property
     def lines(self) -> DataFrame:
         """Order lines with their part. A best-selling part may hold a third of all lines, so the
-        join is salted."""
+        join is salted where parts are too many to broadcast. Name keys are made per part."""
         part = self.table("part").withColumnRenamed("p_partkey", "l_partkey")
-        joined = salted_join(self.table("lineitem"), part, ["l_partkey"])
+        part = part.withColumn("brand_key", normalize_name(F.col("p_brand")))
+        joined = dimension_join(self.table("lineitem"), part, ["l_partkey"], ["l_orderkey", "l_linenumber"])
+        place = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000000
         return joined.withColumns(
             {
                 "restaurant_id": F.concat(F.lit("r"), (F.col("l_suppkey") % 2).cast("string")),
                 "business_date": F.col("l_shipdate").cast("date"),
-                "seq": F.col("l_orderkey") * 8 + F.col("l_linenumber"),
+                "seq": place + (F.col("l_partkey") * 1000 + F.col("l_suppkey")) % 1000000,
             }
         )
 
@@ -156,7 +165,7 @@ class Views:
         return kept.select(
             "restaurant_id",
             "seq",
-            normalize_name(F.col("p_brand")).alias("ingredient_id"),
+            F.col("brand_key").alias("ingredient_id"),
             F.col("p_brand").alias("ingredient_name"),
             (F.col("l_extendedprice") / (F.col("l_quantity") * PRICE_DIVISOR)).alias("unit_price"),
             F.when(F.col("l_orderkey") % 10 != 0, F.concat(F.lit("INV"), F.col("l_orderkey").cast("string"))).alias(
