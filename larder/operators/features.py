@@ -29,18 +29,15 @@ FEATURES = [
 def era_asof(rows: DataFrame, eras: DataFrame) -> DataFrame:
     """Last menu reprint on or before the day; days before the first belong to the first.
 
-    Eras are a handful of configured rows: they travel inside the plan as one sorted array, which
-    every row searches without any join condition on ranges.
+    Eras are a handful of configured rows. A scalar subquery turns them into one sorted array, which
+    every row searches without a join.
     """
-    table = eras.select(
-        F.lit(1).alias("_one"), F.struct(F.col("start_date").alias("s"), F.col("era_id").alias("e")).alias("era")
-    )
-    listed = table.groupBy("_one").agg(F.array_sort(F.collect_list("era")).alias("_eras"))
-    joined = rows.withColumn("_one", F.lit(1)).join(F.broadcast(listed), "_one")
+    era = F.struct(F.col("start_date").alias("s"), F.col("era_id").alias("e"))
+    joined = rows.withColumn("_eras", eras.agg(F.array_sort(F.collect_list(era))).scalar())
     started = F.filter("_eras", lambda era: era["s"] <= F.col("business_date"))
     era = F.when(F.size(started) > 0, F.element_at(started, -1)).otherwise(F.element_at("_eras", 1))
     elapsed = F.greatest(F.lit(0), F.datediff(F.col("business_date"), era["s"]))
-    return joined.withColumns({"era_id": era["e"], "era_days_elapsed": elapsed}).drop("_one", "_eras")
+    return joined.withColumns({"era_id": era["e"], "era_days_elapsed": elapsed}).drop("_eras")
 
 
 def _past(days: str, value: str, keys: list[str]):

@@ -10,6 +10,12 @@ SALTS = 16
 BROADCAST_ROWS = 200_000
 
 
+def shuffle_width(df: DataFrame) -> int:
+    """Configured number of shuffle partitions. Naming it keeps a shuffle of few but expensive rows
+    from being merged into one task."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,

@@ -6,15 +6,19 @@ level rather than as a category, so the feature count does not grow with the num
 from __future__ import annotations
 
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
+from pyspark.storagelevel import StorageLevel
 
 from . import KEY, SERIES
+from .joins import shuffle_width
 from .quantiles import CELL, STANDARD_LEVELS, noncrossing
 
 SEED = 42
@@ -50,8 +54,14 @@ def encode(features: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def _fit(train: DataFrame, inputs: list[str], estimator) -> PipelineModel:
+    """Fit on rows spread over all tasks and kept, on disk if need be, while the learner iterates."""
     assembler = VectorAssembler(inputCols=inputs, outputCol="inputs")
-    model = estimator.setFeaturesCol("inputs").setLabelCol("demand").fit(assembler.transform(train))
+    rows = assembler.transform(train).select(*KEY, "inputs", "demand")
+    rows = rows.repartition(shuffle_width(rows), *KEY).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = estimator.setFeaturesCol("inputs").setLabelCol("demand").fit(rows)
+    finally:
+        rows.unpersist()
     return PipelineModel([assembler, model])
 
 
@@ -82,12 +92,17 @@ def fold_split(features: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
 
 
 def point_gbm(features: DataFrame, n_folds: int, kind: str = "gbm", name: str | None = None) -> DataFrame:
-    """Point forecasts of every fold's test cells. ``features`` should be a staged feature frame:
-    each fold trains its own model, which is the one place a loop over folds is needed."""
-    parts = []
-    for fold in range(n_folds):
+    """Point forecasts of every fold's test cells. ``features`` should be a staged feature frame.
+
+    Each fold trains its own model; the folds' training jobs share the cluster side by side.
+    """
+
+    def forecast(fold: int) -> DataFrame:
         train, test = fold_split(features, fold)
-        parts.append(predict_point(POINT_MODELS[kind](train), test).select(*CELL, "forecast"))
+        return predict_point(POINT_MODELS[kind](train), test).select(*CELL, "forecast")
+
+    with ThreadPool(n_folds) as pool:
+        parts = pool.map(inheritable_thread_target(features.sparkSession)(forecast), range(n_folds))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

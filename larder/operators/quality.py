@@ -9,22 +9,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import blank_to_null, normalize_name, strip
 from .joins import salted_join
 
-# Number and date spellings an upload may use.
-_WHOLE_NUMBER = r"^\s*[+-]?\d+(\.0*)?\s*$"
-_ISO_DATE = r"^\s*\d{4}-\d{2}-\d{2}\s*$"
+# A whole number written with empty decimals, a number with a Java type suffix.
+_EMPTY_DECIMALS = r"^\s*[+-]?\d+\.0*\s*$"
+_JAVA_SUFFIX = r"[\d.][dDfF]\s*$"
 
 
 def parse_whole(text: Column) -> Column:
-    digits = F.split(strip(text), r"\.")[0]
-    return F.when(text.rlike(_WHOLE_NUMBER), digits.try_cast("bigint"))
+    """Most rows are plain digits; only the others are matched against a pattern."""
+    decimals = F.when(text.rlike(_EMPTY_DECIMALS), F.substring_index(text, ".", 1).try_cast("bigint"))
+    return F.coalesce(text.try_cast("bigint"), decimals)
 
 
 def parse_number(text: Column) -> Column:
-    return strip(text).try_cast("double")
+    return F.when(~text.rlike(_JAVA_SUFFIX), text.try_cast("double"))
 
 
 def parse_date(text: Column) -> Column:
-    return F.when(text.rlike(_ISO_DATE), strip(text).try_cast("date"))
+    return F.when(F.trim(text).like("____-__-__"), text.try_cast("date"))
 
 
 def _is_blank(text: Column) -> Column:
@@ -45,18 +46,16 @@ def _with_rules(raw: DataFrame, required: list[str], label: Column, parsed: dict
     if missing:
         raise ValueError(f"missing column(s): {', '.join(missing)}")
     rows = raw.withColumns(parsed)
-    return rows.withColumns({"errors": F.array_compact(F.array(*rules)), "row_label": label})
+    return rows.withColumns({"message": F.concat_ws("; ", *rules), "row_label": label})
 
 
 def valid_rows(checked: DataFrame) -> DataFrame:
-    return checked.where(F.size("errors") == 0)
+    return checked.where(F.col("message") == "")
 
 
 def rejected_rows(checked: DataFrame) -> DataFrame:
     """Every bad row once, with all its messages."""
-    return checked.where(F.size("errors") > 0).select(
-        "restaurant_id", "seq", "row_label", F.array_join("errors", "; ").alias("message")
-    )
+    return checked.where(F.col("message") != "").select("restaurant_id", "seq", "row_label", "message")
 
 
 def validate_sales(raw: DataFrame) -> DataFrame:

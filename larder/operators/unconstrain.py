@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.tails import tail_mean
 from . import KEY, SERIES
+from .joins import shuffle_width
 
 MIN_HISTORY = 8
 
@@ -43,7 +44,7 @@ def unconstrain(demand: DataFrame, min_history: int = MIN_HISTORY) -> DataFrame:
     The weekday history decides when it has ``min_history`` days, else the whole series, else the
     cell stays. Only censored cells move, and never down.
     """
-    rows = expanding_stats(demand)
+    rows = expanding_stats(demand.repartition(shuffle_width(demand), *SERIES))
     use_fine = F.col("fine_n") >= min_history
     use_coarse = F.col("coarse_n") >= min_history
     mean = F.when(use_fine, F.col("fine_mean")).otherwise(F.col("coarse_mean"))
