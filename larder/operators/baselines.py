@@ -71,8 +71,8 @@ def baseline_chef_gut(demand: DataFrame, targets: DataFrame, folds: DataFrame) -
 def _croston_rate(alpha: float, textbook: bool) -> Column:
     """Smoothed demand size over smoothed interval, from the columns seen, hits and gaps.
 
-    By default the interval is looked up by day position, not by occurrence number, as the engine
-    this library has to agree with does; ``textbook`` pairs each occurrence with its own interval.
+    By default the interval is looked up by day position, not by occurrence number, which keeps
+    results comparable; ``textbook`` pairs each occurrence with its own interval.
     """
     start = F.struct(
         F.get("seen", F.get("hits", F.lit(0))).alias("size"), F.lit(1.0).alias("gap"), F.lit(0).alias("n")

@@ -494,6 +494,45 @@ def unpriced_dishes(v: Views) -> DataFrame:
     return ops.unpriced_dishes(v.bom, v.price_observations, v.menu_prices)
 
 
+FORM = """WITH form AS (SELECT *, CASE WHEN length(dish_name) % 4 = 0 THEN '' WHEN length(dish_name) % 4 = 1 THEN 'free'
+    WHEN length(dish_name) % 4 = 2 THEN '-' || length(dish_name) ELSE ' ' || length(dish_name) || '.50 ' END AS value
+  FROM (SELECT DISTINCT restaurant_id, dish_id, dish_name FROM bom) b)
+"""
+
+
+@query(
+    "menu_price_entries",
+    FORM
+    + """SELECT restaurant_id, CASE WHEN dish_name LIKE 'red%' THEN NULL ELSE dish_name END AS dish_name, dish_id,
+           CASE WHEN length(dish_name) % 4 = 3 THEN length(dish_name) + 0.5::DOUBLE END AS menu_price,
+           CASE WHEN length(dish_name) % 4 <> 3 THEN CASE WHEN dish_name LIKE 'red%' THEN dish_id ELSE dish_name END || ': menu price must be a positive number.' END AS error
+         FROM form WHERE value <> '' AND (dish_name NOT LIKE 'red%' OR length(dish_name) % 4 <> 3)""",
+)
+def menu_price_entries(v: Views) -> DataFrame:
+    """A price form over all dishes, checked against a BOM that lost some of them."""
+    dishes = v.bom.select("restaurant_id", "dish_id", "dish_name").distinct()
+    n = F.length("dish_name")
+    value = (
+        F.when(n % 4 == 0, "").when(n % 4 == 1, "free").when(n % 4 == 2, F.concat(F.lit("-"), n.cast("string")))
+        .otherwise(F.concat(F.lit(" "), n.cast("string"), F.lit(".50 ")))
+    )
+    now = F.lit("2024-06-01 09:00:00").cast("timestamp_ntz").alias("updated_at")
+    entries = dishes.select("restaurant_id", "dish_id", value.alias("value"), now)
+    return ops.menu_price_entries(entries, menu_subset(v)).drop("updated_at")
+
+
+@query(
+    "validate_food_cost",
+    """SELECT restaurant_id, dish_id, dish_name, «CASE WHEN cost > 100 THEN -cost ELSE cost END» AS food_cost FROM dish_costs
+       WHERE cost > 100""",
+)
+def validate_food_cost(v: Views) -> DataFrame:
+    """The derived cost leg with expensive dishes turned negative: exactly those are refused."""
+    leg = ops.food_cost_leg(v.bom, v.price_observations, AS_OF)
+    broken = F.when(F.col("food_cost") > 100, -F.col("food_cost")).otherwise(F.col("food_cost"))
+    return quality.validate_food_cost(leg.withColumn("food_cost", broken)).drop("computed_at")
+
+
 def grid(v: Views) -> DataFrame:
     priced = ops.priced_dishes(v.bom, v.price_observations, v.menu_prices)
     return ops.menu_grid(priced, ops.covers_by_dish(v.sales_export))
