@@ -5,14 +5,17 @@ from pyspark.sql import Column, functions as F
 
 # Fixed value: below this upper-tail probability the estimate is the cap plus one.
 NEGLIGIBLE_TAIL = 1e-9
+# Below this one the tail is summed term by term.
+THIN_TAIL = 1e-2
 
 
 def tail_mean(mean: Column, variance: Column, cap: Column) -> Column:
     """E[D | D > cap]: negative binomial when variance exceeds mean, else Poisson.
 
     Both families have the ratio P(k) / P(k - 1) = (a + b (k - 1)) / k, so one pass over 1..cap sums
-    the probability and the mean up to the cap; what is left of both lies above it. The pass works
-    on logs, which keeps large means from underflowing.
+    the probability and the mean up to the cap; what is left of both lies above it. Where little is
+    left, the difference would lose digits, so the terms above the cap are summed instead until
+    they vanish. Both passes work on logs, which keeps large means from underflowing.
     """
     mean, variance, cap = (c.cast("double") for c in (mean, variance, cap))
     overdispersed = variance > mean
@@ -37,9 +40,26 @@ def tail_mean(mean: Column, variance: Column, cap: Column) -> Column:
             state["b"].alias("b"),
         )
 
+    def thin_tail(state: Column) -> Column:
+        shrink = -F.ln((state["a"] + state["b"] * F.floor(cap)) / (F.floor(cap) + 1))
+        terms = F.least(F.ceil(40.0 / shrink), F.lit(100000)).cast("int")
+        first = F.floor(cap).cast("int") + 1
+        empty = F.struct(
+            state["log_p"].alias("log_p"),
+            F.lit(0.0).alias("total"),
+            F.lit(0.0).alias("moment"),
+            state["a"].alias("a"),
+            state["b"].alias("b"),
+        )
+        return F.aggregate(F.sequence(first, first + terms), empty, add, lambda s: s["moment"] / s["total"])
+
     def above(state: Column) -> Column:
         left = 1.0 - state["total"]
-        return F.when(left < NEGLIGIBLE_TAIL, cap + 1.0).otherwise((mean - state["moment"]) / left)
+        return (
+            F.when(left < NEGLIGIBLE_TAIL, cap + 1.0)
+            .when((left < THIN_TAIL) & (cap > mean), thin_tail(state))
+            .otherwise((mean - state["moment"]) / left)
+        )
 
     steps = F.when(cap >= 1, F.sequence(F.lit(1), F.floor(cap).cast("int"))).otherwise(F.array().cast("array<int>"))
     return F.when(mean <= 0, cap).otherwise(F.aggregate(steps, start, add, above))

@@ -9,23 +9,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import blank_to_null, normalize_name, strip
 from .joins import salted_join
 
-# A whole number written with empty decimals, a number with a Java type suffix.
-_EMPTY_DECIMALS = r"^\s*[+-]?\d+\.0*\s*$"
-_JAVA_SUFFIX = r"[\d.][dDfF]\s*$"
+# Number and date spellings an upload may use.
+_WHOLE_NUMBER = r"^\s*[+-]?\d+(\.0*)?\s*$"
+_NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+_ISO_DATE = r"^\s*\d{4}-\d{2}-\d{2}\s*$"
+
+
+# A failed try_cast is far dearer than a pattern, so text is matched before it is cast.
 
 
 def parse_whole(text: Column) -> Column:
-    """Most rows are plain digits; only the others are matched against a pattern."""
-    decimals = F.when(text.rlike(_EMPTY_DECIMALS), F.substring_index(text, ".", 1).try_cast("bigint"))
-    return F.coalesce(text.try_cast("bigint"), decimals)
+    return F.when(text.rlike(_WHOLE_NUMBER), F.substring_index(text, ".", 1).try_cast("bigint"))
 
 
 def parse_number(text: Column) -> Column:
-    return F.when(~text.rlike(_JAVA_SUFFIX), text.try_cast("double"))
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
 def parse_date(text: Column) -> Column:
-    return F.when(F.trim(text).like("____-__-__"), text.try_cast("date"))
+    return F.when(text.rlike(_ISO_DATE), text.try_cast("date"))
 
 
 def _is_blank(text: Column) -> Column:
@@ -46,7 +48,8 @@ def _with_rules(raw: DataFrame, required: list[str], label: Column, parsed: dict
     if missing:
         raise ValueError(f"missing column(s): {', '.join(missing)}")
     rows = raw.withColumns(parsed)
-    return rows.withColumns({"message": F.concat_ws("; ", *rules), "row_label": label})
+    rows = rows.withColumn("message", F.concat_ws("; ", *rules))
+    return rows.withColumn("row_label", F.when(F.col("message") != "", label))
 
 
 def valid_rows(checked: DataFrame) -> DataFrame:
@@ -54,8 +57,13 @@ def valid_rows(checked: DataFrame) -> DataFrame:
 
 
 def rejected_rows(checked: DataFrame) -> DataFrame:
-    """Every bad row once, with all its messages."""
-    return checked.where(F.col("message") != "").select("restaurant_id", "seq", "row_label", "message")
+    """Every bad row once, with all its messages.
+
+    Unfolding the message instead of filtering on it keeps the rules from being copied into a
+    filter, where every parsed value would be worked out again for each rule that uses it.
+    """
+    bad = F.explode(F.when(F.col("message") != "", F.array("message"))).alias("message")
+    return checked.select("restaurant_id", "seq", "row_label", bad)
 
 
 def validate_sales(raw: DataFrame) -> DataFrame:

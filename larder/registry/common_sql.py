@@ -285,14 +285,14 @@ def tail_sql(source: str, keys: str) -> str:
     return f"""
 SELECT {keys}, any_value(cap) AS cap, any_value(m) AS m, any_value(v) AS v,
   CASE WHEN any_value(m) <= 0 THEN any_value(cap)
-       WHEN 1 - sum(p) < 1e-9 THEN any_value(cap) + 1
-       ELSE (any_value(m) - sum(k * p)) / (1 - sum(p)) END AS estimate
+       WHEN coalesce(sum(p) FILTER (k > cap), 0) < 1e-9 THEN any_value(cap) + 1
+       ELSE sum(k * p) FILTER (k > cap) / sum(p) FILTER (k > cap) END AS estimate
 FROM (
   SELECT s.*, ks.k,
     CASE WHEN v > m THEN exp(lgamma(k + m * m / (v - m)) - lgamma(k + 1) - lgamma(m * m / (v - m))
                              + (m * m / (v - m)) * ln(m / v) + k * ln(1 - m / v))
          WHEN m > 0 THEN exp(k * ln(m) - m - lgamma(k + 1)) ELSE 0 END AS p
-  FROM {source} s, LATERAL (SELECT unnest(range(0, CAST(s.cap AS BIGINT) + 1)) AS k) ks
+  FROM {source} s, LATERAL (SELECT unnest(range(CAST(s.cap AS BIGINT) + 1, CAST(s.cap AS BIGINT) + 200 + CAST(10 * s.m + 10 * sqrt(s.v) AS BIGINT))) AS k) ks
 ) x GROUP BY {keys}
 """
 

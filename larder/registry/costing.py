@@ -583,13 +583,13 @@ def dish_detail(v: Views) -> DataFrame:
 @query(
     "data_summary",
     """SELECT restaurant_id, dish_count, bom_row_count, sales_row_count, total_covers, period_start, period_end, price_observation_count,
-         priced_ingredient_count, food_cost_dish_count
+         priced_ingredient_count, coalesce(n_costed, 0) AS food_cost_dish_count
        FROM (SELECT restaurant_id, count(DISTINCT dish_name) AS dish_count, count(*) AS bom_row_count FROM bom GROUP BY 1) b
        JOIN (SELECT restaurant_id, count(*) AS sales_row_count, CAST(sum(count) AS BIGINT) AS total_covers, min(period_start) AS period_start,
                max(period_end) AS period_end FROM sales_export GROUP BY 1) s USING (restaurant_id)
        JOIN (SELECT restaurant_id, count(*) AS price_observation_count, count(DISTINCT ingredient_id) AS priced_ingredient_count
              FROM price_observations GROUP BY 1) p USING (restaurant_id)
-       JOIN (SELECT restaurant_id, count(*) AS food_cost_dish_count FROM dish_costs GROUP BY 1) c USING (restaurant_id)""",
+       LEFT JOIN (SELECT restaurant_id, count(*) AS n_costed FROM dish_costs GROUP BY 1) c USING (restaurant_id)""",
 )
 def data_summary(v: Views) -> DataFrame:
     food_cost = ops.food_cost_leg(v.bom, v.price_observations, AS_OF)
