@@ -292,7 +292,7 @@ FROM (
     CASE WHEN v > m THEN exp(lgamma(k + m * m / (v - m)) - lgamma(k + 1) - lgamma(m * m / (v - m))
                              + (m * m / (v - m)) * ln(m / v) + k * ln(1 - m / v))
          WHEN m > 0 THEN exp(k * ln(m) - m - lgamma(k + 1)) ELSE 0 END AS p
-  FROM {source} s, LATERAL (SELECT unnest(range(CAST(s.cap AS BIGINT) + 1, CAST(s.cap AS BIGINT) + 200 + CAST(10 * s.m + 10 * sqrt(s.v) AS BIGINT))) AS k) ks
+  FROM {source} s, LATERAL (SELECT unnest(range(CAST(s.cap AS BIGINT) + 1, CAST(s.cap AS BIGINT) + 200 + CAST(10 * s.m + 10 * sqrt(s.v) + CASE WHEN s.m > 0 THEN 60 * s.v / s.m ELSE 0 END AS BIGINT))) AS k) ks
 ) x GROUP BY {keys}
 """
 
