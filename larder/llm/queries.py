@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup, url_filter
+from . import chat, exact_dedup, secret_scan, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,3 +167,44 @@ SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ranked
 @query(_DEDUP_SQL)
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+# ---- secrets
+
+
+@query()
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "literal")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"), count("literal")
+    )
+
+
+# ---- WARC
+
+_WARC_SQL = r"""
+WITH payloads AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), digests AS (
+    SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY sha1(payload)) AS keep FROM payloads
+), bits AS (
+    SELECT *, list_transform(range(1, 41), lambda i: CAST('0x' || substr(hex, CAST(i AS BIGINT), 1) AS INTEGER)) AS nibbles FROM digests
+)
+SELECT page_id, payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda j:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(0, 5), lambda b:
+            (nibbles[1 + (5 * j + b) // 4] >> (3 - (5 * j + b) % 4)) % 2 * (16 >> b))) AS BIGINT), 1)), '') AS payload_digest,
+    CASE WHEN page_id IS DISTINCT FROM keep THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM keep THEN keep END AS refers_to
+FROM bits
+"""
+
+
+@query(_WARC_SQL)
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive_path(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
