@@ -284,8 +284,89 @@ def near_duplicates(
     return members.join(owners, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", **how: int) -> DataFrame:
-    """One row of each component, with all its columns: the smallest id; rows that repeat it are one."""
-    found = near_duplicates(docs, text, id_column, **how)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col(id_column).eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_column])
+# ---- copies further apart than a few bits
+
+#: Five-word shingles shared by two near copies, by all they have.
+SIMILARITY = 0.8
+COPY_SHINGLE_WORDS = 5
+#: Each slot is a sample of SLOT_SIZE shingles; two texts at 0.8 share none of the slots once in 90,000 times.
+SLOTS = 16
+SLOT_SIZE = 3
+_ODD = (np.random.default_rng(11).integers(0, 1 << 63, SLOTS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def shingle_set(text: str, shingle: int = COPY_SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; fewer words are one shingle."""
+    words = text.encode().lower().split()
+    width = min(shingle, len(words))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[k : k + width]), seed) for k in range(len(words) - width + 1)] if words else [], np.uint64))
+
+
+def slots_of(shingles: np.ndarray) -> np.ndarray:
+    """One number per slot: the shingles that come first in an order of its own."""
+    if not len(shingles):
+        return np.zeros(0, np.uint64)
+    out = np.empty(SLOTS, np.uint64)
+    for k, odd in enumerate(_ODD):
+        order = shingles * odd
+        first = np.sort(np.partition(order, SLOT_SIZE - 1)[:SLOT_SIZE] if len(order) > SLOT_SIZE else order)
+        out[k] = xxhash.xxh64_intdigest(first.tobytes(), k)
+    return out
+
+
+def _python(docs: DataFrame, make, name: str) -> DataFrame:
+    """(row, name) with ``make(text)`` as an array of longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [make(t).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, pa.list_(pa.int64()))], names=["row", name])
+
+    return docs.select("row", "text").mapInArrow(run, f"row bigint, {name} array<bigint>")
+
+
+def similar_pairs(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE_WORDS) -> DataFrame:
+    """(a, b) of rows (row, text) that share at least ``similarity`` of their shingles, checked exactly.
+
+    A text is compared with two members of every slot group it is in, never with all: the first one, and
+    the one whose groups are largest in sum, which in a family of copies is the text they were made from.
+    """
+    slots = stage(_python(docs, lambda t: slots_of(shingle_set(t, shingle)), "slots"), "near-slots").select("row", F.posexplode("slots").alias("slot", "value"))
+    sizes = stage(slots.groupBy("slot", "value").agg(F.count("*").alias("n")).filter("n > 1"), "near-sizes")
+    shared = stage(slots.join(sizes, ["slot", "value"]), "near-shared")
+    weight = stage(shared.groupBy("row").agg(F.sum("n").alias("weight")), "near-weight")
+    shared = shared.join(weight, "row")
+    heads = shared.groupBy("slot", "value").agg(F.min("row").alias("first"), F.max(F.struct("weight", (-F.col("row")).alias("row"))).alias("centre"))
+    heads = stage(heads.select("slot", "value", F.array_distinct(F.array("first", -F.col("centre.row"))).alias("heads")), "near-heads")
+    pairs = shared.join(heads, ["slot", "value"]).select(F.col("row").alias("a"), F.explode("heads").alias("b")).filter("a <> b").distinct()
+    pairs = stage(pairs, "near-pairs")
+    needed = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    sets = stage(_python(docs.join(needed, "row", "left_semi"), lambda t: shingle_set(t, shingle), "shingles"), "near-sets")
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each group, that with the smallest id.
+
+    Groups are joined by fingerprints of five-word shingles at most ``max_bits`` apart, and by pairs of
+    texts that share ``similarity`` of their shingles. The second are looked for among the first's
+    representatives: edits of a few words move more bits than a vantage-point tree can search.
+
+    A null id comes last in its group. Null and empty texts are one group. Rows that repeat an id are
+    documents of their own. ``docs`` is read several times and has to give the same rows in the same
+    order each time, as a stored table does.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    tight = stage(near_duplicates(numbered, text, "_row", shingle, max_bits).select(F.col("doc_id").alias("row"), F.col("component_id").alias("head")), "near-tight")
+    texts = numbered.select(F.col("_row").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    heads = texts.join(tight.filter("row = head").select("row"), "row", "left_semi")
+    labels = connected(similar_pairs(heads, similarity, shingle))
+    grouped = tight.join(labels.withColumnRenamed("node", "head"), "head", "left").select("row", F.coalesce("label", "head").alias("label"))
+    ids = numbered.select(F.col("_row").alias("row"), F.col(id_column).alias("id"))
+    named = stage(grouped.join(ids, "row"), "near-grouped")
+    stay = named.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first"))
+    stay = stage(stay.select(F.col("first.row").alias("_row")), "near-stay")
+    return numbered.join(stay, "_row", "left_semi").drop("_row")
