@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .columns import unused
+
 WINDOW_WORDS = 10
 #: Text of a shard; one document alone may be larger.
 SHARD_BYTES = 4 << 20
@@ -317,5 +319,6 @@ def find_contamination(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without any hit, with all their columns. Of rows that repeat an id, all go if one does."""
     found = find_contamination(docs, benchmark, text, id_column)
-    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hit, F.col(id_column).eqNullSafe(F.col("_id")), "left_anti")
+    key = unused(docs, "_hit_id")
+    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(hit, F.col(id_column).eqNullSafe(F.col(key)), "left_anti")

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.staging import stage
+from .columns import unused
 
 BLOCK_BYTES = 4096
 #: No second half: the last name of an odd row.
@@ -116,7 +117,8 @@ def drop_exact_duplicates(docs: DataFrame, text: str = "text", id_column: str =
     Rows that repeat both id and text are one document here: one of them stays.
     """
     found = exact_duplicates(docs, text, id_column)
-    stay = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_stays"))
-    marked = docs.withColumn("_sha", F.sha2(normalised(F.col(text)).cast("binary"), 256))
-    same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_stays"))
-    return marked.join(stay, same, "left_semi").dropDuplicates([id_column, "_sha"]).drop("_sha")
+    sha, kept_id, kept_sha = (unused(docs, c) for c in ("_sha", "_kept_id", "_kept_sha"))
+    stay = found.filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
+    marked = docs.withColumn(sha, F.sha2(normalised(F.col(text)).cast("binary"), 256))
+    same = F.col(id_column).eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(kept_sha))
+    return marked.join(stay, same, "left_semi").dropDuplicates([id_column, sha]).drop(sha)

@@ -98,7 +98,8 @@ class Model:
     def scores(self, rows: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.ones(len(rows))
-        return _sigmoid(self.inputs(rows) @ self.weights)
+        # Rounded, as the last digits of a product depend on how many rows are multiplied at once.
+        return np.round(_sigmoid(self.inputs(rows) @ self.weights), 12)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.staging import stage
+from .columns import unused
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -359,14 +360,15 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "
     documents of their own. ``docs`` is read several times and has to give the same rows in the same
     order each time, as a stored table does.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    tight = stage(near_duplicates(numbered, text, "_row", shingle, max_bits).select(F.col("doc_id").alias("row"), F.col("component_id").alias("head")), "near-tight")
-    texts = numbered.select(F.col("_row").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    key = unused(docs, "_row")
+    numbered = docs.withColumn(key, F.monotonically_increasing_id())
+    tight = stage(near_duplicates(numbered, text, key, shingle, max_bits).select(F.col("doc_id").alias("row"), F.col("component_id").alias("head")), "near-tight")
+    texts = numbered.select(F.col(key).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     heads = texts.join(tight.filter("row = head").select("row"), "row", "left_semi")
     labels = connected(similar_pairs(heads, similarity, shingle))
     grouped = tight.join(labels.withColumnRenamed("node", "head"), "head", "left").select("row", F.coalesce("label", "head").alias("label"))
-    ids = numbered.select(F.col("_row").alias("row"), F.col(id_column).alias("id"))
+    ids = numbered.select(F.col(key).alias("row"), F.col(id_column).alias("id"))
     named = stage(grouped.join(ids, "row"), "near-grouped")
     stay = named.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first"))
-    stay = stage(stay.select(F.col("first.row").alias("_row")), "near-stay")
-    return numbered.join(stay, "_row", "left_semi").drop("_row")
+    stay = stage(stay.select(F.col("first.row").alias(key)), "near-stay")
+    return numbered.join(stay, key, "left_semi").drop(key)
