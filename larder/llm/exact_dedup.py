@@ -39,17 +39,17 @@ def _numbered(names: DataFrame, keys: list[str]) -> DataFrame:
     return names.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
 
 
-def name_documents(docs: DataFrame, text: Column, block_bytes: int, key: Callable[[Column, int], Column]) -> tuple[DataFrame, DataFrame]:
-    """``(rows, identities)``: the carried columns with a row number, and ``(row, round, name)``.
+def name_documents(docs: DataFrame, block_bytes: int, key: Callable[[Column, int], Column]) -> tuple[DataFrame, DataFrame]:
+    """``(rows, identities)`` of (row, doc_id, text): the rows with their digest, and ``(row, round, name)``.
 
     The text itself is shuffled once, to be compared block by block: the smallest and the largest block
     under a key must be the same bytes. If not, all blocks are keyed anew with the next seed. Everything
     after that works on integers.
     """
-    body = normalised(text)
+    body = normalised(F.col("text"))
     for seed in range(64):
-        keyed = docs.select("doc_id", body.alias("body")).select(
-            F.monotonically_increasing_id().alias("row"),
+        keyed = docs.select("row", "doc_id", body.alias("body")).select(
+            "row",
             "doc_id",
             F.sha2(F.col("body").cast("binary"), 256).alias("text_sha256"),
             F.transform(_blocks(F.col("body"), block_bytes), lambda b: key(b, seed)).alias("keys"),
@@ -97,28 +97,31 @@ def exact_duplicates(
     no other. Rows that repeat an id and a text are members of one group and one of them stays. No rows
     give no rows. Other columns are not read.
     """
-    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("_text"))
-    rows, identities = name_documents(source, F.col("_text"), block_bytes, key)
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
+    return _grouped(source, block_bytes, key).select(
+        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256"
+    )
+
+
+def _grouped(source: DataFrame, block_bytes: int, key: Callable[[Column, int], Column]) -> DataFrame:
+    """(row, doc_id, text_sha256, first, group_size) of (row, doc_id, text)."""
+    rows, identities = name_documents(source, block_bytes, key)
     members = stage(rows.join(identities, "row"), "dedup-members")
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
     groups = stage(members.groupBy("round", "name").agg(F.min(order).alias("first"), F.count("*").alias("group_size")), "dedup-groups")
-    return members.join(groups, ["round", "name"]).select(
-        "doc_id",
-        F.col("first.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("row") == F.col("first.row")).alias("kept"),
-        "text_sha256",
-    )
+    return members.join(groups, ["round", "name"])
 
 
-def drop_exact_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+def drop_exact_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; what stays is what ``exact_duplicates`` says.
 
-    Rows that repeat both id and text are one document here: one of them stays.
+    ``docs`` is read several times and has to give the same rows in the same order each time, as a
+    stored table does.
     """
-    found = exact_duplicates(docs, text, id_column)
-    sha, kept_id, kept_sha = (unused(docs, c) for c in ("_sha", "_kept_id", "_kept_sha"))
-    stay = found.filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
-    marked = docs.withColumn(sha, F.sha2(normalised(F.col(text)).cast("binary"), 256))
-    same = F.col(id_column).eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(kept_sha))
-    return marked.join(stay, same, "left_semi").dropDuplicates([id_column, sha]).drop(sha)
+    number = unused(docs, "_row")
+    numbered = docs.withColumn(number, F.monotonically_increasing_id())
+    source = numbered.select(F.col(number).alias("row"), F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
+    copies = _grouped(source, block_bytes, block_key).filter(F.col("row") != F.col("first.row"))
+    # The copies, not what stays: they are fewer, and few enough need no shuffle of the texts.
+    copies = stage(copies.select(F.col("row").alias(number)), "dedup-copies")
+    return numbered.join(copies, number, "left_anti").drop(number)
