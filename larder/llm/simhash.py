@@ -39,24 +39,31 @@ Node = tuple
 # ---- fingerprints
 
 
-def fingerprint(text: str, shingle: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """Majority of the bits of all shingles' XXH64, repeats included; 0 without words."""
+def shingle_hashes(text: str, shingle: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; fewer words are one shingle, no words none."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
     width = min(shingle, len(words))
+    starts, ends = (ends - sizes)[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    votes, n = np.zeros(64, np.int64), len(words) - width + 1
-    starts, ends = starts[:n], ends[width - 1 :]
-    for at in range(0, n, 1 << 16):
-        hashes = [digest(joined[s:e], seed) for s, e in zip(starts[at : at + (1 << 16)].tolist(), ends[at : at + (1 << 16)].tolist())]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
+    return np.array([digest(joined[s:e], seed) for s, e in zip(starts, ends)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 without any."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        some = hashes[at : at + (1 << 16)].astype("<u8")
+        votes += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, shingle: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id", shingle: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
@@ -272,7 +279,11 @@ def near_duplicates(
 
     The tree is built on the ``sample`` fingerprints with the smallest hashes; all are dealt by it.
     """
-    members = stage(fingerprints(docs, text, id_column, shingle, seed), "near-members")
+    return linked(stage(fingerprints(docs, text, id_column, shingle, seed), "near-members"), max_bits, shard, sample)
+
+
+def linked(members: DataFrame, max_bits: int = MAX_BITS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, fp, component_id) for a stored table of (doc_id, fp)."""
     points = stage(members.groupBy("fp").agg(F.min("doc_id").alias("least")), "near-points")
     total = points.count()
     drawn = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64)
@@ -297,11 +308,8 @@ _ODD = (np.random.default_rng(11).integers(0, 1 << 63, SLOTS, dtype=np.uint64) <
 
 
 def shingle_set(text: str, shingle: int = COPY_SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; fewer words are one shingle."""
-    words = text.encode().lower().split()
-    width = min(shingle, len(words))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[k : k + width]), seed) for k in range(len(words) - width + 1)] if words else [], np.uint64))
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(shingle_hashes(text, shingle, seed))
 
 
 def slots_of(shingles: np.ndarray) -> np.ndarray:
@@ -316,34 +324,52 @@ def slots_of(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def _python(docs: DataFrame, make, name: str) -> DataFrame:
-    """(row, name) with ``make(text)`` as an array of longs."""
+def _marks(texts: DataFrame, shingle: int) -> DataFrame:
+    """(row, fp, slots) of (row, text), in one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, slots = [], []
+            for text in batch.column("text").to_pylist():
+                hashes = shingle_hashes(text, shingle)
+                marks.append(majority(hashes))
+                slots.append(slots_of(np.unique(hashes)).view(np.int64))
+            fp = pa.array(np.array(marks, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), fp, pa.array(slots, pa.list_(pa.int64()))], names=["row", "fp", "slots"])
+
+    return texts.mapInArrow(run, "row bigint, fp bigint, slots array<bigint>")
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(row, shingles) of (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [make(t).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, pa.list_(pa.int64()))], names=["row", name])
+            made = [shingle_set(t, shingle).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, pa.list_(pa.int64()))], names=["row", "shingles"])
 
-    return docs.select("row", "text").mapInArrow(run, f"row bigint, {name} array<bigint>")
+    return texts.mapInArrow(run, "row bigint, shingles array<bigint>")
 
 
-def similar_pairs(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE_WORDS) -> DataFrame:
-    """(a, b) of rows (row, text) that share at least ``similarity`` of their shingles, checked exactly.
+def similar_pairs(slots: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE_WORDS) -> DataFrame:
+    """(a, b) of rows that share at least ``similarity`` of their shingles, checked exactly.
 
-    A text is compared with two members of every slot group it is in, never with all: the first one, and
-    the one whose groups are largest in sum, which in a family of copies is the text they were made from.
+    ``slots`` is a table of (row, slots), ``texts`` of (row, text). A text is compared with two members
+    of every slot group it is in, never with all: the first one, and the one whose groups are largest in
+    sum, which in a family of copies is the text they were made from.
     """
-    slots = stage(_python(docs, lambda t: slots_of(shingle_set(t, shingle)), "slots"), "near-slots").select("row", F.posexplode("slots").alias("slot", "value"))
-    sizes = stage(slots.groupBy("slot", "value").agg(F.count("*").alias("n")).filter("n > 1"), "near-sizes")
-    shared = stage(slots.join(sizes, ["slot", "value"]), "near-shared")
+    spread = slots.select("row", F.posexplode("slots").alias("slot", "value"))
+    sizes = stage(spread.groupBy("slot", "value").agg(F.count("*").alias("n")).filter("n > 1"), "near-sizes")
+    shared = stage(spread.join(sizes, ["slot", "value"]), "near-shared")
     weight = stage(shared.groupBy("row").agg(F.sum("n").alias("weight")), "near-weight")
     shared = shared.join(weight, "row")
     heads = shared.groupBy("slot", "value").agg(F.min("row").alias("first"), F.max(F.struct("weight", (-F.col("row")).alias("row"))).alias("centre"))
     heads = stage(heads.select("slot", "value", F.array_distinct(F.array("first", -F.col("centre.row"))).alias("heads")), "near-heads")
     pairs = shared.join(heads, ["slot", "value"]).select(F.col("row").alias("a"), F.explode("heads").alias("b")).filter("a <> b").distinct()
     pairs = stage(pairs, "near-pairs")
-    needed = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    sets = stage(_python(docs.join(needed, "row", "left_semi"), lambda t: shingle_set(t, shingle), "shingles"), "near-sets")
+    # Stored first, so that Spark knows its size and moves the texts only if it is large.
+    needed = stage(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "near-needed")
+    sets = stage(_sets(texts.join(needed, "row", "left_semi"), shingle), "near-sets")
     both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -362,13 +388,17 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "
     """
     key = unused(docs, "_row")
     numbered = docs.withColumn(key, F.monotonically_increasing_id())
-    tight = stage(near_duplicates(numbered, text, key, shingle, max_bits).select(F.col("doc_id").alias("row"), F.col("component_id").alias("head")), "near-tight")
     texts = numbered.select(F.col(key).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    heads = texts.join(tight.filter("row = head").select("row"), "row", "left_semi")
-    labels = connected(similar_pairs(heads, similarity, shingle))
+    marks = stage(_marks(texts, shingle), "near-marks")
+    tight = linked(marks.select(F.col("row").alias("doc_id"), "fp"), max_bits).select(F.col("doc_id").alias("row"), F.col("component_id").alias("head"))
+    tight = stage(tight, "near-tight")
+    slots = marks.select("row", "slots").join(tight.filter("row = head").select("row"), "row", "left_semi")
+    labels = connected(similar_pairs(stage(slots, "near-slots"), texts, similarity, shingle))
     grouped = tight.join(labels.withColumnRenamed("node", "head"), "head", "left").select("row", F.coalesce("label", "head").alias("label"))
     ids = numbered.select(F.col(key).alias("row"), F.col(id_column).alias("id"))
     named = stage(grouped.join(ids, "row"), "near-grouped")
-    stay = named.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first"))
-    stay = stage(stay.select(F.col("first.row").alias(key)), "near-stay")
-    return numbered.join(stay, key, "left_semi").drop(key)
+    first = named.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first"))
+    first = stage(first.select("label", F.col("first.row").alias("stays")), "near-first")
+    # The copies, not what stays: they are fewer, and few enough need no shuffle of the texts.
+    copies = stage(named.join(first, "label").filter("row <> stays").select(F.col("row").alias(key)), "near-copies")
+    return numbered.join(copies, key, "left_anti").drop(key)
