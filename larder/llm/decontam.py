@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.staging import stage
 from .columns import unused
 
 WINDOW_WORDS = 10
@@ -293,7 +294,8 @@ def find_contamination(
     empty benchmark hits nothing, no documents give no rows. Other columns are not read.
 
     The benchmark is read in blocks of about ``block_words`` words, and each block is sent to the tasks:
-    its size is bounded, and a larger benchmark takes more passes over the documents.
+    its size is bounded, and a larger benchmark takes more passes over the documents. Then ``docs`` has
+    to give the same rows in the same order each time, as a stored table does.
     """
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -320,5 +322,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     """The rows of ``docs`` without any hit, with all their columns. Of rows that repeat an id, all go if one does."""
     found = find_contamination(docs, benchmark, text, id_column)
     key = unused(docs, "_hit_id")
-    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias(key)).distinct()
+    # Stored first, so that Spark knows its size and moves the documents only if it is large.
+    hit = stage(found.filter("n_hit > 0").select(F.col("doc_id").alias(key)).distinct(), "hit-ids")
     return docs.join(hit, F.col(id_column).eqNullSafe(F.col(key)), "left_anti")
