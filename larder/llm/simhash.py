@@ -354,17 +354,22 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
 def similar_pairs(slots: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE_WORDS) -> DataFrame:
     """(a, b) of rows that share at least ``similarity`` of their shingles, checked exactly.
 
-    ``slots`` is a table of (row, slots), ``texts`` of (row, text). A text is compared with two members
-    of every slot group it is in, never with all: the first one, and the one whose groups are largest in
-    sum, which in a family of copies is the text they were made from.
+    ``slots`` is a table of (row, slots), ``texts`` of (row, text). A text is compared with three members
+    of every slot group it is in, never with all: the first one, the one whose groups are largest in
+    sum, which in a family of copies is the text they were made from, and one that a hash picks anew for
+    every slot, so that small families are compared almost completely.
     """
     spread = slots.select("row", F.posexplode("slots").alias("slot", "value"))
     sizes = stage(spread.groupBy("slot", "value").agg(F.count("*").alias("n")).filter("n > 1"), "near-sizes")
     shared = stage(spread.join(sizes, ["slot", "value"]), "near-shared")
     weight = stage(shared.groupBy("row").agg(F.sum("n").alias("weight")), "near-weight")
     shared = shared.join(weight, "row")
-    heads = shared.groupBy("slot", "value").agg(F.min("row").alias("first"), F.max(F.struct("weight", (-F.col("row")).alias("row"))).alias("centre"))
-    heads = stage(heads.select("slot", "value", F.array_distinct(F.array("first", -F.col("centre.row"))).alias("heads")), "near-heads")
+    heads = shared.groupBy("slot", "value").agg(
+        F.min("row").alias("first"),
+        F.max(F.struct("weight", (-F.col("row")).alias("row"))).alias("centre"),
+        F.min(F.struct(F.xxhash64("slot", "row").alias("hash"), "row")).alias("any"),
+    )
+    heads = stage(heads.select("slot", "value", F.array_distinct(F.array("first", -F.col("centre.row"), "any.row")).alias("heads")), "near-heads")
     pairs = shared.join(heads, ["slot", "value"]).select(F.col("row").alias("a"), F.explode("heads").alias("b")).filter("a <> b").distinct()
     pairs = stage(pairs, "near-pairs")
     # Stored first, so that Spark knows its size and moves the texts only if it is large.
