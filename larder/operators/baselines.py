@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.money import chef_round
 from . import KEY, SERIES
 from .folds import train_rows
+from .joins import salted_join
 
 # Weeks walked back for the same weekday, weeks averaged, Croston smoothing.
 LAG_WEEKS = 7
@@ -21,10 +22,14 @@ def series_means(demand: DataFrame, folds: DataFrame) -> DataFrame:
     return train_rows(demand, folds).groupBy(*SERIES, "fold").agg(F.avg("demand").alias("series_mean"))
 
 
-def _same_weekday_history(demand: DataFrame, targets: DataFrame) -> DataFrame:
-    """One equi-join fetches the last seven same weekdays of every target."""
+def same_weekday_history(demand: DataFrame, targets: DataFrame, group: list[str]) -> DataFrame:
+    """One equi-join fetches the last seven same weekdays of every target.
+
+    ``group`` names a target. Where targets carry a training window only days in it are seen.
+    """
     day = F.date_sub("business_date", F.col("k") * 7)
-    visible = day.between(F.col("train_start"), F.col("train_end"))
+    windowed = "train_start" in targets.columns
+    visible = day.between(F.col("train_start"), F.col("train_end")) if windowed else F.lit(True)
     asked = targets.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(LAG_WEEKS)))).withColumn(
         "past_day", F.when(visible, day)
     )
@@ -32,9 +37,10 @@ def _same_weekday_history(demand: DataFrame, targets: DataFrame) -> DataFrame:
     known = F.col("past").isNotNull()
     return (
         asked.join(past, [*SERIES, "past_day"], "left")
-        .groupBy(*KEY, "fold")
+        .groupBy(*group)
         .agg(
             F.min_by("past", F.when(known, F.col("k"))).alias("last_same_weekday"),
+            F.min(F.when(known, F.col("k"))).alias("weeks_back"),
             F.avg(F.when(F.col("k") <= ROLLING_WEEKS, F.col("past"))).alias("mean_same_weekday"),
         )
     )
@@ -42,7 +48,7 @@ def _same_weekday_history(demand: DataFrame, targets: DataFrame) -> DataFrame:
 
 def naive_forecasts(demand: DataFrame, targets: DataFrame, folds: DataFrame) -> DataFrame:
     """Columns lag7, rolling28 and chef_gut per target; no history at all forecasts zero."""
-    history = _same_weekday_history(demand, targets)
+    history = same_weekday_history(demand, targets, [*KEY, "fold"])
     both = history.join(series_means(demand, folds), [*SERIES, "fold"], "left")
     fallback = F.coalesce("series_mean", F.lit(0.0))
     lag7 = F.greatest(F.coalesce("last_same_weekday", fallback), F.lit(0.0))
@@ -101,7 +107,7 @@ def croston_rates(demand: DataFrame, folds: DataFrame, alpha: float = CROSTON_AL
     hits = F.filter(F.transform("seen", lambda y, i: F.when(y > 0, i)), lambda i: i.isNotNull())
     steps = F.transform("hits", lambda day, i: day - F.when(i == 0, F.lit(0)).otherwise(F.get("hits", i - 1)))
     per_fold = (
-        whole.join(folds, "restaurant_id")
+        salted_join(whole, folds, ["restaurant_id"], SERIES)
         .withColumn("seen", seen)
         .withColumn("hits", hits)
         .withColumn("gaps", F.filter(steps, lambda gap: gap > 0))

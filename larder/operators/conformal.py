@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import KEY, SERIES
+from .joins import salted_join
 from .quantiles import interpolated
 
 
@@ -73,7 +74,7 @@ def conformal_intervals(
     The earlier training days give the band per series and weekday, the later ones the scores; the
     ceil((n + 1) * confidence)-th smallest score of a tenant moves both ends.
     """
-    rows = train.join(split_days(train, conformalize_share), "restaurant_id").withColumn(
+    rows = salted_join(train, split_days(train, conformalize_share), ["restaurant_id"], ["business_date"]).withColumn(
         "day_of_week", F.weekday("business_date")
     )
     fit = rows.where("business_date < split_day")
@@ -89,14 +90,10 @@ def conformal_intervals(
     )
     widen = kth_smallest(scores, ["restaurant_id"], "score", rank)
     keyed = targets.select(KEY).withColumn("day_of_week", F.weekday("business_date"))
-    return (
-        keyed.join(band, [*SERIES, "day_of_week"])
-        .join(widen, "restaurant_id")
-        .select(
-            *KEY,
-            F.greatest(F.col("lo") - F.col("score"), F.lit(0.0)).alias("lower"),
-            F.greatest(F.col("hi") + F.col("score"), F.lit(0.0)).alias("upper"),
-        )
+    return salted_join(keyed.join(band, [*SERIES, "day_of_week"]), widen, ["restaurant_id"], ["business_date"]).select(
+        *KEY,
+        F.greatest(F.col("lo") - F.col("score"), F.lit(0.0)).alias("lower"),
+        F.greatest(F.col("hi") + F.col("score"), F.lit(0.0)).alias("upper"),
     )
 
 

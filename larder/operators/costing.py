@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.money import food_cost_pct_display, food_cost_tier, round_quarter
 from ..functions.text import headline, normalize_name, strip
 from ..functions.units import convert_units
+from ..sources.staging import stage
 from .joins import salted_join
-from .pricing import INGREDIENT, latest_price, price_trend, significant_moves
+from .pricing import INGREDIENT, daily_price, latest_of_days, latest_price, pair_of_days, significant_moves, trend_of_pairs
 
 DISH = ["restaurant_id", "dish_id"]
 
@@ -325,9 +326,11 @@ def affected_dishes(bom: DataFrame, prices: DataFrame, threshold: float = 0.10)
 
     Other ingredients stay at their latest price. A dish's latest total is computed once; swapping
     the moving ingredient's prior price into it gives the earlier cost, so a move never unfolds
-    into all lines of its dishes. Dishes with an uncosted line stay in, marked uncosted.
+    into all lines of its dishes. Dishes with an uncosted line stay in, marked uncosted. The price
+    history is read once: the daily prices are staged, and latest and prior prices come from them.
     """
-    lines = bom_price_join(bom, latest_price(prices))
+    days = stage(daily_price(prices), "daily-price")
+    lines = bom_price_join(bom, latest_of_days(days))
     totals = lines.groupBy(DISH).agg(
         F.min("dish_name").alias("dish_name"),
         F.sum("line_cost").alias("latest_cost"),
@@ -336,7 +339,7 @@ def affected_dishes(bom: DataFrame, prices: DataFrame, threshold: float = 0.10)
     usage = lines.groupBy(*DISH, "ingredient_id").agg(
         F.sum("line_qty").alias("used_qty"), F.sum("line_cost").alias("used_cost")
     )
-    moves = significant_moves(price_trend(prices), threshold)
+    moves = significant_moves(trend_of_pairs(pair_of_days(days)), threshold)
     rows = salted_join(usage, moves, INGREDIENT, ["dish_id"]).join(totals, DISH)
     others = F.col("latest_cost") - F.col("used_cost")
     priced = F.col("costed")
@@ -372,7 +375,7 @@ def opportunity_totals(affected: DataFrame) -> DataFrame:
 
 def opportunities(bom: DataFrame, prices: DataFrame, threshold: float = 0.10) -> DataFrame:
     """Costed dishes of every move, with the move's total impact: the flat findings table."""
-    affected = affected_dishes(bom, prices, threshold)
+    affected = stage(affected_dishes(bom, prices, threshold), "affected")
     totals = opportunity_totals(affected).select(
         *INGREDIENT, "days_span", "impact", "costed_dish_count", "uncosted_dish_count"
     )
@@ -407,7 +410,8 @@ def headlines(totals: DataFrame) -> DataFrame:
 def findings(bom: DataFrame, prices: DataFrame, threshold: float = 0.10) -> DataFrame:
     """Findings for presentation: one row per move with its dishes as an array, biggest impact
     first. A move's dishes are bounded by the tenant's menu."""
-    affected = affected_dishes(bom, prices, threshold).where("costed")
+    every = stage(affected_dishes(bom, prices, threshold), "affected")
+    affected = every.where("costed")
     prior, new = (round_quarter(F.round(c, 9)) for c in ("prior_cost", "new_cost"))
     dish = F.struct(
         (-F.abs("delta")).alias("rank"),
@@ -417,7 +421,7 @@ def findings(bom: DataFrame, prices: DataFrame, threshold: float = 0.10) -> Data
         (new - prior).alias("delta"),
     )
     dishes = affected.groupBy(INGREDIENT).agg(F.array_sort(F.collect_list(dish)).alias("affected_dishes"))
-    totals = opportunity_totals(affected_dishes(bom, prices, threshold))
+    totals = opportunity_totals(every)
     return (
         totals.join(headlines(totals), INGREDIENT)
         .join(dishes, INGREDIENT)

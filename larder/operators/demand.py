@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.calendar import PERIODS, daypart, flag, log_hour
 from . import KEY
+from .joins import salted_join
+from .quality import config_name_drift
 
 
 def void_flag() -> Column:
@@ -68,13 +70,22 @@ def _known_item(name: Column, item_id: Column) -> Column:
     return F.when(name.isNotNull() & item_id.isNull(), F.raise_error(message).cast("string")).otherwise(item_id)
 
 
+def alias_map(aliases: DataFrame) -> DataFrame:
+    """One row per tenant and display name with its item id; a name of two items fails the job."""
+    names = aliases.groupBy("restaurant_id", F.col("alias").alias("item_name")).agg(
+        F.min("item_id").alias("item_id"), F.max("item_id").alias("other")
+    )
+    message = F.concat(F.lit("alias of two items: "), F.col("item_name"))
+    known = F.when(F.col("item_id").eqNullSafe(F.col("other")), F.col("item_id")).otherwise(F.raise_error(message).cast("string"))
+    return names.select("restaurant_id", "item_name", known.alias("item_id"))
+
+
 def reconcile_names(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """Replace the drifting display name by the stable item id.
 
     ``rows`` are sums per name and day, so one name holds no more rows than there are days.
     """
-    names = aliases.select("restaurant_id", F.col("alias").alias("item_name"), "item_id").distinct()
-    joined = rows.join(names, ["restaurant_id", "item_name"], "left")
+    joined = rows.join(alias_map(aliases), ["restaurant_id", "item_name"], "left")
     return joined.withColumn("item_id", _known_item(F.col("item_name"), F.col("item_id")))
 
 
@@ -106,19 +117,20 @@ def _menu(aliases: DataFrame) -> DataFrame:
 def demand_grid(daily: DataFrame, aliases: DataFrame, periods: DataFrame | Sequence[str] = PERIODS) -> DataFrame:
     """Every selling day x menu item x daypart, zero where nothing sold.
 
-    One pass: a day's few sold cells travel as one row, the zero cells are added next to them, and
-    the final sum stays in that day's partition. ``periods`` is either the configured list or a
-    table (restaurant_id, periods).
+    A day's few sold cells travel as one row and its zero cells are added next to them. Days of
+    a large tenant meet their menu spread over tasks. ``periods`` is either the configured list or
+    a table (restaurant_id, periods).
     """
     cell = F.struct("item_id", "service_period", F.col("qty").cast("bigint").alias("qty"))
     days = daily.groupBy("restaurant_id", "business_date").agg(
         F.collect_list(F.when(F.col("item_id").isNotNull(), cell)).alias("sold")
     )
-    days = days.join(_menu(aliases), "restaurant_id")
+    menu = _menu(aliases)
     if isinstance(periods, DataFrame):
-        days = days.join(periods, "restaurant_id")
+        menu = menu.join(periods, "restaurant_id")
     else:
-        days = days.withColumn("periods", F.array(*[F.lit(p) for p in sorted(periods)]))
+        menu = menu.withColumn("periods", F.array(*[F.lit(p) for p in sorted(periods)]))
+    days = salted_join(days, menu, ["restaurant_id"], ["business_date"])
     empty = F.flatten(
         F.transform(
             "menu",
@@ -136,19 +148,21 @@ def demand_grid(daily: DataFrame, aliases: DataFrame, periods: DataFrame | Seque
 
 def observed_demand(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     """Naive demand: voids out, names reconciled, grid over the dayparts each tenant sold in."""
-    sold = drop_voids(lines)
-    daily = daily_item_sales(sold, aliases)
-    periods = with_daypart(sold).groupBy("restaurant_id").agg(F.collect_set("service_period").alias("periods"))
+    return observed_grid(daily_item_sales(drop_voids(lines), aliases), aliases)
+
+
+def observed_grid(daily: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The same from daily sums. They are read twice, so a job over many raw lines stages them."""
+    periods = daily.groupBy("restaurant_id").agg(F.collect_set("service_period").alias("periods"))
     return demand_grid(daily, aliases, periods)
 
 
 def censored_keys(log: DataFrame, aliases: DataFrame) -> DataFrame:
     """Distinct (day, item, daypart) sold out according to the log; unknown names are dropped."""
-    names = aliases.select("restaurant_id", F.col("alias").alias("item_name"), "item_id").distinct()
     entries = log.select(
         "restaurant_id", "business_date", "item_name", daypart(log_hour(F.col("time_86d"))).alias("service_period")
     ).distinct()
-    return entries.join(names, ["restaurant_id", "item_name"]).select(KEY).distinct()
+    return entries.join(alias_map(aliases), ["restaurant_id", "item_name"]).select(KEY).distinct()
 
 
 def censor_tag(demand: DataFrame, log: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -157,7 +171,22 @@ def censor_tag(demand: DataFrame, log: DataFrame, aliases: DataFrame) -> DataFra
     return demand.join(keys, KEY, "left").withColumn("censored", F.coalesce("censored", F.lit(False)))
 
 
-def clean_demand(lines: DataFrame, log: DataFrame, aliases: DataFrame, staff: Sequence[str]) -> DataFrame:
-    """Demand grid over the configured dayparts without voids and staff meals, sell-outs marked."""
+def refuse_drift(aliases: DataFrame, economics: DataFrame) -> DataFrame:
+    """The alias map; a configured item name that no alias carries fails the job."""
+    drifted = config_name_drift(economics, aliases).groupBy("restaurant_id").agg(F.min("name").alias("drifted"))
+    message = F.concat(F.lit("configured name without an alias: "), F.col("drifted"))
+    item = F.when(F.col("drifted").isNull(), F.col("item_id")).otherwise(F.raise_error(message).cast("string"))
+    return aliases.join(drifted, "restaurant_id", "left").select("restaurant_id", item.alias("item_id"), "alias")
+
+
+def clean_demand(
+    lines: DataFrame, log: DataFrame, aliases: DataFrame, staff: Sequence[str], economics: DataFrame | None = None
+) -> DataFrame:
+    """Demand grid over the configured dayparts without voids and staff meals, sell-outs marked.
+
+    With ``economics`` (restaurant_id, item_id, name) its names have to be known as aliases.
+    """
+    if economics is not None:
+        aliases = refuse_drift(aliases, economics)
     daily = daily_item_sales(kept_lines(lines, staff), aliases)
     return censor_tag(demand_grid(daily, aliases), log, aliases).select(*KEY, "demand", "censored")

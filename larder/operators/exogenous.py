@@ -1,80 +1,12 @@
-"""Demand drivers and depletion: sell-out caps, weather flags, event lift, ingredient use."""
+"""What kitchens use up between two orders."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from . import KEY
-
-# Sellable share of a cap, weather thresholds and factors, event lift per crowd band,
-# lunch share of the lift, order weekdays (Monday is 0).
-SELLABLE_SHARE = 0.94
-RAIN_MM, RAIN_FACTOR = 5.0, 0.88
-HEAT_F, HEAT_FACTOR = 90.0, 0.93
-WARM_F, COLD_WEEK_F, FIRST_WARM_FACTOR = 58.0, 48.0, 1.12
-UNKNOWN_DAY_F = 40.0
-EVENT_LIFT = {"low": 1.08, "medium": 1.16, "high": 1.26}
-LUNCH_SHARE = 0.3
+# Fixed value: weekdays on which is ordered (Monday is 0).
 ORDER_WEEKDAYS = (0, 3)
 
 
-def _cap():
-    return F.rint(F.col("cap") * SELLABLE_SHARE).cast("bigint")
-
-
-def stockout_detect(demand: DataFrame, caps: DataFrame) -> DataFrame:
-    """Cells whose demand exceeded what the kitchen could sell, with the sales left visible."""
-    joined = demand.join(caps, ["restaurant_id", "item_id"])
-    cut = joined.withColumn("cap", _cap()).where(F.col("demand") > F.col("cap"))
-    return cut.select(
-        *KEY, "cap", F.col("demand").alias("true_demand"), F.least("demand", "cap").alias("observed_demand")
-    )
-
-
-def weather_flags(weather: DataFrame) -> DataFrame:
-    """Rain, heat and first-warm-day flags with the resulting demand factor. Missing days among the
-    seven before count as 40 °F. One row per tenant and calendar day."""
-    week = Window.partitionBy("restaurant_id").orderBy("_day").rangeBetween(-7, -1)
-    known = F.coalesce(F.sum("temp_high").over(week), F.lit(0.0))
-    missing = 7 - F.count("temp_high").over(week)
-    rows = weather.withColumn("_day", F.unix_date("date")).withColumn(
-        "prior_week_mean", (known + missing * UNKNOWN_DAY_F) / 7
-    )
-    rain = F.coalesce(F.col("precip_mm") > RAIN_MM, F.lit(False))
-    heat = F.coalesce(F.col("temp_high") > HEAT_F, F.lit(False))
-    warm = F.coalesce((F.col("temp_high") > WARM_F) & (F.round("prior_week_mean", 9) < COLD_WEEK_F), F.lit(False))
-    factor = (
-        F.when(rain, RAIN_FACTOR).otherwise(1.0)
-        * F.when(heat, HEAT_FACTOR).otherwise(1.0)
-        * F.when(warm, FIRST_WARM_FACTOR).otherwise(1.0)
-    )
-    return rows.select(
-        "restaurant_id",
-        "date",
-        rain.alias("is_rain"),
-        heat.alias("is_heat"),
-        warm.alias("is_first_warm_day"),
-        "prior_week_mean",
-        factor.alias("weather_factor"),
-    )
-
-
-def event_lift(days: DataFrame, events: DataFrame, periods: tuple[str, ...] = ("lunch", "dinner")) -> DataFrame:
-    """Demand factor per day and daypart; of several events on a day the last listed one counts."""
-    last = events.groupBy("restaurant_id", F.col("event_date").alias("date")).agg(
-        F.max_by("expected_attendance_band", "seq").alias("band")
-    )
-    band = F.col("band")
-    lift = F.when(band == "low", EVENT_LIFT["low"]).when(band == "medium", EVENT_LIFT["medium"])
-    lift = lift.when(band == "high", EVENT_LIFT["high"])
-    rows = days.join(last, ["restaurant_id", "date"], "left").withColumn(
-        "service_period", F.explode(F.array(*[F.lit(p) for p in periods]))
-    )
-    factor = F.when(F.col("service_period") == "dinner", lift).otherwise(1.0 + (lift - 1.0) * LUNCH_SHARE)
-    return rows.select(
-        "restaurant_id", "date", "service_period", "band", F.coalesce(factor, F.lit(1.0)).alias("event_factor")
-    )
-
-
 def ingredient_depletion(demand: DataFrame, recipes: DataFrame) -> DataFrame:
     """Ingredient used up between order days: portions times recipe quantity, summed per cycle.
 

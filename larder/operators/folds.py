@@ -114,7 +114,7 @@ def forecast_frame(demand: DataFrame, folds: DataFrame) -> DataFrame:
         F.collect_set("item_id").alias("items"), F.collect_set("service_period").alias("periods")
     )
     days = test_rows(demand.select("restaurant_id", "business_date").distinct(), folds)
-    cells = days.join(menu, "restaurant_id").withColumn("item_id", F.explode("items"))
+    cells = salted_join(days, menu, ["restaurant_id"], ["business_date"]).withColumn("item_id", F.explode("items"))
     return cells.withColumn("service_period", F.explode("periods")).select(
         *KEY, "fold", "train_start", "train_end", "test_start", "test_end"
     )

@@ -6,8 +6,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 SALTS = 16
-# Rows a table may have to be sent to every task: some tens of megabytes at a hundred bytes each.
-BROADCAST_ROWS = 200_000
 
 
 def shuffle_width(df: DataFrame) -> int:
@@ -38,12 +36,10 @@ def salted_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def dimension_join(big: DataFrame, dimension: DataFrame, keys: Sequence[str], salt_by: Sequence[str]) -> DataFrame:
+def dimension_join(big: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join of raw lines with a stored dimension table.
 
-    The dimension is counted first, which reads file footers only. A small one is broadcast, so the
-    lines are not shuffled at all; beyond the bound the join is salted.
+    Left to Spark: a small dimension is broadcast by its size check, and where both sides are shuffled,
+    adaptive execution splits the partitions of a hot key, as neither side is aggregated below the join.
     """
-    if dimension.count() <= BROADCAST_ROWS:
-        return big.join(F.broadcast(dimension), list(keys))
-    return salted_join(big, dimension, keys, salt_by)
+    return big.join(dimension, list(keys))

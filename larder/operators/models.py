@@ -6,6 +6,7 @@ level rather than as a category, so the feature count does not grow with the num
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import pandas as pd
@@ -14,23 +15,28 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from . import KEY, SERIES
-from .joins import shuffle_width
+from .joins import salted_join, shuffle_width
 from .quantiles import CELL, STANDARD_LEVELS, noncrossing
 
 SEED = 42
 _PAST = ["lag_1", "lag_7", "lag_14", "rolling_mean_7", "rolling_std_7", "rolling_mean_28"]
-_CALENDAR = ["is_dinner", "day_of_week", "is_weekend", "week_of_year", "month", "era_id", "era_days_elapsed"]
+_CALENDAR = ["daypart", "day_of_week", "is_weekend", "week_of_year", "month", "era_id", "era_days_elapsed"]
 TREE_INPUTS = ["level", *_CALENDAR, *_PAST, *[f"{c}_missing" for c in _PAST]]
 LINEAR_INPUTS = ["log_level", "is_dinner", *[f"dow_{d}" for d in range(1, 7)], "log_mean_28", "log_lag_7"]
 
 
 def series_levels(train: DataFrame) -> DataFrame:
-    """Mean training demand per series."""
-    return train.groupBy(SERIES).agg(F.avg("demand").alias("level"))
+    """Mean training demand per series, and a number for its daypart: the mean rank of that daypart's
+    demand among those of its item, so that any number of dayparts stays apart."""
+    levels = train.groupBy(SERIES).agg(F.avg("demand").alias("level"))
+    item = Window.partitionBy("restaurant_id", "item_id").orderBy("level", "service_period")
+    ranked = levels.withColumn("place", F.row_number().over(item))
+    dayparts = ranked.groupBy("restaurant_id", "service_period").agg(F.avg("place").alias("daypart"))
+    return levels.join(dayparts, ["restaurant_id", "service_period"])
 
 
 def encode(features: DataFrame, levels: DataFrame) -> DataFrame:
@@ -38,6 +44,7 @@ def encode(features: DataFrame, levels: DataFrame) -> DataFrame:
     rows = features.join(levels, SERIES, "left").withColumns(
         {
             "level": F.coalesce("level", F.lit(0.0)),
+            "daypart": F.coalesce("daypart", F.lit(0.0)),
             "is_dinner": (F.col("service_period") == "dinner").cast("int"),
         }
     )
@@ -109,6 +116,12 @@ def point_gbm(features: DataFrame, n_folds: int, kind: str = "gbm", name: str |
     return out.withColumn("model", F.lit(name or kind))
 
 
+def forest_by_fold(features: DataFrame, n_folds: int, levels: tuple[float, ...] = STANDARD_LEVELS) -> DataFrame:
+    """Quantile forecasts of every fold's test cells, one forest per fold."""
+    parts = [forest_quantiles(*fold_split(features, fold), levels) for fold in range(n_folds)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def feature_importance(model: PipelineModel, spark) -> DataFrame:
     """Inputs ranked by how much the trees used them."""
     trees = model.stages[-1]
@@ -170,7 +183,7 @@ def model_contract(
 
     group = [*SERIES, "fold"]
     bounds = targets.select("restaurant_id", "fold", "train_start", "train_end").distinct()
-    history = demand.join(bounds, "restaurant_id").where(
+    history = salted_join(demand, bounds, ["restaurant_id"], ["business_date"]).where(
         F.col("business_date").between(F.col("train_start"), F.col("train_end"))
     )
     # Both sides may stem from one table; fresh column identities keep the pairing unambiguous.

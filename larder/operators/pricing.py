@@ -1,7 +1,7 @@
 """Ingredient price history: latest prices, trends, moves and retention."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 INGREDIENT = ["restaurant_id", "ingredient_id"]
 # Days a price must be older to count as prior, move worth reporting, days kept.
@@ -12,8 +12,13 @@ RETENTION_DAYS = 400
 
 def latest_price(prices: DataFrame) -> DataFrame:
     """Newest price per ingredient; of two on one day the one ingested later wins."""
+    return latest_of_days(daily_price(prices))
+
+
+def latest_of_days(days: DataFrame) -> DataFrame:
+    """The newest row of every ingredient in a table of daily prices."""
     row = F.struct("ingredient_name", "unit_price", "observed_date")
-    newest = daily_price(prices).groupBy(INGREDIENT).agg(F.max_by(row, "observed_date").alias("last"))
+    newest = days.groupBy(INGREDIENT).agg(F.max_by(row, "observed_date").alias("last"))
     return newest.select(*INGREDIENT, "last.*")
 
 
@@ -36,32 +41,41 @@ def daily_price(prices: DataFrame) -> DataFrame:
 def price_asof(prices: DataFrame, as_of: str | None = None, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """Price on or before the as-of day, and the newest one at least ``lookback_days`` older.
 
-    ``as_of`` defaults to each tenant's last observation. An ingredient without a price old enough
+    ``as_of`` defaults to each ingredient's last observation. An ingredient without a price old enough
     has no row.
     """
-    points = F.struct("observed_date", "unit_price", "ingredient_name")
     days = daily_price(prices)
     if as_of is not None:
         days = days.where(F.col("observed_date") <= F.lit(as_of).cast("date"))
-    history = days.groupBy(INGREDIENT).agg(F.array_sort(F.collect_list(points)).alias("points"))
-    current = F.element_at("points", -1)
-    older = F.filter("points", lambda p: p["observed_date"] <= F.date_sub(current["observed_date"], lookback_days))
-    prior = F.get(older, F.size(older) - 1)
-    return history.where(F.size(older) > 0).select(
+    return pair_of_days(days, lookback_days)
+
+
+def pair_of_days(days: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+    """Current and prior price from a table of daily prices, which has one row per calendar day."""
+    point = F.struct("observed_date", "unit_price", "ingredient_name")
+    newest = F.max("observed_date").over(Window.partitionBy(*INGREDIENT))
+    old_enough = F.when(F.col("observed_date") <= F.date_sub("newest", lookback_days), F.col("observed_date"))
+    pairs = days.withColumn("newest", newest).groupBy(INGREDIENT).agg(
+        F.max_by(point, "observed_date").alias("current"), F.max_by(point, old_enough).alias("prior")
+    )
+    return pairs.where("prior is not null").select(
         *INGREDIENT,
-        current["ingredient_name"].alias("ingredient_name"),
-        current["unit_price"].alias("current_price"),
-        prior["unit_price"].alias("prior_price"),
-        current["observed_date"].alias("current_observed_date"),
-        prior["observed_date"].alias("prior_observed_date"),
+        F.col("current.ingredient_name").alias("ingredient_name"),
+        F.col("current.unit_price").alias("current_price"),
+        F.col("prior.unit_price").alias("prior_price"),
+        F.col("current.observed_date").alias("current_observed_date"),
+        F.col("prior.observed_date").alias("prior_observed_date"),
     )
 
 
 def price_trend(prices: DataFrame, as_of: str | None = None, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
-    pair = price_asof(prices, as_of, lookback_days)
+    return trend_of_pairs(price_asof(prices, as_of, lookback_days))
+
+
+def trend_of_pairs(pairs: DataFrame) -> DataFrame:
     change = (F.col("current_price") - F.col("prior_price")) / F.col("prior_price")
     direction = F.when(F.col("pct_change") > 0, "up").when(F.col("pct_change") < 0, "down").otherwise("flat")
-    return pair.withColumn("pct_change", change).withColumn("direction", direction)
+    return pairs.withColumn("pct_change", change).withColumn("direction", direction)
 
 
 def significant_moves(trend: DataFrame, threshold: float = SIGNIFICANT) -> DataFrame:

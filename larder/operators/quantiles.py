@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.money import critical_ratio
 from . import KEY, SERIES
 from .folds import train_rows
+from .joins import salted_join
 
 # Quantile levels every model serves.
 STANDARD_LEVELS = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
@@ -76,7 +77,7 @@ def _targets_with_sample(samples: DataFrame, targets: DataFrame) -> DataFrame:
 def empirical_quantiles(samples: DataFrame, targets: DataFrame, levels: DataFrame) -> DataFrame:
     """Forecast table from the empirical distribution of each series and weekday."""
     per_tenant = checked_levels(levels).groupBy("restaurant_id").agg(F.sort_array(F.collect_list("quantile")).alias("qs"))
-    curves = samples.join(per_tenant, "restaurant_id").withColumn("quantile", F.explode("qs"))
+    curves = salted_join(samples, per_tenant, ["restaurant_id"], SERIES).withColumn("quantile", F.explode("qs"))
     curves = curves.select(
         *SERIES,
         "fold",

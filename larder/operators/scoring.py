@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.money import dollar_loss
 from . import KEY, SERIES
+from .joins import salted_join
 from .quantiles import CELL, level_of, q_star, quantile_curve
 
 
@@ -109,7 +110,7 @@ def touching_folds(demand: DataFrame, folds: DataFrame) -> DataFrame:
     cut = demand.where("censored").select("restaurant_id", "item_id", "business_date").distinct()
     day = F.col("business_date")
     return (
-        cut.join(folds, "restaurant_id")
+        salted_join(cut, folds, ["restaurant_id"], ["business_date"])
         .where(day.between(F.col("test_start"), F.col("test_end")))
         .select("restaurant_id", "fold", "item_id")
         .distinct()

@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import KEY
 from ..operators.conformal import conformal_coverage, conformal_intervals
+from ..operators.features import feature_frame
 from ..operators.folds import train_rows
+from ..operators.models import forest_by_fold
 from ..operators.quantiles import empirical_quantiles, required_levels, weekday_samples
 from ..operators.scoring import coverage, pit, pit_summary, underage_per_item
 from ..operators.unconstrain import unconstrain
 from ..sources.staging import stage
-from .floors import Backtest, end_anchored
+from .floors import CURVE_LEVELS, Backtest, end_anchored
 
 
 @dataclass
@@ -29,6 +31,13 @@ def calibration_inputs(clean: DataFrame, economics: DataFrame, **windows) -> Cal
     return Calibration(run, quantiles)
 
 
+def trained_inputs(clean: DataFrame, eras: DataFrame, n_folds: int = 4) -> Calibration:
+    """The same with a quantile forest per fold."""
+    run = end_anchored(stage(unconstrain(clean).select(*KEY, "demand"), "unconstrained"), n_folds=n_folds)
+    features = stage(feature_frame(run.demand, run.folds, eras), "features")
+    return Calibration(run, forest_by_fold(features, n_folds, CURVE_LEVELS))
+
+
 def last_fold(folds: DataFrame) -> DataFrame:
     latest = folds.groupBy("restaurant_id").agg(F.max("fold").alias("fold"))
     return folds.join(latest, ["restaurant_id", "fold"]).select(folds.columns)
@@ -42,9 +51,11 @@ def conformal(inputs: Calibration, truth: DataFrame, confidence: float = 0.8) ->
     return conformal_coverage(conformal_intervals(train, targets, confidence), truth, confidence)
 
 
-def calibration_run(clean: DataFrame, truth: DataFrame, economics: DataFrame, **windows) -> DataFrame:
+def calibration_run(
+    clean: DataFrame, truth: DataFrame, economics: DataFrame, inputs: Calibration | None = None, **windows
+) -> DataFrame:
     """All checks in one long table: section, label, value and row count per tenant."""
-    inputs = calibration_inputs(clean, economics, **windows)
+    inputs = inputs or calibration_inputs(clean, economics, **windows)
     quantiles = stage(inputs.quantiles, "quantiles")
 
     def section(df: DataFrame, name: str, label, value: str) -> DataFrame:

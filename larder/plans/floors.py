@@ -14,7 +14,8 @@ from ..operators import KEY
 from ..operators.baselines import baseline_croston, long_forecasts, naive_forecasts
 from ..operators.features import day_ahead_features, feature_frame, lag_fill_rate
 from ..operators.folds import assert_no_leakage, forecast_frame, tail_folds, test_rows, walk_forward_folds
-from ..operators.models import POINT_MODELS, encode, point_gbm, predict_point, series_levels
+from ..operators.joins import salted_join
+from ..operators.models import POINT_MODELS, encode, forest_by_fold, point_gbm, predict_point, series_levels
 from ..operators.quantiles import (
     CELL,
     empirical_mean,
@@ -80,7 +81,7 @@ def point_floor(demand: DataFrame, economics: DataFrame, eras: DataFrame, kind:
 
 
 def unconstrain_floor(
-    clean: DataFrame, truth: DataFrame, economics: DataFrame, eras: DataFrame, kind: str = "poisson", n_folds: int = 4
+    clean: DataFrame, truth: DataFrame, economics: DataFrame, eras: DataFrame, kind: str = "gbm", n_folds: int = 4
 ) -> DataFrame:
     """The point model trained on clean against recovered demand, both scored on one ruler.
 
@@ -149,13 +150,33 @@ def newsvendor_floor(clean: DataFrame, economics: DataFrame, **windows) -> DataF
     return fold_scores(newsvendor_scored(clean, economics, **windows))
 
 
+#: Levels of a trained curve; prep quantities are read between them.
+CURVE_LEVELS = (0.05, 0.10, 0.25, 0.40, 0.50, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95, 0.99)
+
+
+def newsvendor_trained(clean: DataFrame, economics: DataFrame, eras: DataFrame, n_folds: int = 4) -> DataFrame:
+    """The same comparison with trained models: prep at the point model's forecast against prep at
+    the critical ratio of the quantile forest, both fitted on recovered demand."""
+    batch = route_batch(economics)
+    wanted = batch.select("restaurant_id", "item_id")
+    run = end_anchored(stage(unconstrain(clean).select(*KEY, "demand"), "unconstrained"), n_folds=n_folds)
+    features = stage(feature_frame(run.demand, run.folds, eras), "features")
+    curves = stage(forest_by_fold(features, n_folds, CURVE_LEVELS), "curves")
+    policy = newsvendor_policy(curves, batch).select(*CELL, F.col("prep_quantity").alias("forecast"))
+    point = point_gbm(features, n_folds, "gbm", "point_as_mean")
+    forecasts = point.unionByName(policy.withColumn("model", F.lit("quantile_newsvendor")))
+    forecasts = forecasts.join(wanted, ["restaurant_id", "item_id"], "left_semi")
+    actuals = run.actuals.join(wanted, ["restaurant_id", "item_id"], "left_semi")
+    return fold_scores(score_join(actuals, forecasts, batch, ["point_as_mean", "quantile_newsvendor"]))
+
+
 def day_ahead_run(
     demand: DataFrame,
     economics: DataFrame,
     eras: DataFrame,
     test_days: int = 14,
     min_train_weeks: int = 12,
-    kind: str = "poisson",
+    kind: str = "gbm",
 ) -> DataFrame:
     """The last ``test_days`` days scored one day ahead: each day sees all earlier actuals.
 
@@ -170,7 +191,7 @@ def day_ahead_run(
     short = F.size("days") < min_train_weeks * 7 + test_days
     cut = F.when(short, F.raise_error(F.lit("not enough history for a day-ahead run")).cast("date"))
     cut = last.select("restaurant_id", cut.otherwise(F.get("days", F.lit(test_days - 1))).alias("first_test_day"))
-    features = stage(day_ahead_features(demand, eras).join(cut, "restaurant_id"), "features")
+    features = stage(salted_join(day_ahead_features(demand, eras), cut, ["restaurant_id"], ["business_date"]), "features")
     train = features.where("business_date < first_test_day")
     test = features.where("business_date >= first_test_day")
     levels = series_levels(train)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from ..sources.driver_views import ITEM_ECONOMICS, MENU_ERAS
+from ..sources.driver_views import MENU_ERAS
 
 
 def norm(x: str) -> str:
@@ -58,8 +58,13 @@ FROM (SELECT DISTINCT p_type FROM part) p, {BOTH} b,
 """
 VIEWS["menu_eras"] = f"SELECT * FROM (VALUES {MENU_ERAS}) AS t(start_date, era_id)"
 VIEWS["item_economics"] = f"""
-SELECT b.restaurant_id, item_id, name, prep_type, CAST(co AS DOUBLE) AS co, CAST(cu AS DOUBLE) AS cu, lead_time_days, notes
-FROM (VALUES {ITEM_ECONOMICS.replace("AS STRING", "AS VARCHAR")}) AS t(item_id, name, prep_type, co, cu, lead_time_days, notes), {BOTH} b
+SELECT b.restaurant_id, lower(p_type) AS item_id,
+  CASE k % 3 WHEN 1 THEN upper(p_type) WHEN 2 THEN 'House ' || upper(p_type) ELSE ' ' || lower(p_type) END AS name,
+  CASE WHEN k % 3 = 0 THEN 'made_to_order' ELSE 'batch' END AS prep_type,
+  3.0::DOUBLE + price % 1100 / 100.0::DOUBLE AS co, 4.0::DOUBLE + price % 1700 / 100.0::DOUBLE AS cu,
+  CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END AS lead_time_days, CASE WHEN k % 7 = 0 THEN 'braise starts the prior afternoon' END AS notes
+FROM (SELECT p_type, ascii(p_type) + length(p_type) AS k, CAST(sum(CAST(round_even(p_retailprice * 100, 0) AS BIGINT)) // count(*) AS BIGINT) AS price
+      FROM part GROUP BY p_type) t, {BOTH} b
 """
 VIEWS["kept_lines"] = f"SELECT * FROM pos_sales WHERE NOT {ANOMALY} AND NOT {VOID} AND NOT {STAFF}"
 VIEWS["unvoided_lines"] = f"SELECT * FROM pos_sales WHERE NOT {VOID}"
@@ -457,31 +462,40 @@ FROM (
 """
 VIEWS["newsvendor_scores"] = _scores("newsvendor_scored")
 
+VIEWS["kinds"] = "SELECT p_name, p_brand, min(p_size) AS size FROM part GROUP BY ALL"
 VIEWS["bom"] = f"""
 SELECT {norm("p_name")} AS dish_id, p_name AS dish_name, {norm("p_brand")} AS ingredient_id, p_brand AS ingredient_name,
        CAST(size AS DOUBLE) AS qty,
        CASE WHEN size = 50 THEN 'each' ELSE ['oz', 'lb', 'cup', 'g'][size % 4 + 1] END AS recipe_unit,
        CASE WHEN size = 50 THEN 'g' ELSE ['oz', 'oz', 'fl oz', 'kg'][size % 4 + 1] END AS canonical_unit,
        (50 + size) / 100.0::DOUBLE AS yield_factor, restaurant_id
-FROM (SELECT p_name, p_brand, min(p_size) AS size FROM part GROUP BY ALL) p, {BOTH} b
+FROM (
+  SELECT p_name, p_brand, size, restaurant_id FROM kinds, {BOTH} b
+  UNION ALL SELECT 'new ' || p_name, p_brand, size, restaurant_id FROM kinds, {BOTH} b WHERE p_name LIKE 'old%'
+  UNION ALL SELECT p_name, 'Brand#99', min(size), 'r1' FROM kinds WHERE length(p_name) % 4 = 1 GROUP BY p_name
+) p
 """
 VIEWS["price_observations"] = f"""
 SELECT seq, {norm("p_brand")} AS ingredient_id, p_brand AS ingredient_name,
        l_extendedprice / (l_quantity * 40000.0::DOUBLE) AS unit_price,
        CASE WHEN l_orderkey % 10 <> 0 THEN 'INV' || CAST(l_orderkey AS VARCHAR) END AS source_invoice,
        business_date AS observed_date, restaurant_id
-FROM lines WHERE NOT (restaurant_id = 'r1' AND p_brand = 'Brand#1')
+FROM lines
 """
 VIEWS["sales_export"] = r"""
 SELECT seq, CASE WHEN l_orderkey % 2 = 1 THEN ' ' || upper(p_name) || chr(9) ELSE p_name END AS dish_name,
        CAST(l_quantity AS BIGINT) AS count, CAST(date_trunc('week', business_date) AS DATE) AS period_start,
        CAST(date_trunc('week', business_date) AS DATE) + 6 AS period_end, restaurant_id
 FROM lines
+UNION ALL
+SELECT -seq, 'Special ' || p_name, CAST(l_quantity AS BIGINT), CAST(date_trunc('week', business_date) AS DATE),
+       CAST(date_trunc('week', business_date) AS DATE) + 6, restaurant_id
+FROM lines WHERE l_orderkey % 101 = 0
 """
 VIEWS["menu_prices"] = f"""
 SELECT restaurant_id, u.dish_name, u.menu_price, u.updated_at FROM (
   SELECT p_name, CAST(sum(CAST(round_even(p_retailprice * 100, 0) AS BIGINT)) // count(*) AS BIGINT) / 100.0::DOUBLE AS price
-  FROM part WHERE p_name NOT LIKE 'old%' GROUP BY p_name
+  FROM part GROUP BY p_name
 ) p, {BOTH} b, LATERAL (
   SELECT p.p_name AS dish_name, p.price AS menu_price, TIMESTAMP '2024-06-01 09:00:00' AS updated_at
   UNION ALL
@@ -574,18 +588,6 @@ SELECT restaurant_id, ingredient_id, ingredient_name, pct_change, direction,
        CAST(any_value(current_observed_date - prior_observed_date) AS INTEGER) AS days_span
 FROM affected GROUP BY ALL HAVING count(*) FILTER (costed) > 0
 """
-VIEWS["weather"] = """
-SELECT 'r' || CAST(user_id % 2 AS VARCHAR) AS restaurant_id, CAST(ts AS DATE) AS date,
-       30 + (sum(CAST(round_even(value * 100, 0) AS BIGINT)) % 7000) / 100.0::DOUBLE AS temp_high,
-       CAST(count(*) FILTER (event_type = 'error') % 12 AS DOUBLE) AS precip_mm
-FROM events GROUP BY ALL
-"""
-VIEWS["events_calendar"] = """
-SELECT restaurant_id, event_date, ['low', 'medium', 'high'][n % 4] AS band FROM (
-  SELECT 'r' || CAST(user_id % 2 AS VARCHAR) AS restaurant_id, CAST(ts AS DATE) AS event_date, count(*) AS n
-  FROM events WHERE event_type = 'purchase' GROUP BY ALL
-) x WHERE n % 4 <> 0
-"""
 
 
 def _expand(text: str) -> str:

@@ -72,14 +72,15 @@ def export_leg_csv(v: Views) -> DataFrame:
 
 
 def catalog(v: Views) -> dict[str, DataFrame]:
-    """The recipe tables in catalog form, ids included, with a few deliberate gaps."""
+    """The recipe tables in catalog form, ids included, and lines of an ingredient that is not listed."""
     bom = v.bom
+    unknown = bom.where("ingredient_id = 'brand#25'").withColumn("ingredient_id", F.lit("brand#98"))
     ingredients = bom.groupBy("restaurant_id", "ingredient_id").agg(
         F.min("ingredient_name").alias("name"), F.min("yield_factor").alias("yield_factor")
     )
     dishes = bom.groupBy("restaurant_id", "dish_id").agg(F.min("dish_name").alias("name"))
     return {
-        "ingredients": ingredients.where("ingredient_id <> 'brand#25' or restaurant_id = 'r0'").select(
+        "ingredients": ingredients.select(
             "restaurant_id",
             F.col("ingredient_id").alias("id"),
             "name",
@@ -95,7 +96,7 @@ def catalog(v: Views) -> dict[str, DataFrame]:
             F.when(F.length("name") % 2 == 0, "dinner").otherwise(" ").alias("service_period"),
             F.when(F.length("name") % 5 == 0, " False ").otherwise("yes").alias("is_active"),
         ),
-        "recipe_lines": bom.select(
+        "recipe_lines": bom.unionByName(unknown).select(
             "restaurant_id",
             F.expr("cast(substring(ingredient_id, 7) as bigint)").alias("line_no"),
             "dish_id",
@@ -112,13 +113,14 @@ def catalog(v: Views) -> dict[str, DataFrame]:
 CATALOG_SQL = """WITH ingredients AS (
   SELECT restaurant_id, ingredient_id AS id, min(ingredient_name) AS name, 'oz' AS canonical_unit, min(yield_factor) AS yield_factor,
          CASE WHEN ingredient_id <> 'brand#2' THEN 'stocked' END AS notes
-  FROM bom WHERE ingredient_id <> 'brand#25' OR restaurant_id = 'r0' GROUP BY ALL
+  FROM bom GROUP BY ALL
 ), dishes AS (
   SELECT restaurant_id, dish_id AS id, min(dish_name) AS name, length(min(dish_name)) * 2.5::DOUBLE AS menu_price,
          CASE WHEN length(min(dish_name)) % 2 = 0 THEN 'dinner' END AS service_period, length(min(dish_name)) % 5 <> 0 AS is_active
   FROM bom GROUP BY restaurant_id, dish_id
 ), recipe_lines AS (
-  SELECT restaurant_id, CAST(substr(ingredient_id, 7) AS BIGINT) AS line_no, dish_id, ingredient_id, qty, recipe_unit FROM bom
+  SELECT restaurant_id, CAST(substr(ingredient_id, 7) AS BIGINT) AS line_no, dish_id, ingredient_id, qty, recipe_unit FROM (
+    SELECT * FROM bom UNION ALL SELECT * REPLACE ('brand#98' AS ingredient_id) FROM bom WHERE ingredient_id = 'brand#25')
 )
 """
 
@@ -290,31 +292,30 @@ def validate_prices(v: Views) -> DataFrame:
     )
 
 
-def menu_subset(v: Views) -> DataFrame:
-    return v.bom.where(~F.col("dish_name").startswith("red"))
-
-
 @query(
     "xref_dishes",
-    f"""WITH b AS (SELECT DISTINCT restaurant_id, {norm("dish_name")} AS k, dish_name FROM bom WHERE dish_name NOT LIKE 'red%'),
-       s AS (SELECT restaurant_id, {norm("dish_name")} AS k, arg_max(dish_name, (seq, dish_name)) AS dish_name FROM sales_export
-             WHERE lower(dish_name) NOT LIKE '%gear%' GROUP BY ALL)
+    f"""WITH b AS (SELECT DISTINCT restaurant_id, {norm("dish_name")} AS k, dish_name FROM bom),
+       s AS (SELECT restaurant_id, {norm("dish_name")} AS k, arg_max(dish_name, (seq, dish_name)) AS dish_name FROM sales_export GROUP BY ALL)
        SELECT restaurant_id, 'only_in_bom' AS side, dish_name AS name FROM b ANTI JOIN s USING (restaurant_id, k)
        UNION ALL SELECT restaurant_id, 'only_in_sales', dish_name FROM s ANTI JOIN b USING (restaurant_id, k)""",
 )
 def xref_dishes(v: Views) -> DataFrame:
-    sales = v.sales_export.where(~F.lower("dish_name").contains("gear"))
-    return quality.xref_dishes(menu_subset(v), sales)
+    return quality.xref_dishes(v.bom, v.sales_export)
 
 
 @query(
     "xref_ingredients",
-    """SELECT restaurant_id, max(ingredient_name) AS name FROM price_observations p
-       WHERE NOT EXISTS (SELECT 1 FROM bom b WHERE b.restaurant_id = p.restaurant_id AND b.ingredient_id = p.ingredient_id AND b.qty < 2)
+    """SELECT restaurant_id, max(ingredient_name) AS name FROM (SELECT restaurant_id, ingredient_id, ingredient_name FROM price_observations
+         UNION ALL SELECT restaurant_id, 'old ' || ingredient_id, 'Old ' || ingredient_name FROM price_observations WHERE seq % 7 = 0) p
+       WHERE NOT EXISTS (SELECT 1 FROM bom b WHERE b.restaurant_id = p.restaurant_id AND b.ingredient_id = p.ingredient_id)
        GROUP BY restaurant_id, ingredient_id""",
 )
 def xref_ingredients(v: Views) -> DataFrame:
-    return quality.xref_ingredients(v.price_observations, v.bom.where("qty < 2"))
+    """All invoices, and some more of ingredients that no recipe names."""
+    unused = v.price_observations.where("seq % 7 = 0").withColumns(
+        {"ingredient_id": F.concat(F.lit("old "), "ingredient_id"), "ingredient_name": F.concat(F.lit("Old "), "ingredient_name")}
+    )
+    return quality.xref_ingredients(v.price_observations.unionByName(unused), v.bom)
 
 
 # ---- scalar rules
@@ -404,14 +405,16 @@ def significant_moves(v: Views) -> DataFrame:
 
 @query(
     "retention",
-    f"""SELECT {PRICE_COLUMNS} FROM (SELECT *, max(observed_date) OVER (PARTITION BY restaurant_id, ingredient_id) AS newest
-          FROM price_observations WHERE NOT (ingredient_id = 'brand#7' AND observed_date >= DATE '2000-01-01')) x
+    f"""SELECT {PRICE_COLUMNS} FROM (SELECT *, max(observed_date) OVER (PARTITION BY restaurant_id, ingredient_id) AS newest FROM (
+          SELECT * FROM price_observations UNION ALL SELECT * REPLACE (-seq AS seq, 'brand#77' AS ingredient_id)
+          FROM price_observations WHERE ingredient_id = 'brand#7' AND observed_date < DATE '2000-01-01') h) x
         WHERE observed_date >= DATE '{AS_OF}' - 400 OR observed_date = newest""",
 )
 def retention(v: Views) -> DataFrame:
-    """One ingredient stops being invoiced early, so its newest day is far older than the cutoff."""
-    history = v.price_observations.where("not (ingredient_id = 'brand#7' and observed_date >= date '2000-01-01')")
-    return pricing.retention(history, AS_OF)
+    """One more ingredient was invoiced early only, so its newest day is far older than the cutoff."""
+    early = v.price_observations.where("ingredient_id = 'brand#7' and observed_date < date '2000-01-01'")
+    early = early.withColumns({"seq": -F.col("seq"), "ingredient_id": F.lit("brand#77")})
+    return pricing.retention(v.price_observations.unionByName(early), AS_OF)
 
 
 # ---- costs and the grid
@@ -458,8 +461,8 @@ def covers_join(v: Views) -> DataFrame:
 
 @query(
     "covers_report",
-    f"""WITH sold AS (SELECT * FROM covers WHERE dish_key NOT LIKE '%gear%'),
-        menu AS (SELECT DISTINCT restaurant_id, {norm("dish_name")} AS dish_key FROM bom WHERE dish_name NOT LIKE 'red%')
+    f"""WITH sold AS (SELECT * FROM covers),
+        menu AS (SELECT DISTINCT restaurant_id, {norm("dish_name")} AS dish_key FROM bom)
         SELECT restaurant_id, 'unmatched_dish' AS kind, max(dish_name) AS name FROM dish_costs d
           WHERE NOT EXISTS (SELECT 1 FROM sold s WHERE s.restaurant_id = d.restaurant_id AND s.dish_key = {norm("d.dish_name")})
           GROUP BY restaurant_id, {norm("dish_name")}
@@ -467,8 +470,7 @@ def covers_join(v: Views) -> DataFrame:
 )
 def covers_report(v: Views) -> DataFrame:
     costed = ops.dish_ingredient_cost(ops.bom_price_join(v.bom, pricing.latest_price(v.price_observations)))
-    covers = ops.covers_by_dish(v.sales_export).where("dish_key not like '%gear%'")
-    return ops.covers_report(costed, menu_subset(v), covers)
+    return ops.covers_report(costed, v.bom, ops.covers_by_dish(v.sales_export))
 
 
 @query("menu_price_latest", "SELECT restaurant_id, dish_id, menu_price FROM saved_prices")
@@ -503,13 +505,14 @@ FORM = """WITH form AS (SELECT *, CASE WHEN length(dish_name) % 4 = 0 THEN '' WH
 @query(
     "menu_price_entries",
     FORM
-    + """SELECT restaurant_id, CASE WHEN dish_name LIKE 'red%' THEN NULL ELSE dish_name END AS dish_name, dish_id,
+    + """SELECT restaurant_id, CASE WHEN known THEN dish_name END AS dish_name, CASE WHEN known THEN dish_id ELSE 'gone ' || dish_id END AS dish_id,
            CASE WHEN length(dish_name) % 4 = 3 THEN length(dish_name) + 0.5::DOUBLE END AS menu_price,
-           CASE WHEN length(dish_name) % 4 <> 3 THEN CASE WHEN dish_name LIKE 'red%' THEN dish_id ELSE dish_name END || ': menu price must be a positive number.' END AS error
-         FROM form WHERE value <> '' AND (dish_name NOT LIKE 'red%' OR length(dish_name) % 4 <> 3)""",
+           CASE WHEN length(dish_name) % 4 <> 3 THEN CASE WHEN known THEN dish_name ELSE 'gone ' || dish_id END || ': menu price must be a positive number.' END AS error
+         FROM form, (SELECT unnest([true, false]) AS known) k
+         WHERE value <> '' AND (known OR dish_name LIKE 'red%' AND length(dish_name) % 4 <> 3)""",
 )
 def menu_price_entries(v: Views) -> DataFrame:
-    """A price form over all dishes, checked against a BOM that lost some of them."""
+    """A price form over all dishes, and over some that the BOM no longer has."""
     dishes = v.bom.select("restaurant_id", "dish_id", "dish_name").distinct()
     n = F.length("dish_name")
     value = (
@@ -518,7 +521,8 @@ def menu_price_entries(v: Views) -> DataFrame:
     )
     now = F.lit("2024-06-01 09:00:00").cast("timestamp_ntz").alias("updated_at")
     entries = dishes.select("restaurant_id", "dish_id", value.alias("value"), now)
-    return ops.menu_price_entries(entries, menu_subset(v)).drop("updated_at")
+    gone = entries.where(F.col("dish_id").startswith("red")).withColumn("dish_id", F.concat(F.lit("gone "), "dish_id"))
+    return ops.menu_price_entries(entries.unionByName(gone), v.bom).drop("updated_at")
 
 
 @query(
@@ -599,14 +603,14 @@ def data_summary(v: Views) -> DataFrame:
 @query(
     "upload_summary",
     f"""SELECT restaurant_id, dish_count, recipe_line_count, sales_row_count, total_covers, period_start, period_end, costable_dish_count
-       FROM (SELECT restaurant_id, count(DISTINCT dish_name) AS dish_count, count(*) AS recipe_line_count FROM bom WHERE dish_name NOT LIKE 'red%' GROUP BY 1) b
+       FROM (SELECT restaurant_id, count(DISTINCT dish_name) AS dish_count, count(*) AS recipe_line_count FROM bom GROUP BY 1) b
        JOIN (SELECT restaurant_id, count(*) AS sales_row_count, CAST(sum(count) AS BIGINT) AS total_covers, min(period_start) AS period_start,
                max(period_end) AS period_end FROM sales_export GROUP BY 1) s USING (restaurant_id)
        JOIN (SELECT restaurant_id, count(*) AS costable_dish_count FROM (
-               SELECT restaurant_id, {norm("dish_name")} FROM bom WHERE dish_name NOT LIKE 'red%' INTERSECT SELECT restaurant_id, {norm("dish_name")} FROM sales_export) x GROUP BY 1) c USING (restaurant_id)""",
+               SELECT restaurant_id, {norm("dish_name")} FROM bom INTERSECT SELECT restaurant_id, {norm("dish_name")} FROM sales_export) x GROUP BY 1) c USING (restaurant_id)""",
 )
 def upload_summary(v: Views) -> DataFrame:
-    return ops.upload_summary(menu_subset(v), v.sales_export)
+    return ops.upload_summary(v.bom, v.sales_export)
 
 
 @query(
@@ -641,3 +645,20 @@ def opportunities(v: Views) -> DataFrame:
 def headline(v: Views) -> DataFrame:
     affected = ops.affected_dishes(v.bom, v.price_observations)
     return ops.headlines(ops.opportunity_totals(affected))
+
+
+_ROUNDED = "round_even(round({0}, 9) * 4, 0) / 4"
+
+
+@query(
+    "findings",
+    f"""SELECT restaurant_id, ingredient_id, m.direction, «m.impact» AS impact, dish_name,
+          «{_ROUNDED.format("prior_cost")}» AS prior_cost, «{_ROUNDED.format("new_cost")}» AS new_cost,
+          «{_ROUNDED.format("new_cost")} - {_ROUNDED.format("prior_cost")}» AS delta
+        FROM affected a JOIN moves m USING (restaurant_id, ingredient_id) WHERE a.costed""",
+)
+def findings(v: Views) -> DataFrame:
+    """The findings as presented, one row per dish of each."""
+    found = ops.findings(v.bom, v.price_observations)
+    rows = found.select("restaurant_id", "ingredient_id", "direction", "impact", F.explode("affected_dishes").alias("dish"))
+    return rows.select("restaurant_id", "ingredient_id", "direction", "impact", "dish.dish_name", "dish.prior_cost", "dish.new_cost", "dish.delta")

@@ -17,11 +17,12 @@ from .common_sql import CALENDAR, COMP, FEATURES, KEYS, SERIES as S_KEYS, STAFF
 
 
 def observed(v: Views) -> DataFrame:
-    return ops.observed_demand(v.pos_sales, v.item_aliases)
+    daily = stage(ops.daily_item_sales(ops.drop_voids(v.pos_sales), v.item_aliases), "daily")
+    return ops.observed_grid(daily, v.item_aliases)
 
 
 def clean(v: Views) -> DataFrame:
-    return ops.clean_demand(v.pos_sales, v.eightysix_log, v.item_aliases, STAFF)
+    return ops.clean_demand(v.pos_sales, v.eightysix_log, v.item_aliases, STAFF, v.item_economics)
 
 
 def staged_clean(v: Views) -> DataFrame:
@@ -45,7 +46,7 @@ def caps_of(clean_demand: DataFrame) -> DataFrame:
 def stockouts_of(clean_demand: DataFrame) -> DataFrame:
     rows = clean_demand.join(caps_of(clean_demand), ["restaurant_id", "item_id"])
     truth = (F.col("demand") + F.when(F.col("censored"), 3).otherwise(0)).cast("bigint")
-    cap = F.rint(F.col("cap") * exogenous.SELLABLE_SHARE).cast("bigint")
+    cap = F.rint(F.col("cap") * 0.94).cast("bigint")
     rows = rows.withColumns({"true_demand": truth, "cap": cap})
     return rows.where("censored or true_demand > cap").select(
         *KEY, "cap", "true_demand", F.col("demand").alias("observed_demand")
@@ -123,7 +124,7 @@ BROKEN_ECONOMICS = """
       UNION ALL SELECT restaurant_id, trim(name), 'lead_time_days: must be 1 or more' FROM items WHERE NOT lead_time_days >= 1
       UNION ALL SELECT restaurant_id, item_id, 'id: duplicate' FROM items GROUP BY 1, 2 HAVING count(*) > 1
       UNION ALL SELECT restaurant_id, lower(trim(name)), 'name: duplicate' FROM items GROUP BY 1, 2 HAVING count(*) > 1
-    ) x WHERE restaurant_id IN (SELECT 'r' || CAST(l_suppkey % 2 AS VARCHAR) FROM lineitem)""",
+    ) x""",
 )
 def validate_economics(v: Views) -> DataFrame:
     items = v.item_economics
@@ -141,8 +142,7 @@ def validate_economics(v: Views) -> DataFrame:
         "restaurant_id", F.lit("economy").alias("item_id"), F.lit(" Standard ").alias("name"),
         "prep_type", "co", "cu", "lead_time_days",
     )
-    selling = v.pos_sales.select("restaurant_id").distinct()
-    return quality.validate_economics(broken.unionByName(again)).join(selling, "restaurant_id", "left_semi")
+    return quality.validate_economics(broken.unionByName(again))
 
 
 def ambiguous_aliases(v: Views) -> DataFrame:
@@ -164,28 +164,28 @@ def alias_ambiguity(v: Views) -> DataFrame:
     return quality.alias_ambiguity(ambiguous_aliases(v))
 
 
-def plated_aliases(v: Views) -> DataFrame:
-    return v.item_aliases.where(F.col("alias").endswith("plate"))
-
-
 @query(
     "config_name_drift",
-    f"""SELECT e.restaurant_id, e.item_id, e.name FROM item_economics e WHERE NOT EXISTS (
-         SELECT 1 FROM item_aliases a WHERE a.restaurant_id = e.restaurant_id AND a.alias LIKE '%plate'
-           AND {norm("a.alias")} = {norm("e.name")})""",
+    f"""SELECT e.restaurant_id, e.item_id, e.name FROM (SELECT restaurant_id, item_id, name FROM item_economics
+           UNION ALL SELECT restaurant_id, 'former ' || item_id, 'Former ' || name FROM item_economics) e WHERE NOT EXISTS (
+         SELECT 1 FROM item_aliases a WHERE a.restaurant_id = e.restaurant_id AND {norm("a.alias")} = {norm("e.name")})""",
 )
 def config_name_drift(v: Views) -> DataFrame:
-    return quality.config_name_drift(v.item_economics, plated_aliases(v))
+    """The configured items, and as many that the menu no longer has."""
+    former = v.item_economics.withColumns({c: F.concat(F.lit(p), c) for c, p in (("item_id", "former "), ("name", "Former "))})
+    return quality.config_name_drift(v.item_economics.unionByName(former), v.item_aliases)
 
 
 @query(
     "unknown_items",
-    """SELECT p.restaurant_id, p.item_name, count(*) AS n_lines FROM pos_sales p
-       WHERE NOT EXISTS (SELECT 1 FROM item_aliases a WHERE a.restaurant_id = p.restaurant_id AND a.alias = p.item_name
-                         AND a.alias LIKE '%plate') GROUP BY 1, 2""",
+    """SELECT p.restaurant_id, p.item_name, count(*) AS n_lines FROM (SELECT restaurant_id, item_name FROM pos_sales
+         UNION ALL SELECT restaurant_id, 'Old ' || item_name FROM pos_sales WHERE qty > 40) p
+       WHERE NOT EXISTS (SELECT 1 FROM item_aliases a WHERE a.restaurant_id = p.restaurant_id AND a.alias = p.item_name) GROUP BY 1, 2""",
 )
 def unknown_items(v: Views) -> DataFrame:
-    return quality.unknown_items(v.pos_sales, plated_aliases(v))
+    """All lines, and some more under names no alias carries."""
+    renamed = v.pos_sales.where("qty > 40").withColumn("item_name", F.concat(F.lit("Old "), "item_name"))
+    return quality.unknown_items(v.pos_sales.unionByName(renamed), v.item_aliases)
 
 
 @query(
@@ -255,12 +255,9 @@ def cleaning_report(v: Views) -> DataFrame:
     return ops.cleaning_report(v.pos_sales, STAFF)
 
 
-@query("route_batch", "SELECT restaurant_id, item_id, name, co, cu FROM item_economics WHERE prep_type = 'batch' AND item_id IN (SELECT lower(p_type) FROM part)")
+@query("route_batch", "SELECT restaurant_id, item_id, name, «co» AS co, «cu» AS cu FROM item_economics WHERE prep_type = 'batch'")
 def route_batch_query(v: Views) -> DataFrame:
-    sold = v.table("part").select(F.lower("p_type").alias("item_id")).distinct()
-    return route_batch(v.item_economics).join(sold, "item_id", "left_semi").select(
-        "restaurant_id", "item_id", "name", "co", "cu"
-    )
+    return route_batch(v.item_economics).select("restaurant_id", "item_id", "name", "co", "cu")
 
 
 @query(
@@ -406,12 +403,8 @@ def baseline_lag7(v: Views) -> DataFrame:
 def lag7_lookup(v: Views) -> DataFrame:
     """Every cell of the series with its most recent same weekday, up to seven weeks back."""
     base = staged_clean(v)
-    past = base.select(*SERIES, F.col("business_date").alias("past_day"), F.col("demand").cast("double").alias("past"))
-    asked = base.select(KEY).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(baselines.LAG_WEEKS))))
-    asked = asked.withColumn("past_day", F.date_sub("business_date", F.col("k") * 7))
-    return asked.join(past, [*SERIES, "past_day"]).groupBy(KEY).agg(
-        F.min_by("past", "k").alias("last_same_weekday"), F.min("k").alias("weeks_back")
-    )
+    found = baselines.same_weekday_history(base, base.select(KEY), KEY)
+    return found.where("weeks_back is not null").select(*KEY, "last_same_weekday", "weeks_back")
 
 
 @query("baseline_rolling28", f"SELECT {KEYS}, fold, 'rolling28' AS model, «rolling28» AS forecast FROM naive")
@@ -471,13 +464,10 @@ def dollar_loss_query(v: Views) -> DataFrame:
 
 @query(
     "critical_ratio",
-    """SELECT restaurant_id, item_id, «cu / (co + cu)» AS q_star FROM item_economics
-       WHERE item_id IN (SELECT lower(p_type) FROM part)""",
+    "SELECT restaurant_id, item_id, «cu / (co + cu)» AS q_star FROM item_economics",
 )
 def critical_ratio_query(v: Views) -> DataFrame:
-    sold = v.table("part").select(F.lower("p_type").alias("item_id")).distinct()
-    ratio = critical_ratio(F.col("co"), F.col("cu")).alias("q_star")
-    return v.item_economics.join(sold, "item_id", "left_semi").select("restaurant_id", "item_id", ratio)
+    return v.item_economics.select("restaurant_id", "item_id", critical_ratio(F.col("co"), F.col("cu")).alias("q_star"))
 
 
 SCORE_COLUMNS = """restaurant_id, fold, model, item_id, train_end, test_start, test_end, «dollar_cost» AS dollar_cost,
@@ -663,46 +653,7 @@ def unconstrain_gap(v: Views) -> DataFrame:
     return scoring.unconstrain_gap(base, unconstrain(base), stockouts_of(base))
 
 
-# ---- demand drivers
-
-
-@query(
-    "stockout_detect",
-    f"""SELECT {KEYS}, c.cap, demand AS true_demand, least(demand, c.cap) AS observed_demand FROM clean_demand JOIN (
-          SELECT restaurant_id, item_id, CAST(round_even(cap * 0.94::DOUBLE, 0) AS BIGINT) AS cap FROM item_caps) c
-          USING (restaurant_id, item_id) WHERE demand > c.cap""",
-)
-def stockout_detect(v: Views) -> DataFrame:
-    base = staged_clean(v)
-    return exogenous.stockout_detect(base, caps_of(base))
-
-
-WEEK_MEAN = """(coalesce(sum(temp_high) OVER w, 0) + (7 - count(temp_high) OVER w) * 40) / 7"""
-
-
-@query(
-    "weather_flags",
-    f"""SELECT restaurant_id, date, is_rain, is_heat, is_first_warm_day, «prior_week_mean» AS prior_week_mean,
-          «CASE WHEN is_rain THEN 0.88::DOUBLE ELSE 1 END * CASE WHEN is_heat THEN 0.93::DOUBLE ELSE 1 END * CASE WHEN is_first_warm_day THEN 1.12::DOUBLE ELSE 1 END» AS weather_factor
-        FROM (SELECT *, precip_mm > 5 AS is_rain, temp_high > 90 AS is_heat,
-                     temp_high > 58 AND round(prior_week_mean, 9) < 48 AS is_first_warm_day FROM (
-          SELECT *, {WEEK_MEAN} AS prior_week_mean FROM weather
-          WINDOW w AS (PARTITION BY restaurant_id ORDER BY date RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)) a) b""",
-)
-def weather_flags(v: Views) -> DataFrame:
-    return exogenous.weather_flags(v.weather)
-
-
-@query(
-    "event_lift",
-    """SELECT w.restaurant_id, w.date, p.service_period, e.band,
-         «CASE WHEN lift IS NULL THEN 1 WHEN p.service_period = 'dinner' THEN lift ELSE 1 + (lift - 1) * 0.3::DOUBLE END» AS event_factor
-       FROM weather w CROSS JOIN (SELECT unnest(['lunch', 'dinner']) AS service_period) p
-       LEFT JOIN (SELECT *, CASE band WHEN 'low' THEN 1.08::DOUBLE WHEN 'medium' THEN 1.16::DOUBLE ELSE 1.26::DOUBLE END AS lift
-                  FROM events_calendar) e ON e.restaurant_id = w.restaurant_id AND e.event_date = w.date""",
-)
-def event_lift(v: Views) -> DataFrame:
-    return exogenous.event_lift(v.weather.select("restaurant_id", "date"), v.events_calendar)
+# ---- ingredient use
 
 
 @query(

@@ -16,10 +16,9 @@ def inputs(v: Views) -> calibration.Calibration:
     return calibration.calibration_inputs(clean(v), v.item_economics)
 
 
-@query("required_levels", "SELECT restaurant_id, quantile FROM levels WHERE restaurant_id IN (SELECT 'r' || CAST(l_suppkey % 2 AS VARCHAR) FROM lineitem)")
+@query("required_levels", "SELECT restaurant_id, quantile FROM levels")
 def required_levels(v: Views) -> DataFrame:
-    selling = v.pos_sales.select("restaurant_id").distinct()
-    return ops.required_levels(v.item_economics).join(selling, "restaurant_id", "left_semi")
+    return ops.required_levels(v.item_economics)
 
 
 @query("quantile_model", f"SELECT {KEYS}, fold, quantile, «forecast» AS forecast FROM quantile_forecasts")

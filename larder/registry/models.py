@@ -2,12 +2,14 @@
 query can state about its output exactly is checked in tests."""
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import features, folds as fold_ops, models as ops
 from ..operators import scoring
-from ..plans import floors
+from ..plans import calibration, floors
 from ..sources.driver_views import Views
 from ..sources.staging import stage
 from . import query
@@ -27,14 +29,17 @@ def point_gbm(v: Views) -> DataFrame:
 
 @query("quantile_forest")
 def quantile_forest(v: Views) -> DataFrame:
-    train, test = ops.fold_split(staged_features(v), 3)
-    return ops.forest_quantiles(train, test)
+    return ops.forest_by_fold(staged_features(v), 4)
 
 
 @query("feature_importance")
 def feature_importance(v: Views) -> DataFrame:
-    train, _ = ops.fold_split(staged_features(v), 3)
-    return ops.feature_importance(ops.fit_gbm(train), v.spark)
+    rows = staged_features(v)
+    folds = []
+    for fold in range(4):
+        train, _ = ops.fold_split(rows, fold)
+        folds.append(ops.feature_importance(ops.fit_gbm(train), v.spark).withColumn("fold", F.lit(fold)))
+    return reduce(DataFrame.unionByName, folds)
 
 
 def _median(history: pd.DataFrame, cells: pd.DataFrame) -> pd.Series:
@@ -60,8 +65,8 @@ def point_floor(v: Views) -> DataFrame:
 
 @query("point_gate")
 def point_gate(v: Views) -> DataFrame:
-    scores = floors.point_floor(clean(v), v.item_economics, v.menu_eras, kind="poisson")
-    return scoring.dollar_gate(scoring.totals_by_model(scores), "poisson")
+    scores = floors.point_floor(clean(v), v.item_economics, v.menu_eras)
+    return scoring.dollar_gate(scoring.totals_by_model(scores), "gbm")
 
 
 @query("unconstrain_floor")
@@ -77,6 +82,18 @@ def unconstrain_gate(v: Views) -> DataFrame:
     return floors.unconstrain_gate(scores)
 
 
+@query("newsvendor_trained")
+def newsvendor_trained(v: Views) -> DataFrame:
+    return floors.newsvendor_trained(clean(v), v.item_economics, v.menu_eras)
+
+
+@query("calibration_trained")
+def calibration_trained(v: Views) -> DataFrame:
+    base = staged_clean(v)
+    found = calibration.trained_inputs(base, v.menu_eras)
+    return calibration.calibration_run(base, truth_of(base), v.item_economics, found)
+
+
 @query("day_ahead_run")
 def day_ahead_run(v: Views) -> DataFrame:
     return floors.day_ahead_run(clean(v), v.item_economics, v.menu_eras)

@@ -12,36 +12,27 @@ from pyspark.sql.types import StructType
 from ..functions.text import normalize_name
 from ..operators.joins import dimension_join
 
-# Menu reprints, per-item waste and shortage costs, staff accounts.
+# Menu reprints, staff accounts.
 MENU_ERAS = """
     (DATE '1995-06-01', 0), (DATE '1996-03-01', 1), (DATE '1997-01-01', 2),
     (DATE '1998-01-01', 3), (DATE '1999-06-01', 4), (DATE '2000-09-01', 5)
 """
-ITEM_ECONOMICS = """
-    ('economy', 'ECONOMY', 'batch', 4.0, 6.0, 1, CAST(NULL AS STRING)),
-    ('large', 'LARGE', 'batch', 14.0, 28.0, 1, 'braise starts the prior afternoon'),
-    ('medium', 'House MEDIUM', 'batch', 9.0, 13.0, 1, CAST(NULL AS STRING)),
-    ('promo', 'promo plate', 'batch', 7.5, 9.0, 2, CAST(NULL AS STRING)),
-    ('small', 'SMALL', 'made_to_order', 3.0, 13.0, 1, CAST(NULL AS STRING)),
-    ('standard', ' standard', 'made_to_order', 8.0, 24.0, 1, CAST(NULL AS STRING))
-"""
 STAFF = ("S001", "S002")
 PRICE_DIVISOR = 40000.0
 
-# Schemas already read from the files' footers; the data itself is never kept.
-_schemas: dict[str, StructType] = {}
-
 
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
+        # Schemas already read from the files' footers; the data itself is never kept.
+        self._schemas: dict[str, StructType] = {}
 
     def table(self, name: str) -> DataFrame:
         path = f"{self.sf_dir}/{name}.parquet"
-        if path not in _schemas:
-            _schemas[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_schemas[path]).parquet(path)
+        if path not in self._schemas:
+            self._schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[path]).parquet(path)
 
     def literals(self, rows: str, columns: str) -> DataFrame:
         return self.spark.sql(f"SELECT * FROM (VALUES {rows}) AS t({columns})")
@@ -56,11 +47,10 @@ class Views:
 
     @cached_property
     def lines(self) -> DataFrame:
-        """Order lines with their part. A best-selling part may hold a third of all lines, so the
-        join is salted where parts are too many to broadcast. Name keys are made per part."""
+        """Order lines with their part. Name keys are made per part."""
         part = self.table("part").withColumnRenamed("p_partkey", "l_partkey")
         part = part.withColumn("brand_key", normalize_name(F.col("p_brand")))
-        joined = dimension_join(self.table("lineitem"), part, ["l_partkey"], ["l_orderkey", "l_linenumber"])
+        joined = dimension_join(self.table("lineitem"), part, ["l_partkey"])
         place = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000000
         return joined.withColumns(
             {
@@ -125,13 +115,33 @@ class Views:
 
     @cached_property
     def item_economics(self) -> DataFrame:
-        rows = self.literals(ITEM_ECONOMICS, "item_id, name, prep_type, co, cu, lead_time_days, notes")
-        rows = rows.withColumns({c: F.col(c).cast("double") for c in ("co", "cu")})
-        return self._per_tenant(rows)
+        """One item per kind of part; what waste and shortage cost follows from the average price."""
+        cents = F.rint(F.col("p_retailprice") * 100).cast("bigint")
+        kinds = self.table("part").groupBy("p_type").agg(F.sum(cents).alias("s"), F.count("*").alias("n"))
+        price, kind = F.expr("s div n"), F.col("p_type")
+        k = F.ascii(kind) + F.length(kind)
+        spelled = F.when(k % 3 == 1, F.upper(kind)).when(k % 3 == 2, F.concat(F.lit("House "), F.upper(kind)))
+        return self._per_tenant(
+            kinds.select(
+                F.lower(kind).alias("item_id"),
+                spelled.otherwise(F.concat(F.lit(" "), F.lower(kind))).alias("name"),
+                F.when(k % 3 == 0, "made_to_order").otherwise("batch").alias("prep_type"),
+                (3.0 + price % 1100 / 100.0).alias("co"),
+                (4.0 + price % 1700 / 100.0).alias("cu"),
+                F.when(k % 4 == 0, 2).otherwise(1).alias("lead_time_days"),
+                F.when(k % 7 == 0, "braise starts the prior afternoon").alias("notes"),
+            )
+        )
 
     @cached_property
     def bom(self) -> DataFrame:
+        """Recipe lines. Besides the dishes of ``part`` there are dishes nobody sells or prices yet
+        ("new old ..."), and in r1 lines of an ingredient nobody invoices (Brand#99)."""
         lines = self.table("part").groupBy("p_name", "p_brand").agg(F.min("p_size").alias("size"))
+        fresh = lines.where(F.col("p_name").startswith("old")).withColumn("p_name", F.concat(F.lit("new "), "p_name"))
+        unseen = lines.where(F.length("p_name") % 4 == 1).groupBy("p_name").agg(F.min("size").alias("size"))
+        unseen = unseen.select("p_name", F.lit("Brand#99").alias("p_brand"), "size", F.lit("r1").alias("restaurant_id"))
+        lines = self._per_tenant(lines.unionByName(fresh)).unionByName(unseen)
         size = F.col("size")
         unit = (
             F.when(size == 50, "each")
@@ -146,23 +156,21 @@ class Views:
             .when(size % 4 == 3, "kg")
             .otherwise("oz")
         )
-        return self._per_tenant(
-            lines.select(
-                normalize_name(F.col("p_name")).alias("dish_id"),
-                F.col("p_name").alias("dish_name"),
-                normalize_name(F.col("p_brand")).alias("ingredient_id"),
-                F.col("p_brand").alias("ingredient_name"),
-                size.cast("double").alias("qty"),
-                unit.alias("recipe_unit"),
-                canonical.alias("canonical_unit"),
-                ((50 + size) / 100.0).cast("double").alias("yield_factor"),
-            )
+        return lines.select(
+            "restaurant_id",
+            normalize_name(F.col("p_name")).alias("dish_id"),
+            F.col("p_name").alias("dish_name"),
+            normalize_name(F.col("p_brand")).alias("ingredient_id"),
+            F.col("p_brand").alias("ingredient_name"),
+            size.cast("double").alias("qty"),
+            unit.alias("recipe_unit"),
+            canonical.alias("canonical_unit"),
+            ((50 + size) / 100.0).cast("double").alias("yield_factor"),
         )
 
     @cached_property
     def price_observations(self) -> DataFrame:
-        kept = self.lines.where(~((F.col("restaurant_id") == "r1") & (F.col("p_brand") == "Brand#1")))
-        return kept.select(
+        return self.lines.select(
             "restaurant_id",
             "seq",
             F.col("brand_key").alias("ingredient_id"),
@@ -176,12 +184,16 @@ class Views:
 
     @cached_property
     def sales_export(self) -> DataFrame:
+        """One row per line, and one more of a dish that is on no menu for every 101st order."""
         odd = F.col("l_orderkey") % 2 == 1
         week_start = F.date_sub("business_date", F.weekday("business_date"))
+        spelled = F.when(odd, F.concat(F.lit(" "), F.upper("p_name"), F.lit("\t"))).otherwise(F.col("p_name"))
+        listed = F.struct(F.col("seq"), spelled.alias("dish_name"))
+        special = F.struct((-F.col("seq")).alias("seq"), F.concat(F.lit("Special "), "p_name").alias("dish_name"))
+        rows = F.when(F.col("l_orderkey") % 101 == 0, F.array(listed, special)).otherwise(F.array(listed))
         return self.lines.select(
             "restaurant_id",
-            "seq",
-            F.when(odd, F.concat(F.lit(" "), F.upper("p_name"), F.lit("\t"))).otherwise(F.col("p_name")).alias("dish_name"),
+            F.inline(rows),
             F.col("l_quantity").cast("bigint").alias("count"),
             week_start.cast("date").alias("period_start"),
             F.date_add(week_start, 6).alias("period_end"),
@@ -189,10 +201,9 @@ class Views:
 
     @cached_property
     def menu_prices(self) -> DataFrame:
-        """Every saved price, newest last; names starting with "old" have none."""
+        """Every saved price, newest last."""
         cents = F.rint(F.col("p_retailprice") * 100).cast("bigint")
         priced = self.table("part").groupBy("p_name").agg(F.sum(cents).alias("s"), F.count("*").alias("n"))
-        priced = priced.where(~F.col("p_name").startswith("old"))
         price = F.expr("s div n") / 100.0
         current = F.struct(
             F.col("p_name").alias("dish_name"),
@@ -206,32 +217,3 @@ class Views:
         )
         rows = F.when(F.length("p_name") % 3 == 0, F.array(older, current)).otherwise(F.array(current))
         return self._per_tenant(priced.select(F.inline(rows)))
-
-    @cached_property
-    def weather(self) -> DataFrame:
-        by_day = self.table("events").groupBy(
-            F.concat(F.lit("r"), (F.col("user_id") % 2).cast("string")).alias("restaurant_id"),
-            F.col("ts").cast("date").alias("date"),
-        )
-        cents = F.rint(F.col("value") * 100).cast("bigint")
-        return by_day.agg(
-            (30 + (F.sum(cents) % 7000) / 100.0).alias("temp_high"),
-            (20 + (F.sum(cents) % 5000) / 100.0).alias("temp_low"),
-            (F.count_if(F.col("event_type") == "error") % 12).cast("double").alias("precip_mm"),
-        )
-
-    @cached_property
-    def events_calendar(self) -> DataFrame:
-        """One row per day with purchases: more purchases, bigger crowd."""
-        by_day = (
-            self.table("events")
-            .where(F.col("event_type") == "purchase")
-            .groupBy(
-                F.concat(F.lit("r"), (F.col("user_id") % 2).cast("string")).alias("restaurant_id"),
-                F.col("ts").cast("date").alias("event_date"),
-            )
-            .agg(F.count("*").alias("n"), F.max("event_id").alias("seq"))
-            .where(F.col("n") % 4 != 0)
-        )
-        band = F.when(F.col("n") % 4 == 1, "low").when(F.col("n") % 4 == 2, "medium").otherwise("high")
-        return by_day.select("restaurant_id", "seq", "event_date", band.alias("expected_attendance_band"))

@@ -5,19 +5,25 @@ import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import blank_to_null, strip
 from . import schemas
 
 
-def _csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "FAILFAST")
-        .option("escape", '"')
-        .csv(path)
-    )
+def _csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The schema's columns, found by their header names; other columns are left out.
+
+    Every file under ``path`` has to have the header of the first; a malformed line fails the read.
+    """
+    options = {"header": True, "escape": '"'}
+    header = spark.read.options(**options).csv(path).columns or schema.names
+    missing = sorted(set(schema.names) - set(header))
+    if missing:
+        raise ValueError(f"{path}: missing columns {missing}")
+    found = StructType([schema[name] if name in schema.names else StructField(name, StringType()) for name in header])
+    read = spark.read.schema(found).options(**options, mode="FAILFAST", enforceSchema=False)
+    return read.csv(path).select(*schema.names)
 
 
 def read_pos_sales(spark: SparkSession, path: str) -> DataFrame:
@@ -29,7 +35,9 @@ def read_86_log(spark: SparkSession, path: str) -> DataFrame:
     """Stock-out log; a missing file is an empty log, since not every kitchen keeps one."""
     try:
         return _csv(spark, path, schemas.EIGHTYSIX_LOG)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schemas.EIGHTYSIX_LOG)
 
 

@@ -3,22 +3,24 @@ import sys
 import tempfile
 
 import pytest
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def make_session() -> SparkSession:
-    session = (
+    builder = (
         SparkSession.builder.master("local[8]")
         .appName("larder-tests")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="larder-tests-"))
-        .getOrCreate()
     )
+    if not SparkConf().get("spark.checkpoint.dir", None):
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="larder-tests-"))
+    session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
 

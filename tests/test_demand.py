@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 
 from larder.operators import demand as ops
 from larder.operators.baselines import croston_rates, naive_forecasts
-from larder.operators.exogenous import ingredient_depletion, stockout_detect, weather_flags
+from larder.operators.exogenous import ingredient_depletion
 from larder.operators.features import day_ahead_features, era_asof, feature_frame, history_columns
 from larder.operators.folds import assert_no_leakage, forecast_frame, tail_folds, walk_forward_folds
 from larder.operators.joins import dimension_join, salted_join
 from larder.operators.unconstrain import unconstrain
-from larder.sources import schemas
+from larder.sources import readers, schemas
 
 D = dt.date
 DAY = D(2024, 1, 1)  # a Monday
@@ -176,20 +176,62 @@ def test_salted_joins_equal_plain_ones(spark):
     for how in ("inner", "left", "left_semi", "left_anti"):
         want = sorted(map(tuple, big.join(small, "k", how).collect()), key=str)
         assert sorted(map(tuple, salted_join(big, small, ["k"], ["id"], how).collect()), key=str) == want
-    assert dimension_join(big, small, ["k"], ["id"]).count() == 2000
+    assert dimension_join(big, small, ["k"]).count() == 2000
 
 
-def test_drivers(spark):
+def test_depletion(spark):
     demand = series(spark, [10, 20, 30])
-    caps = spark.createDataFrame([("r0", "rib", 20)], "restaurant_id string, item_id string, cap bigint")
-    out = stockout_detect(demand, caps).orderBy("business_date").collect()
-    assert [(r.cap, r.true_demand, r.observed_demand) for r in out] == [(19, 20, 19), (19, 30, 19)]
-    weather = spark.createDataFrame(
-        [("r0", DAY, 60.0, 6.0), ("r0", D(2024, 1, 2), 95.0, 0.0)], "restaurant_id string, date date, temp_high double, precip_mm double"
-    )
-    first, second = weather_flags(weather).orderBy("date").collect()
-    assert first.is_first_warm_day and first.weather_factor == pytest.approx(0.88 * 1.12)
-    assert second.is_heat and second.prior_week_mean == pytest.approx((60 + 6 * 40) / 7)
     recipes = spark.createDataFrame([("r0", "rib", "beef", 0.5)], "restaurant_id string, item_id string, ingredient_id string, qty_per_portion double")
     used = ingredient_depletion(demand, recipes).orderBy("order_day").collect()
     assert [(r.order_day, r.depleted_qty) for r in used] == [(DAY, 5.0), (D(2024, 1, 4), 25.0)]
+
+
+def sold_line(spark, qty, name):
+    return spark.createDataFrame(
+        [("r0", DAY, dt.datetime(2024, 1, 1, 12), name, qty, None, "False", "S9")],
+        "restaurant_id string, business_date date, sold_at timestamp_ntz, item_name string, qty int, comp_flag string, void_flag string, server_id string",
+    )
+
+
+ALIASES = "restaurant_id string, item_id string, alias string"
+LOG = "restaurant_id string, business_date date, item_name string, time_86d string"
+ECONOMICS = "restaurant_id string, item_id string, name string"
+
+
+def test_alias_of_two_items_stops_the_job(spark):
+    aliases = spark.createDataFrame([("r0", "a", "Soup"), ("r0", "b", "Soup")], ALIASES)
+    clean = ops.clean_demand(sold_line(spark, 5, "Soup"), spark.createDataFrame([], LOG), aliases, [])
+    with pytest.raises(Exception, match="alias of two items: Soup"):
+        clean.collect()
+    twice = spark.createDataFrame([("r0", "a", "Soup"), ("r0", "a", "Soup")], ALIASES)
+    rows = ops.clean_demand(sold_line(spark, 5, "Soup"), spark.createDataFrame([], LOG), twice, []).collect()
+    assert sum(r.demand for r in rows) == 5
+
+
+def test_drifted_configuration_stops_the_job(spark):
+    aliases = spark.createDataFrame([("r0", "a", "Soup")], ALIASES)
+    log = spark.createDataFrame([], LOG)
+    known = spark.createDataFrame([("r0", "a", " SOUP")], ECONOMICS)
+    assert ops.clean_demand(sold_line(spark, 5, "Soup"), log, aliases, [], known).count() == 2
+    drifted = spark.createDataFrame([("r0", "a", "Stew")], ECONOMICS)
+    with pytest.raises(Exception, match="configured name without an alias: Stew"):
+        ops.clean_demand(sold_line(spark, 5, "Soup"), log, aliases, [], drifted).collect()
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "log.csv"
+    path.write_text("time_86d,note,item_name,business_date,restaurant_id\n19:30,x,Soup,2024-01-01,r0\n")
+    (row,) = readers.read_86_log(spark, str(path)).collect()
+    assert (row.item_name, row.time_86d, row.business_date) == ("Soup", "19:30", DAY)
+    assert readers.read_86_log(spark, str(tmp_path / "none.csv")).count() == 0
+    path.write_text("restaurant_id,business_date,item_name\nr0,2024-01-01,Soup\n")
+    with pytest.raises(ValueError, match="time_86d"):
+        readers.read_86_log(spark, str(path))
+
+
+def test_grid_of_one_large_tenant(spark):
+    days = [(("r0" if d % 20 else "r1"), DAY + dt.timedelta(d), "a", "lunch", d % 5) for d in range(400)]
+    daily = spark.createDataFrame(days, "restaurant_id string, business_date date, item_id string, service_period string, qty int")
+    aliases = spark.createDataFrame([(r, i, i) for r in ("r0", "r1") for i in "abc"], ALIASES)
+    grid = ops.demand_grid(daily, aliases)
+    assert grid.count() == 400 * 3 * 2 and grid.agg(F.sum("demand")).first()[0] == sum(d[4] for d in days)

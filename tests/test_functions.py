@@ -89,3 +89,9 @@ def test_tail_mean_against_brute_force(spark):
     cases = [(11.5, 6.0, 7.0), (10.0, 10.57, 8.0), (1.125, 0.41, 50.0), (0.0, 0.0, 3.0), (20.0, 150.0, 5.0), (20.0, 150.0, 0.0), (4.0, 9.0, 12.0), (900.0, 850.0, 880.0), (900.0, 4000.0, 1000.0)]
     got = values(spark, cases, "m double, v double, c double", tail_mean(F.col("m"), F.col("v"), F.col("c")))
     assert got == pytest.approx([brute_tail(*c) for c in cases], rel=1e-6)
+
+
+def test_tail_mean_at_any_size(spark):
+    cases = [(2000.0, 1e8, 60000.0, 95546.960758), (100.0, 1e4, 300.0, 400.213935), (3.0, 1e5, 2.0, 3740.419748), (1000.0, 1000.0, 1150.0, 1157.106436), (1.1, 0.5, 50.0, 51.0), (0.0, 0.0, 4.0, 4.0)]
+    rows = spark.createDataFrame(cases, "m double, v double, c double, want double").withColumn("got", tail_mean(F.col("m"), F.col("v"), F.col("c")))
+    assert all(abs(r.got - r.want) < 1e-5 for r in rows.collect())

@@ -2,12 +2,14 @@
 import pytest
 
 import __spark_entry__ as entry
+from larder import registry
 from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+registry.load()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 # Trained models; their jobs are exercised once in test_models.py.
-TRAINED = {"point_gbm", "quantile_forest", "feature_importance", "point_floor", "point_gate", "unconstrain_floor", "unconstrain_gate", "day_ahead_run"}
+TRAINED = {"point_gbm", "quantile_forest", "feature_importance", "point_floor", "point_gate", "unconstrain_floor", "unconstrain_gate", "day_ahead_run", "newsvendor_trained", "calibration_trained"}
 
 
 @pytest.fixture(scope="module")
