@@ -275,6 +275,29 @@ def test_words_and_the_unknown_share_all_probability(spark):
         assert sum(10 ** r[f"p{u}"] for r in rows) + 10 ** model.unknown[u] == pytest.approx(1, abs=1e-5)
 
 
+def test_word_order_counts(spark):
+    cycle = " ".join("red green blue".split() * 40)
+    docs = spark.createDataFrame([(k, cycle, False) for k in range(20)] + [(100, "red green blue red green blue", True), (101, "red blue green red blue green", True)], "doc_id int, text string, aside boolean")
+    got = {r["doc_id"]: r["score"] for r in hpylm.score_texts(docs, aside=F.col("aside")).collect()}
+    assert got[100] > got[101] + 3
+
+
+def test_all_that_may_follow_a_word_sums_to_one(spark):
+    docs = spark.createDataFrame([("a b a c. a b, a",), ("b a a. d",)], "text string").withColumn("held_out", F.lit(False))
+    model = hpylm.train(docs, sweeps=4, burn_in=1)
+    rows = model.words.collect()
+    more = collections.defaultdict(float)
+    for r in model.pairs.collect():
+        more[bytes(r["prev"])] += r["more"]
+    # Restaurants are as many as the words that something follows.
+    assert set(more) == {bytes(r["word"]) for r in rows if bytes(r["word"]) != hpylm.END}
+    q = sum(np.array(r["q"]).reshape(3, hpylm.CONTEXTS) for r in rows) + model.unknown_samples
+    for r in rows:
+        prev = bytes(r["word"])
+        if prev in more:
+            assert more[prev] + (np.array(r["back"]) * q[:, hpylm._NEXT[prev[-1]]]).mean() == pytest.approx(1, abs=1e-5)
+
+
 def test_seating_is_a_restaurant():
     rng = np.random.default_rng(0)
     customers = np.array([0, 1, 5, 40, 100_000])
