@@ -297,8 +297,16 @@ def find_contamination(
     its size is bounded, and a larger benchmark takes more passes over the documents. Then ``docs`` has
     to give the same rows in the same order each time, as a stored table does.
     """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
+    found = _contamination(rows, benchmark, item_text, item_id, window, shard_bytes, block_words)
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
+    return found.select("doc_id", "n_words", _covered(F.col("hits")).alias("n_hit"), names.alias("items"), "matches")
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, item_text: str, item_id: str, window: int, shard_bytes: int, block_words: int) -> DataFrame:
+    """(row, doc_id, n_words, hits, matches) of (row, doc_id, text)."""
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
     tests = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     total = tests.agg(F.sum(F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")))).first()[0] or 0
     n_blocks = max(1, -(-int(total) // block_words))
@@ -314,14 +322,17 @@ def find_contamination(
         found = found.groupBy("row", "doc_id").agg(
             F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("matches")).alias("matches")
         )
-    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
-    return found.select("doc_id", "n_words", _covered(F.col("hits")).alias("n_hit"), names.alias("items"), "matches")
+    return found
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` without any hit, with all their columns. Of rows that repeat an id, all go if one does."""
-    found = find_contamination(docs, benchmark, text, id_column)
-    key = unused(docs, "_hit_id")
+    """The rows of ``docs`` without any hit, with all their columns. Rows that repeat an id, or have none,
+    are judged each on its own. ``docs`` is read twice and has to give the same rows in the same order
+    each time, as a stored table does."""
+    key = unused(docs, "_row")
+    numbered = docs.withColumn(key, F.monotonically_increasing_id())
+    rows = numbered.select(F.col(key).alias("row"), F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
+    found = _contamination(rows, benchmark, "text", "item_id", WINDOW_WORDS, SHARD_BYTES, BLOCK_WORDS)
     # Stored first, so that Spark knows its size and moves the documents only if it is large.
-    hit = stage(found.filter("n_hit > 0").select(F.col("doc_id").alias(key)).distinct(), "hit-ids")
-    return docs.join(hit, F.col(id_column).eqNullSafe(F.col(key)), "left_anti")
+    hit = stage(found.filter(F.size("hits") > 0).select(F.col("row").alias(key)).distinct(), "hit-rows")
+    return numbered.join(hit, key, "left_anti").drop(key)

@@ -247,6 +247,15 @@ def test_longest_matches(spark):
     assert found["n_hit"] == 47
 
 
+def test_only_the_hit_rows_go(spark, tmp_path):
+    rows = [(None, "the leaked item"), (None, "a clean text"), (None, "another clean text"), (5, "so the leaked item"), (5, "clean as well"), (6, "clean")]
+    spark.createDataFrame(rows, "doc_id int, text string").repartition(2).write.parquet(f"{tmp_path}/docs")
+    tests = spark.createDataFrame([(1, "The leaked item.")], "item_id int, text string")
+    kept = decontam.drop_contaminated(spark.read.parquet(f"{tmp_path}/docs"), tests)
+    assert kept.columns == ["doc_id", "text"]
+    assert sorted(r["text"] for r in kept.collect()) == ["a clean text", "another clean text", "clean", "clean as well"]
+
+
 # ---- language model
 
 
