@@ -384,8 +384,8 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "
     """The rows of ``docs`` that stay, with all their columns: one of each group, that with the smallest id.
 
     Groups are joined by fingerprints of five-word shingles at most ``max_bits`` apart, and by pairs of
-    texts that share ``similarity`` of their shingles. The second are looked for among the first's
-    representatives: edits of a few words move more bits than a vantage-point tree can search.
+    texts that share ``similarity`` of their shingles. The second are looked for among all rows: edits of
+    a few words move more bits than a vantage-point tree can search.
 
     A null id comes last in its group. Null and empty texts are one group. Rows that repeat an id are
     documents of their own. ``docs`` is read several times and has to give the same rows in the same
@@ -397,9 +397,9 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "
     marks = stage(_marks(texts, shingle), "near-marks")
     tight = linked(marks.select(F.col("row").alias("doc_id"), "fp"), max_bits).select(F.col("doc_id").alias("row"), F.col("component_id").alias("head"))
     tight = stage(tight, "near-tight")
-    slots = marks.select("row", "slots").join(tight.filter("row = head").select("row"), "row", "left_semi")
-    labels = connected(similar_pairs(stage(slots, "near-slots"), texts, similarity, shingle))
-    grouped = tight.join(labels.withColumnRenamed("node", "head"), "head", "left").select("row", F.coalesce("label", "head").alias("label"))
+    close = tight.select(F.col("row").alias("a"), F.col("head").alias("b"))
+    labels = connected(close.unionByName(similar_pairs(marks.select("row", "slots"), texts, similarity, shingle)))
+    grouped = marks.select("row").join(labels.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("label", "row").alias("label"))
     ids = numbered.select(F.col(key).alias("row"), F.col(id_column).alias("id"))
     named = stage(grouped.join(ids, "row"), "near-grouped")
     first = named.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first"))

@@ -223,6 +223,31 @@ def test_fingerprints_and_components(spark, documents):
     assert {d: r["component_id"] for d, r in got.items()} == label
 
 
+def edited(text, places, mark):
+    out = list(text)
+    for at in places:
+        out[at] = f"{mark}{at}"
+    return out
+
+
+def similarity(a, b):
+    x, y = (set(simhash.shingle_set(t).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_members_of_a_component_are_searched(spark):
+    for seed in range(50):
+        pick = random.Random(seed)
+        first = [f"w{pick.randrange(10**9)}" for _ in range(2000)]
+        second = edited(first, [10], "e")
+        a, b, c = (" ".join(t) for t in (first, second, edited(second, range(30, 30 + 44 * 20, 20), "f")))
+        if bin(simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).count("1") <= 2:
+            break
+    assert similarity(a, b) > 0.8 and similarity(b, c) >= 0.8 > similarity(a, c)
+    docs = spark.createDataFrame([(1, a), (2, b), (3, c)], "doc_id int, text string").coalesce(1)
+    assert [r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()] == [1]
+
+
 # ---- decontamination
 
 
