@@ -282,13 +282,16 @@ def near_duplicates(
     return linked(stage(fingerprints(docs, text, id_column, shingle, seed), "near-members"), max_bits, shard, sample)
 
 
+def _tree_of(points: DataFrame, max_bits: int, shard: int, sample: int) -> Node:
+    total = points.count()
+    drawn = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64)
+    return build_tree(drawn.view(np.uint64), max(0, int(np.ceil(np.log2(max(1, total) / shard)))), max_bits)[0]
+
+
 def linked(members: DataFrame, max_bits: int = MAX_BITS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, fp, component_id) for a stored table of (doc_id, fp)."""
     points = stage(members.groupBy("fp").agg(F.min("doc_id").alias("least")), "near-points")
-    total = points.count()
-    drawn = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64)
-    tree, _ = build_tree(drawn.view(np.uint64), max(0, int(np.ceil(np.log2(max(1, total) / shard)))), max_bits)
-    labels = connected(_stars(points, tree, max_bits))
+    labels = connected(_stars(points, _tree_of(points, max_bits, shard, sample), max_bits))
     named = points.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     named = stage(named, "near-named")
     first = stage(named.groupBy("label").agg(F.min("least").alias("component_id")), "near-first")
@@ -351,10 +354,19 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "row bigint, shingles array<bigint>")
 
 
-def similar_pairs(slots: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE_WORDS) -> DataFrame:
-    """(a, b) of rows that share at least ``similarity`` of their shingles, checked exactly.
+def fingerprint_pairs(marks: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(a, b) of rows to be compared: each with the first of its fingerprint, and these along the stars."""
+    points = stage(marks.groupBy("fp").agg(F.min("row").alias("first")), "near-points")
+    stars = _stars(points, _tree_of(points, max_bits, SHARD, SAMPLE), max_bits)
+    ends = stars.join(points.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(points.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    same = marks.join(points, "fp").select(F.col("row").alias("a"), F.col("first").alias("b"))
+    return same.filter("a <> b").unionByName(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def slot_pairs(slots: DataFrame) -> DataFrame:
+    """(a, b) of rows to be compared that share a slot.
 
-    ``slots`` is a table of (row, slots), ``texts`` of (row, text). A text is compared with three members
+    ``slots`` is a table of (row, slots). A text is compared with three members
     of every slot group it is in, never with all: the first one, the one whose groups are largest in
     sum, which in a family of copies is the text they were made from, and one that a hash picks anew for
     every slot, so that small families are compared almost completely.
@@ -370,8 +382,12 @@ def similar_pairs(slots: DataFrame, texts: DataFrame, similarity: float = SIMILA
         F.min(F.struct(F.xxhash64("slot", "row").alias("hash"), "row")).alias("any"),
     )
     heads = stage(heads.select("slot", "value", F.array_distinct(F.array("first", -F.col("centre.row"), "any.row")).alias("heads")), "near-heads")
-    pairs = shared.join(heads, ["slot", "value"]).select(F.col("row").alias("a"), F.explode("heads").alias("b")).filter("a <> b").distinct()
-    pairs = stage(pairs, "near-pairs")
+    return shared.join(heads, ["slot", "value"]).select(F.col("row").alias("a"), F.explode("heads").alias("b")).filter("a <> b")
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE_WORDS) -> DataFrame:
+    """Those of the pairs (a, b) that share at least ``similarity`` of their shingles; ``texts`` has (row, text)."""
+    pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
     # Stored first, so that Spark knows its size and moves the texts only if it is large.
     needed = stage(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "near-needed")
     sets = stage(_sets(texts.join(needed, "row", "left_semi"), shingle), "near-sets")
@@ -383,9 +399,9 @@ def similar_pairs(slots: DataFrame, texts: DataFrame, similarity: float = SIMILA
 def drop_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group, that with the smallest id.
 
-    Groups are joined by fingerprints of five-word shingles at most ``max_bits`` apart, and by pairs of
-    texts that share ``similarity`` of their shingles. The second are looked for among all rows: edits of
-    a few words move more bits than a vantage-point tree can search.
+    Groups are joined by pairs of texts that share ``similarity`` of their distinct five-word shingles.
+    Fingerprints at most ``max_bits`` apart only name texts to compare, and so do shared slots: edits of a
+    few words move more bits than a vantage-point tree can search.
 
     A null id comes last in its group. Null and empty texts are one group. Rows that repeat an id are
     documents of their own. ``docs`` is read several times and has to give the same rows in the same
@@ -395,10 +411,10 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "
     numbered = docs.withColumn(key, F.monotonically_increasing_id())
     texts = numbered.select(F.col(key).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     marks = stage(_marks(texts, shingle), "near-marks")
-    tight = linked(marks.select(F.col("row").alias("doc_id"), "fp"), max_bits).select(F.col("doc_id").alias("row"), F.col("component_id").alias("head"))
-    tight = stage(tight, "near-tight")
-    close = tight.select(F.col("row").alias("a"), F.col("head").alias("b"))
-    labels = connected(close.unionByName(similar_pairs(marks.select("row", "slots"), texts, similarity, shingle)))
+    empty = marks.filter(F.size("slots") == 0).select("row")
+    blank = empty.crossJoin(F.broadcast(empty.agg(F.min("row").alias("b")))).select(F.col("row").alias("a"), "b")
+    tried = fingerprint_pairs(marks, max_bits).unionByName(slot_pairs(marks.select("row", "slots")))
+    labels = connected(blank.unionByName(similar_pairs(tried, texts, similarity, shingle)))
     grouped = marks.select("row").join(labels.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("label", "row").alias("label"))
     ids = numbered.select(F.col(key).alias("row"), F.col(id_column).alias("id"))
     named = stage(grouped.join(ids, "row"), "near-grouped")

@@ -248,6 +248,13 @@ def test_members_of_a_component_are_searched(spark):
     assert [r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()] == [1]
 
 
+def test_filler_is_no_similarity(spark):
+    rows = [(k, "0 " * 300 + " ".join(f"t{k}x{j}" for j in range(80))) for k in range(4)]
+    assert len({simhash.fingerprint(t, 5) for _, t in rows}) == 1 and similarity(rows[0][1], rows[1][1]) < 0.1
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    assert simhash.drop_near_duplicates(docs).count() == 4
+
+
 # ---- decontamination
 
 
