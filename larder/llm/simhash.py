@@ -328,19 +328,21 @@ def slots_of(shingles: np.ndarray) -> np.ndarray:
 
 
 def _marks(texts: DataFrame, shingle: int) -> DataFrame:
-    """(row, fp, slots) of (row, text), in one pass over the texts."""
+    """(row, fp, size, slots) of (row, text), in one pass over the texts; size is that of the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, slots = [], []
+            marks, sizes, slots = [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_hashes(text, shingle)
                 marks.append(majority(hashes))
-                slots.append(slots_of(np.unique(hashes)).view(np.int64))
+                distinct = np.unique(hashes)
+                sizes.append(len(distinct))
+                slots.append(slots_of(distinct).view(np.int64))
             fp = pa.array(np.array(marks, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), fp, pa.array(slots, pa.list_(pa.int64()))], names=["row", "fp", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), fp, pa.array(sizes, pa.int64()), pa.array(slots, pa.list_(pa.int64()))], names=["row", "fp", "size", "slots"])
 
-    return texts.mapInArrow(run, "row bigint, fp bigint, slots array<bigint>")
+    return texts.mapInArrow(run, "row bigint, fp bigint, size bigint, slots array<bigint>")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -396,12 +398,81 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILA
     return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def _seen(texts: DataFrame, shingle: int, bits: int) -> np.ndarray:
+    """How many shingles of all sets fall into each of 2 ** bits buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                np.add.at(count, (shingle_set(text, shingle) >> np.uint64(64 - bits)).astype(np.int64), 1)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], names=["bucket", "n"])
+
+    rows = texts.mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << bits, np.int64)
+    out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return out
+
+
+def _prefixes(texts: DataFrame, similarity: float, shingle: int, bits: int) -> DataFrame:
+    """(row, size, shingle, inner): the rarest shingles of every set, rarest as far as buckets tell.
+
+    Any order common to all sets will do. Of two sets at ``similarity`` the larger one has, among its first
+    size - similarity * size + 1 shingles, one of the smaller one's first size - 2 * similarity /
+    (1 + similarity) * size + 1, which are ``inner``. So a passage that many share is met only where it
+    makes the texts that share it copies, or nearly.
+    """
+    seen = texts.sparkSession.sparkContext.broadcast(_seen(texts, shingle, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sizes, found, inner = [], [], [], []
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
+                own = shingle_set(text, shingle)
+                n = len(own)
+                if not n:
+                    continue
+                # The small number keeps rounding from making a prefix too short.
+                outer = n - int(np.ceil(similarity * n - 1e-6)) + 1
+                short = n - int(np.ceil(2 * similarity / (1 + similarity) * n - 1e-6)) + 1
+                order = np.lexsort((own, seen.value[(own >> np.uint64(64 - bits)).astype(np.int64)]))[:outer]
+                found.append(own[order])
+                rows.append(np.full(len(order), row, np.int64))
+                sizes.append(np.full(len(order), n, np.int64))
+                inner.append(np.arange(len(order)) < short)
+            if rows:
+                columns = [np.concatenate(rows), np.concatenate(sizes), np.concatenate(found).view(np.int64), np.concatenate(inner)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "size", "shingle", "inner"])
+
+    return texts.mapInArrow(run, "row bigint, size bigint, shingle bigint, inner boolean")
+
+
+def prefix_pairs(texts: DataFrame, labels: DataFrame, similarity: float, shingle: int, total: int) -> DataFrame:
+    """(a, b) of all rows not yet in one group that may share ``similarity`` of their shingles: none is left out.
+
+    ``labels`` has (node, label) of the rows already grouped, ``total`` is the number of shingles.
+    """
+    bits = int(np.clip(np.ceil(np.log2(max(1, total) / 256)), 12, 24))
+    first = _prefixes(texts, similarity, shingle, bits).join(labels.withColumnRenamed("node", "row"), "row", "left")
+    first = stage(first.withColumn("label", F.coalesce("label", "row")), "near-prefixes")
+    # A shingle met in one group only says nothing new, however large the group.
+    open_ = first.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("inner").alias("any")).filter("low <> high and any")
+    left = stage(first.join(stage(open_.select("shingle"), "near-open"), "shingle", "left_semi"), "near-left")
+    x = left.filter("inner").select("shingle", F.col("row").alias("a"), F.col("size").alias("m"), F.col("label").alias("p"))
+    y = left.select("shingle", F.col("row").alias("b"), F.col("size").alias("n"), F.col("label").alias("q"))
+    smaller = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("b")))
+    near = (F.col("p") != F.col("q")) & smaller & (F.col("m") >= similarity * F.col("n") - 1e-6)
+    return x.join(y, "shingle").filter(near).select("a", "b")
+
+
 def drop_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group, that with the smallest id.
 
     Groups are joined by pairs of texts that share ``similarity`` of their distinct five-word shingles.
     Fingerprints at most ``max_bits`` apart only name texts to compare, and so do shared slots: edits of a
-    few words move more bits than a vantage-point tree can search.
+    few words move more bits than a vantage-point tree can search. Texts that are then still apart are
+    compared wherever their rarest shingles meet, which leaves no pair out.
 
     A null id comes last in its group. Null and empty texts are one group. Rows that repeat an id are
     documents of their own. ``docs`` is read several times and has to give the same rows in the same
@@ -414,7 +485,10 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "
     empty = marks.filter(F.size("slots") == 0).select("row")
     blank = empty.crossJoin(F.broadcast(empty.agg(F.min("row").alias("b")))).select(F.col("row").alias("a"), "b")
     tried = fingerprint_pairs(marks, max_bits).unionByName(slot_pairs(marks.select("row", "slots")))
-    labels = connected(blank.unionByName(similar_pairs(tried, texts, similarity, shingle)))
+    edges = stage(blank.unionByName(similar_pairs(tried, texts, similarity, shingle)), "near-found")
+    total = marks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    rest = prefix_pairs(texts, connected(edges), similarity, shingle, total)
+    labels = connected(edges.unionByName(similar_pairs(rest, texts, similarity, shingle)))
     grouped = marks.select("row").join(labels.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("label", "row").alias("label"))
     ids = numbered.select(F.col(key).alias("row"), F.col(id_column).alias("id"))
     named = stage(grouped.join(ids, "row"), "near-grouped")

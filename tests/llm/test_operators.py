@@ -3,6 +3,7 @@ import collections
 import hashlib
 import random
 import re
+import tempfile
 import zlib
 
 import numpy as np
@@ -255,6 +256,18 @@ def test_filler_is_no_similarity(spark):
     assert simhash.drop_near_duplicates(docs).count() == 4
 
 
+def test_pairs_behind_a_shared_passage(spark):
+    passage = " ".join(f"p{k}" for k in range(130))
+    rows = [(d, passage + "".join(f" d{d}x{k}" for k in range(20))) for d in range(2000)]
+    rows += [(5000 + d, passage + "".join(f" d{d}x{k}" for k in range(6)) + "".join(f" e{d}x{k}" for k in range(14))) for d in range(100)]
+    assert similarity(rows[0][1], rows[1][1]) < 0.8 <= similarity(rows[0][1], rows[2000][1])
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    path = f"{tempfile.mkdtemp(prefix='larder-')}/docs"
+    docs.write.parquet(path)
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.read.parquet(path)).collect()}
+    assert kept == set(range(2000))
+
+
 # ---- decontamination
 
 
