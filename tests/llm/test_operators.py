@@ -352,6 +352,12 @@ def test_all_that_may_follow_a_word_sums_to_one(spark):
             assert more[prev] + (np.array(r["back"]) * q[:, hpylm._NEXT[prev[-1]]]).mean() == pytest.approx(1, abs=1e-5)
 
 
+def test_rows_without_id_are_dealt_over_all_blocks(spark):
+    docs = spark.createDataFrame([(None, f"text {k}") for k in range(400)], "doc_id int, text string")
+    sizes = [r["count"] for r in docs.groupBy(hpylm.block_of(4).alias("block")).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 150
+
+
 def test_seating_is_a_restaurant():
     rng = np.random.default_rng(0)
     customers = np.array([0, 1, 5, 40, 100_000])
