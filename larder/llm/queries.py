@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, exact_dedup, hpylm, mixing, quality, secret_scan, simhash, url_filter, warc
+from . import chat, decontam, divergence, exact_dedup, hpylm, mixing, quality, secret_scan, simhash, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -284,3 +284,43 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpylm.score_texts(table(spark, sf_dir, "documents"))
+
+
+# ---- source divergence
+
+_DIVERGENCE_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), found AS (
+    SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+    SELECT lang, term, count(*) AS lang_n FROM found GROUP BY lang, term HAVING count(DISTINCT rid) >= 3
+), langs AS (
+    SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang
+), counted AS (
+    SELECT lang, source, term, count(*) AS n FROM found GROUP BY lang, source, term
+), every AS (
+    SELECT lang, source, term, coalesce(n, 0) AS n, lang_n, sum(coalesce(n, 0)) OVER (PARTITION BY lang, source) AS total
+    FROM (SELECT DISTINCT lang, source FROM docs) JOIN kept USING (lang) LEFT JOIN counted USING (lang, source, term)
+), shares AS (
+    SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (total + v) AS p, 1 + (1000000000::HUGEINT * (lang_n + 1)) // (lang_total + v) AS q
+    FROM every JOIN langs USING (lang)
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), met AS (
+    SELECT DISTINCT a.lang, a.source, b.source AS item FROM docs a JOIN (SELECT DISTINCT lang, source FROM docs) b ON a.lang = b.lang AND a.source <> b.source
+), parts AS (
+    SELECT lang, source, 'pair' AS part, item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM met LEFT JOIN pairs USING (lang, source, item)
+    UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS place FROM parts
+)
+SELECT lang, source, part, item, value, CAST(place AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR place <= 200
+"""
+
+
+@query(_DIVERGENCE_SQL)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
