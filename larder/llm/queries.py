@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, divergence, exact_dedup, hpylm, mixing, quality, secret_scan, simhash, url_filter, warc
+from . import chat, decontam, divergence, exact_dedup, hpylm, mixing, quality, secret_scan, simhash, url_filter, vector_code, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -324,3 +324,47 @@ SELECT lang, source, part, item, value, CAST(place AS INTEGER) AS rank FROM rank
 @query(_DIVERGENCE_SQL)
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+# ---- vector codes
+
+
+def _vector_sql(rounds: int = 4) -> str:
+    nearest = """SELECT rid, part, x, entry, apart FROM (
+        SELECT rid, part, x, entry, list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS apart FROM parts JOIN {book} USING (part)
+    ) QUALIFY row_number() OVER (PARTITION BY rid, part ORDER BY apart, entry) = 1"""
+    steps = []
+    for i in range(rounds):
+        steps.append(f"near{i} AS (" + nearest.format(book=f"book{i}") + ")")
+        steps.append(
+            f"""book{i + 1} AS (
+    SELECT part, entry, coalesce(moved, e) AS e FROM book{i} LEFT JOIN (
+        SELECT part, entry, list(CAST(total // n - CASE WHEN total % n < 0 THEN 1 ELSE 0 END AS BIGINT) ORDER BY i) AS moved FROM (
+            SELECT part, entry, i, sum(v) AS total, count(*) AS n FROM (SELECT part, entry, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM near{i}) GROUP BY part, entry, i
+        ) GROUP BY part, entry
+    ) USING (part, entry)
+)"""
+        )
+    last = f"book{rounds}"
+    return f"""
+WITH sound AS (
+    SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+    SELECT rid, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] AS x FROM sound, (SELECT unnest(range(4)) AS part)
+), book0 AS (
+    SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS e
+    FROM (SELECT * FROM sound ORDER BY vec_id LIMIT 256) JOIN parts USING (rid)
+), {", ".join(steps)}, coded AS ({nearest.format(book=last)}), digest AS (
+    SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM {last}
+), errors AS (
+    SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(apart) AS BIGINT) AS error FROM coded GROUP BY rid
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM errors JOIN sound USING (rid), digest
+"""
+
+
+@query(_vector_sql())
+def op12_vector_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_code.compress_vectors(table(spark, sf_dir, "embeddings"))
