@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, divergence, exact_dedup, hpylm, mixing, quality, secret_scan, simhash, url_filter, vector_code, warc
+from . import chat, decontam, divergence, exact_dedup, hpylm, langid, mixing, quality, secret_scan, simhash, url_filter, vector_code, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -368,3 +368,11 @@ FROM errors JOIN sound USING (rid), digest
 @query(_vector_sql())
 def op12_vector_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_code.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+# ---- languages
+
+
+@query()
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(table(spark, sf_dir, "documents"))
