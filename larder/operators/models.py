@@ -1,7 +1,9 @@
-"""Global forecasting models on Spark ML, and the contract for plugging in others.
+"""Global forecasting models, and the contract for plugging in others.
 
-One model learns from all tenants and series at once. Item identity enters as the series' training
-level rather than as a category, so the feature count does not grow with the number of items.
+One model learns from all tenants and series at once: boosted trees with a count loss or with one loss per
+quantile level (``boosting``), which train all folds in one pass, or Poisson regression and a quantile forest
+from Spark ML, which train fold by fold. Trees see an item as a category; items beyond the most frequent
+ones are told apart by the level of their series alone, so the number of inputs does not grow with the menu.
 """
 from __future__ import annotations
 
@@ -14,11 +16,12 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.ml.regression import GeneralizedLinearRegression, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.storagelevel import StorageLevel
 
-from . import KEY, SERIES
+from ..sources.staging import stage
+from . import KEY, SERIES, boosting
 from .joins import salted_join, shuffle_width
 from .quantiles import CELL, STANDARD_LEVELS, noncrossing
 
@@ -26,6 +29,8 @@ SEED = 42
 _PAST = ["lag_1", "lag_7", "lag_14", "rolling_mean_7", "rolling_std_7", "rolling_mean_28"]
 _CALENDAR = ["daypart", "day_of_week", "is_weekend", "week_of_year", "month", "era_id", "era_days_elapsed"]
 TREE_INPUTS = ["level", *_CALENDAR, *_PAST, *[f"{c}_missing" for c in _PAST]]
+BOOSTED_NUMBERS = ["level", "is_weekend", "week_of_year", "month", "era_days_elapsed", *_PAST]
+BOOSTED_CATEGORIES = ["item", "service_period", "day_of_week", "era_id"]
 LINEAR_INPUTS = ["log_level", "is_dinner", *[f"dow_{d}" for d in range(1, 7)], "log_mean_28", "log_lag_7"]
 
 
@@ -72,18 +77,50 @@ def _fit(train: DataFrame, inputs: list[str], estimator) -> PipelineModel:
     return PipelineModel([assembler, model])
 
 
-def fit_gbm(train: DataFrame, rounds: int = 20, depth: int = 5, step: float = 0.1) -> PipelineModel:
-    """Gradient-boosted trees over all series."""
-    return _fit(train, TREE_INPUTS, GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=step, seed=SEED))
-
-
-def fit_poisson(train: DataFrame, rounds: int = 10) -> PipelineModel:
+def fit_poisson(train: DataFrame, rounds: int = 25) -> PipelineModel:
     """Poisson regression with a log link over all series."""
     glm = GeneralizedLinearRegression(family="poisson", link="log", maxIter=rounds, regParam=1e-6)
     return _fit(train, LINEAR_INPUTS, glm)
 
 
-POINT_MODELS: dict[str, Callable[[DataFrame], PipelineModel]] = {"gbm": fit_gbm, "poisson": fit_poisson}
+def boosted_inputs(features: DataFrame, part: Column) -> DataFrame:
+    """Rows with their part and the inputs of the boosted trees. ``role`` tells a part's training rows; the
+    level of a series is its mean demand among those."""
+    rows = features.withColumn("part", part.cast("int"))
+    levels = rows.where("role = 'train'").groupBy("part", *SERIES).agg(F.avg("demand").alias("level"))
+    texts = {c: F.col(c).cast("string") for c in BOOSTED_CATEGORIES[1:]}
+    item = F.to_json(F.array("restaurant_id", "item_id"))
+    return rows.join(levels, ["part", *SERIES], "left").withColumns({**texts, "item": item, "is_weekend": F.col("is_weekend").cast("int")})
+
+
+def fit_boosted(rows: DataFrame, levels: tuple[float, ...] | None = None, settings: boosting.Settings = boosting.Settings()) -> boosting.Boosted:
+    """All parts of ``boosted_inputs`` trained side by side: for counts, or for the quantile ``levels``.
+    The rows should be staged."""
+    return boosting.train(rows.where("role = 'train'"), "demand", BOOSTED_NUMBERS, BOOSTED_CATEGORIES, levels, settings)
+
+
+def boosted_point(
+    features: DataFrame, name: str = "gbm", settings: boosting.Settings = boosting.Settings(), part: Column | None = None, keep: tuple[str, ...] = tuple(CELL)
+) -> DataFrame:
+    """Count forecasts of the test rows, every fold by the model of its own training rows."""
+    rows = stage(boosted_inputs(features, F.col("fold") if part is None else part), "boosted-rows")
+    done = fit_boosted(rows, None, settings).predict(rows.where("role = 'test'"), keep)
+    return done.select(*keep, F.get("forecasts", F.lit(0)).alias("forecast"), F.lit(name).alias("model"))
+
+
+def level_rows(forecasts: DataFrame, levels: tuple[float, ...], cell: list[str]) -> DataFrame:
+    """A row per level from an array of forecasts, in order: the sorted forecasts go to the sorted levels."""
+    pairs = F.arrays_zip(F.array(*[F.lit(q) for q in sorted(levels)]).alias("quantile"), F.sort_array("forecasts").alias("forecast"))
+    return forecasts.select(*cell, F.inline(pairs)).toDF(*cell, "quantile", "forecast")
+
+
+def boosted_quantiles(features: DataFrame, levels: tuple[float, ...] = STANDARD_LEVELS, settings: boosting.Settings = boosting.Settings()) -> DataFrame:
+    """Quantile forecasts of the test rows: one model per fold and level, all trained in one pass."""
+    rows = stage(boosted_inputs(features, F.col("fold")), "boosted-rows")
+    return level_rows(fit_boosted(rows, levels, settings).predict(rows.where("role = 'test'"), CELL), levels, CELL)
+
+
+POINT_MODELS: dict[str, Callable[[DataFrame], PipelineModel]] = {"poisson": fit_poisson}
 
 
 def predict_point(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -98,11 +135,15 @@ def fold_split(features: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
     return encode(train, levels), encode(of_fold.where("role = 'test'"), levels)
 
 
-def point_gbm(features: DataFrame, n_folds: int, kind: str = "gbm", name: str | None = None) -> DataFrame:
+def point_gbm(
+    features: DataFrame, n_folds: int, kind: str = "gbm", name: str | None = None, settings: boosting.Settings = boosting.Settings()
+) -> DataFrame:
     """Point forecasts of every fold's test cells. ``features`` should be a staged feature frame.
 
-    Each fold trains its own model; the folds' training jobs share the cluster side by side.
+    ``gbm`` trains all folds in one pass. Spark ML models train one fold each, side by side.
     """
+    if kind == "gbm":
+        return boosted_point(features, name or kind, settings)
 
     def forecast(fold: int) -> DataFrame:
         train, test = fold_split(features, fold)
@@ -110,26 +151,22 @@ def point_gbm(features: DataFrame, n_folds: int, kind: str = "gbm", name: str |
 
     with ThreadPool(n_folds) as pool:
         parts = pool.map(inheritable_thread_target(features.sparkSession)(forecast), range(n_folds))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.withColumn("model", F.lit(name or kind))
+    return reduce(DataFrame.unionByName, parts).withColumn("model", F.lit(name or kind))
 
 
-def forest_by_fold(features: DataFrame, n_folds: int, levels: tuple[float, ...] = STANDARD_LEVELS) -> DataFrame:
+def forest_by_fold(features: DataFrame, n_folds: int, levels: tuple[float, ...] = STANDARD_LEVELS, trees: int = 100) -> DataFrame:
     """Quantile forecasts of every fold's test cells, one forest per fold."""
-    parts = [forest_quantiles(*fold_split(features, fold), levels) for fold in range(n_folds)]
+    parts = [forest_quantiles(*fold_split(features, fold), levels, trees) for fold in range(n_folds)]
     return reduce(DataFrame.unionByName, parts)
 
 
-def feature_importance(model: PipelineModel, spark) -> DataFrame:
-    """Inputs ranked by how much the trees used them."""
-    trees = model.stages[-1]
-    rows = [(n, float(w)) for n, w in zip(TREE_INPUTS, trees.featureImportances.toArray())]
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+def feature_importance(model: boosting.Boosted, spark) -> DataFrame:
+    """Inputs of every part's trees, ranked by their share of the splits."""
+    rows = [(part, name, share) for part, _, name, share in model.importance()]
+    return spark.createDataFrame(rows, "fold int, feature string, importance double").orderBy("fold", F.desc("importance"), "feature")
 
 
-def fit_forest(train: DataFrame, trees: int = 20, depth: int = 5) -> PipelineModel:
+def fit_forest(train: DataFrame, trees: int = 100, depth: int = 5) -> PipelineModel:
     forest = RandomForestRegressor(numTrees=trees, maxDepth=depth, minInstancesPerNode=5, seed=SEED, leafCol="leaves")
     return _fit(train, TREE_INPUTS, forest)
 
@@ -140,7 +177,7 @@ def _leaf_rows(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 
 def forest_quantiles(
-    train: DataFrame, test: DataFrame, levels: tuple[float, ...] = STANDARD_LEVELS, trees: int = 20, depth: int = 5
+    train: DataFrame, test: DataFrame, levels: tuple[float, ...] = STANDARD_LEVELS, trees: int = 100, depth: int = 5
 ) -> DataFrame:
     """Quantile forest: percentiles of the training demand in each leaf, averaged over the trees.
 

@@ -6,11 +6,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import KEY
-from ..operators.conformal import conformal_coverage, conformal_intervals
+from ..operators.boosting import Settings
+from ..operators.conformal import conformal_coverage, conformal_intervals, held_scores, split_days, widened
 from ..operators.features import feature_frame
 from ..operators.folds import train_rows
-from ..operators.models import forest_by_fold
-from ..operators.quantiles import empirical_quantiles, required_levels, weekday_samples
+from ..operators.joins import salted_join
+from ..operators.models import boosted_inputs, fit_boosted, level_rows
+from ..operators.quantiles import CELL, empirical_quantiles, required_levels, weekday_samples
 from ..operators.scoring import coverage, pit, pit_summary, underage_per_item
 from ..operators.unconstrain import unconstrain
 from ..sources.staging import stage
@@ -21,6 +23,8 @@ from .floors import CURVE_LEVELS, Backtest, end_anchored
 class Calibration:
     run: Backtest
     quantiles: DataFrame
+    #: Conformal intervals of the last fold, where they come from trained models.
+    intervals: DataFrame | None = None
 
 
 def calibration_inputs(clean: DataFrame, economics: DataFrame, **windows) -> Calibration:
@@ -31,11 +35,34 @@ def calibration_inputs(clean: DataFrame, economics: DataFrame, **windows) -> Cal
     return Calibration(run, quantiles)
 
 
-def trained_inputs(clean: DataFrame, eras: DataFrame, n_folds: int = 4) -> Calibration:
-    """The same with a quantile forest per fold."""
+def trained_inputs(
+    clean: DataFrame, eras: DataFrame, n_folds: int = 4, confidence: float = 0.8, settings: Settings = Settings()
+) -> Calibration:
+    """The same with boosted quantiles, and conformalised intervals of the last fold.
+
+    The last fold is trained once more on its earlier days; its later days give the scores that move the
+    two ends of the interval. Folds and this extra part, at all levels, are one training.
+    """
     run = end_anchored(stage(unconstrain(clean).select(*KEY, "demand"), "unconstrained"), n_folds=n_folds)
     features = stage(feature_frame(run.demand, run.folds, eras), "features")
-    return Calibration(run, forest_by_fold(features, n_folds, CURVE_LEVELS))
+    latest = run.folds.groupBy("restaurant_id").agg(F.max("fold").alias("fold"))
+    last = salted_join(features, latest, ["restaurant_id", "fold"], ["business_date"])
+    split = split_days(last.where("role = 'train'"))
+    last = salted_join(last, split, ["restaurant_id"], ["business_date"])
+    held = (F.col("role") == "train") & (F.col("business_date") >= F.col("split_day"))
+    # Held-back rows keep their demand in ``actual`` and are predicted like test rows.
+    last = last.withColumns({"role": F.when(held, "held").otherwise(F.col("role")), "demand": F.when(~held, F.col("demand"))}).drop("split_day")
+    parts = features.withColumn("_part", F.col("fold")).unionByName(last.withColumn("_part", F.lit(n_folds)))
+    rows = stage(boosted_inputs(parts, F.col("_part")).drop("_part"), "boosted-rows")
+    tails = (round((1 - confidence) / 2, 6), round(1 - (1 - confidence) / 2, 6))
+    levels = tuple(sorted({*CURVE_LEVELS, *tails}))
+    model = fit_boosted(rows, levels, settings)
+    done = stage(model.predict(rows.where("role <> 'train'"), [*CELL, "part", "role", "actual"]), "quantiles")
+    curves = level_rows(done.where(F.col("part") < n_folds), levels, CELL).where(F.col("quantile").isin(*CURVE_LEVELS))
+    in_order = F.sort_array("forecasts")
+    ends = done.where(F.col("part") == n_folds).withColumns({name: F.get(in_order, F.lit(levels.index(q))) for name, q in zip(("lo", "hi"), tails)})
+    scores = stage(held_scores(ends.where("role = 'held'").withColumn("demand", F.col("actual"))), "held-scores")
+    return Calibration(run, curves, widened(ends.where("role = 'test'"), scores, confidence))
 
 
 def last_fold(folds: DataFrame) -> DataFrame:
@@ -45,6 +72,8 @@ def last_fold(folds: DataFrame) -> DataFrame:
 
 def conformal(inputs: Calibration, truth: DataFrame, confidence: float = 0.8) -> DataFrame:
     """Independent interval check on the most recent fold."""
+    if inputs.intervals is not None:
+        return conformal_coverage(inputs.intervals, truth, confidence)
     final = last_fold(inputs.run.folds)
     train = train_rows(inputs.run.demand, final).select(*KEY, "demand")
     targets = inputs.run.targets.join(final.select("restaurant_id", "fold"), ["restaurant_id", "fold"], "left_semi")

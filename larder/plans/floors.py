@@ -15,7 +15,8 @@ from ..operators.baselines import baseline_croston, long_forecasts, naive_foreca
 from ..operators.features import day_ahead_features, feature_frame, lag_fill_rate
 from ..operators.folds import assert_no_leakage, forecast_frame, tail_folds, test_rows, walk_forward_folds
 from ..operators.joins import salted_join
-from ..operators.models import POINT_MODELS, encode, forest_by_fold, point_gbm, predict_point, series_levels
+from ..operators.boosting import Settings
+from ..operators.models import POINT_MODELS, boosted_point, boosted_quantiles, encode, point_gbm, predict_point, series_levels
 from ..operators.quantiles import (
     CELL,
     empirical_mean,
@@ -71,19 +72,23 @@ def backtest(
     return fold_scores(score_join(run.actuals, baseline_forecasts(run, models), economics, list(models)))
 
 
-def point_floor(demand: DataFrame, economics: DataFrame, eras: DataFrame, kind: str = "gbm", n_folds: int = 4) -> DataFrame:
+def point_floor(
+    demand: DataFrame, economics: DataFrame, eras: DataFrame, kind: str = "gbm", n_folds: int = 4, settings: Settings = Settings()
+) -> DataFrame:
     """The global point model against the baselines, on clean demand."""
     run = walk_forward(stage(demand.select(*KEY, "demand"), "demand"), n_folds=n_folds)
     features = stage(feature_frame(run.demand, run.folds, eras), "features")
-    point = point_gbm(features, n_folds, kind)
+    point = stage(point_gbm(features, n_folds, kind, settings=settings), "forecasts")
     forecasts = baseline_forecasts(run).unionByName(point)
     return fold_scores(score_join(run.actuals, forecasts, economics, [*BASELINES, kind]))
 
 
 def unconstrain_floor(
-    clean: DataFrame, truth: DataFrame, economics: DataFrame, eras: DataFrame, kind: str = "gbm", n_folds: int = 4
+    clean: DataFrame, truth: DataFrame, economics: DataFrame, eras: DataFrame, n_folds: int = 4, settings: Settings = Settings()
 ) -> DataFrame:
-    """The point model trained on clean against recovered demand, both scored on one ruler.
+    """The boosted point model trained on clean against recovered demand, both scored on one ruler.
+
+    Folds of both arms are parts of one training.
 
     Only items with a sold-out cell can differ; ``touching`` marks the (fold, item) pairs whose
     test window holds one.
@@ -92,11 +97,11 @@ def unconstrain_floor(
     ruler = stage(oracle_actual(clean, truth), "ruler")
     run = end_anchored(ruler, n_folds=n_folds)
     arms = {"clean": clean.select(*KEY, "demand"), "unconstrained": unconstrain(clean).select(*KEY, "demand")}
-    forecasts = None
-    for name, target in arms.items():
-        features = stage(feature_frame(target, run.folds, eras), f"features-{name}")
-        part = point_gbm(features, n_folds, kind, name)
-        forecasts = part if forecasts is None else forecasts.unionByName(part)
+    framed = [feature_frame(target, run.folds, eras).withColumn("arm", F.lit(i)) for i, target in enumerate(arms.values())]
+    features = stage(framed[0].unionByName(framed[1]), "features")
+    point = boosted_point(features, "", settings, F.col("arm") * n_folds + F.col("fold"), (*CELL, "arm"))
+    names = F.array(*[F.lit(name) for name in arms])
+    forecasts = stage(point.withColumn("model", F.get(names, F.col("arm"))).drop("arm"), "forecasts")
     scores = fold_scores(score_join(run.actuals, forecasts, economics, list(arms)))
     touched = touching_folds(clean, run.folds).withColumn("touching", F.lit(True))
     popular = clean.where("censored").select("restaurant_id", "item_id").distinct()
@@ -154,17 +159,17 @@ def newsvendor_floor(clean: DataFrame, economics: DataFrame, **windows) -> DataF
 CURVE_LEVELS = (0.05, 0.10, 0.25, 0.40, 0.50, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95, 0.99)
 
 
-def newsvendor_trained(clean: DataFrame, economics: DataFrame, eras: DataFrame, n_folds: int = 4) -> DataFrame:
-    """The same comparison with trained models: prep at the point model's forecast against prep at
-    the critical ratio of the quantile forest, both fitted on recovered demand."""
+def newsvendor_trained(clean: DataFrame, economics: DataFrame, eras: DataFrame, n_folds: int = 4, settings: Settings = Settings()) -> DataFrame:
+    """The same comparison with trained models: prep at the boosted point forecast against prep at the
+    critical ratio of the boosted quantiles, both fitted on recovered demand."""
     batch = route_batch(economics)
     wanted = batch.select("restaurant_id", "item_id")
     run = end_anchored(stage(unconstrain(clean).select(*KEY, "demand"), "unconstrained"), n_folds=n_folds)
     features = stage(feature_frame(run.demand, run.folds, eras), "features")
-    curves = stage(forest_by_fold(features, n_folds, CURVE_LEVELS), "curves")
+    curves = stage(boosted_quantiles(features, CURVE_LEVELS, settings), "curves")
     policy = newsvendor_policy(curves, batch).select(*CELL, F.col("prep_quantity").alias("forecast"))
-    point = point_gbm(features, n_folds, "gbm", "point_as_mean")
-    forecasts = point.unionByName(policy.withColumn("model", F.lit("quantile_newsvendor")))
+    point = boosted_point(features, "point_as_mean", settings)
+    forecasts = stage(point.unionByName(policy.withColumn("model", F.lit("quantile_newsvendor"))), "forecasts")
     forecasts = forecasts.join(wanted, ["restaurant_id", "item_id"], "left_semi")
     actuals = run.actuals.join(wanted, ["restaurant_id", "item_id"], "left_semi")
     return fold_scores(score_join(actuals, forecasts, batch, ["point_as_mean", "quantile_newsvendor"]))
@@ -177,6 +182,7 @@ def day_ahead_run(
     test_days: int = 14,
     min_train_weeks: int = 12,
     kind: str = "gbm",
+    settings: Settings = Settings(),
 ) -> DataFrame:
     """The last ``test_days`` days scored one day ahead: each day sees all earlier actuals.
 
@@ -194,14 +200,17 @@ def day_ahead_run(
     features = stage(salted_join(day_ahead_features(demand, eras), cut, ["restaurant_id"], ["business_date"]), "features")
     train = features.where("business_date < first_test_day")
     test = features.where("business_date >= first_test_day")
-    levels = series_levels(train)
-    model = POINT_MODELS[kind](encode(train, levels))
+    if kind == "gbm":
+        role = F.when(F.col("business_date") < F.col("first_test_day"), "train").otherwise("test")
+        forecasts = boosted_point(features.withColumn("role", role), kind, settings, F.lit(0), (*KEY, "demand"))
+    else:
+        levels = series_levels(train)
+        forecasts = predict_point(POINT_MODELS[kind](encode(train, levels)), encode(test, levels))
     fill = lag_fill_rate(test, ["restaurant_id", "business_date"])
     costs = economics.select("restaurant_id", "item_id", "co", "cu")
     actual = F.col("demand").cast("double")
     return (
-        predict_point(model, encode(test, levels))
-        .join(costs, ["restaurant_id", "item_id"])
+        forecasts.join(costs, ["restaurant_id", "item_id"])
         .join(fill, ["restaurant_id", "business_date"])
         .select(
             *KEY,

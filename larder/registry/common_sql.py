@@ -103,8 +103,11 @@ VIEWS["clean_demand"] = f"""
 SELECT g.*, c.restaurant_id IS NOT NULL AS censored
 FROM clean_grid g LEFT JOIN censored_keys c USING ({KEYS})
 """
+VIEWS["truth_cells"] = f"""
+SELECT {KEYS}, demand, censored, demand + CASE WHEN censored THEN 3 ELSE 0 END AS true_demand FROM clean_demand
+"""
 VIEWS["truth_demand"] = f"""
-SELECT {KEYS}, demand + CASE WHEN censored THEN 3 ELSE 0 END AS true_demand FROM clean_demand
+SELECT {KEYS}, true_demand FROM truth_cells
 """
 VIEWS["item_caps"] = f"""
 SELECT restaurant_id, item_id, CAST(sum(demand) * 2 // count(*) AS BIGINT) AS cap FROM clean_demand GROUP BY ALL

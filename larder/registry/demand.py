@@ -602,7 +602,7 @@ def unconstrain_query(v: Views) -> DataFrame:
 @query(
     "oracle_actual",
     f"""SELECT {KEYS}, CAST(CASE WHEN censored THEN true_demand ELSE demand END AS DOUBLE) AS demand
-        FROM clean_demand JOIN truth_demand USING ({KEYS})""",
+        FROM truth_cells""",
 )
 def oracle_actual(v: Views) -> DataFrame:
     base = staged_clean(v)

@@ -5,12 +5,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from larder.operators import models
+from larder.operators.boosting import Settings
 from larder.operators.features import feature_frame
 from larder.operators.folds import forecast_frame, walk_forward_folds
 from larder.plans import floors
 from larder.sources.staging import stage
 
 DAY = dt.date(2024, 1, 1)
+FEW = Settings(rounds=12, step=0.25, depth=4)
 
 
 def weekly(spark):
@@ -30,7 +32,7 @@ def test_models_learn_the_level_and_stay_in_range(spark):
     features = stage(feature_frame(demand, folds, eras), "weekly-features")
     for kind in ("gbm", "poisson"):
         errors = (
-            models.point_gbm(features, 4, kind)
+            models.point_gbm(features, 4, kind, settings=FEW)
             .join(features.where("role = 'test'"), [*models.KEY, "fold"])
             .agg(F.avg(F.abs(F.col("forecast") - F.col("actual"))).alias("mae"), F.min("forecast").alias("low"), F.count("*").alias("n"))
             .first()
@@ -40,8 +42,9 @@ def test_models_learn_the_level_and_stay_in_range(spark):
     curves = models.forest_quantiles(train, test, (0.1, 0.5, 0.9), trees=5)
     wide = curves.groupBy(*models.CELL).pivot("quantile", [0.1, 0.5, 0.9]).agg(F.first("forecast"))
     assert wide.where("`0.1` > `0.5` or `0.5` > `0.9` or `0.1` < 0").count() == 0 and wide.count() == 28 * 4
-    top = models.feature_importance(models.fit_gbm(train, rounds=3), spark).collect()
-    assert len(top) == len(models.TREE_INPUTS) and abs(sum(r.importance for r in top) - 1) < 1e-6
+    rows = stage(models.boosted_inputs(features, F.col("fold")), "weekly-rows")
+    top = models.feature_importance(models.fit_boosted(rows, settings=Settings(rounds=3)), spark).collect()
+    assert len(top) == 4 * len(models.BOOSTED_NUMBERS + models.BOOSTED_CATEGORIES) and abs(sum(r.importance for r in top) - 4) < 1e-6
 
 
 def test_plugged_in_model_sees_only_its_history(spark):
@@ -61,10 +64,12 @@ def test_jobs(spark):
     eras = spark.createDataFrame([(DAY, 0)], "start_date date, era_id int")
     economics = spark.createDataFrame([("r0", "rib", "batch", 4.0, 6.0), ("r0", "cod", "made_to_order", 3.0, 9.0)], "restaurant_id string, item_id string, prep_type string, co double, cu double")
     truth = demand.select(*models.KEY, (F.col("demand") + F.col("censored").cast("int") * 3).alias("true_demand"))
-    gate = floors.unconstrain_gate(floors.unconstrain_floor(demand, truth, economics, eras)).first()
+    gate = floors.unconstrain_gate(floors.unconstrain_floor(demand, truth, economics, eras, settings=FEW)).first()
     assert abs(gate.clean_cost - gate.clean_touching - gate.clean_rest) < 1e-6 and gate.passed == (gate.improvement > 0)
-    ahead = floors.day_ahead_run(demand, economics, eras)
+    ahead = floors.day_ahead_run(demand, economics, eras, settings=FEW)
     assert ahead.count() == 14 * 4 and ahead.where("lag_1_fill < 1 or dollar_cost < 0").count() == 0
+    trained = floors.newsvendor_trained(demand, economics, eras, settings=FEW)
+    assert {(r.item_id, r.model) for r in trained.collect()} == {("rib", "point_as_mean"), ("rib", "quantile_newsvendor")}
     policy = floors.newsvendor_floor(demand, economics)
     assert {r.item_id for r in policy.select("item_id").collect()} == {"rib"}
     assert {r.model for r in floors.backtest(demand, economics, ["lag7", "croston"]).collect()} == {"lag7", "croston"}

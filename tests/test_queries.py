@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 registry.load()
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 # Trained models; their jobs are exercised once in test_models.py.
-TRAINED = {"point_gbm", "quantile_forest", "feature_importance", "point_floor", "point_gate", "unconstrain_floor", "unconstrain_gate", "day_ahead_run", "newsvendor_trained", "calibration_trained"}
+TRAINED = {"point_gbm", "quantile_forest", "quantile_gbm", "feature_importance", "point_floor", "point_gate", "unconstrain_floor", "unconstrain_gate", "day_ahead_run", "newsvendor_trained", "calibration_trained"}
 
 
 @pytest.fixture(scope="module")
