@@ -7,9 +7,7 @@ other's count, and what a term costs that both lack is one constant, so neither
 """
 from __future__ import annotations
 
-import re
-import string
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..sources.staging import stage
 from .batches import slices
 
-TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+#: ASCII letters in lower case, other ASCII as blanks, all other bytes as they are.
+_LETTERS = bytes(b if b >= 128 else b | 32 if chr(b).isalpha() else 32 for b in range(256))
 #: Documents of a language that a term has to occur in.
 LEAST_DOCS = 3
 #: Terms reported per group.
@@ -43,35 +41,49 @@ def distinct_texts(docs: DataFrame, text: str = "text", lang: str = "lang", sour
     return rows.groupBy("lang", "digest").agg(F.first("text").alias("text")).join(listed, ["lang", "digest"]).drop("digest")
 
 
+def words(text: str) -> list[bytes]:
+    """Terms in UTF-8: every byte that is no ASCII letter and no part of a longer character is a blank."""
+    return text.encode().translate(_LETTERS).split()
+
+
 def term_counts(texts: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of every term in every group."""
+    """(lang, source, term, n, docs): occurrences and documents of every term in every group, added up per
+    task; a group's term has as many rows as tasks met it, all in one partition by language and term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str, str], list[int]] = {}
-
-        def emptied() -> pa.RecordBatch:
-            keys, values = zip(*held.items())
-            columns = [pa.array(x) for x in (*zip(*keys), *zip(*values))]
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+        size = 0
+
+        def emptied() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, docs) in held.items():
+                group = [pa.array([x] * len(n), pa.string()) for x in (lang, source)]
+                counts = [pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in n], pa.int64())]
+                terms = pa.array(list(n), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*group, terms, *counts], names=["lang", "source", "term", "n", "docs"])
             held.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
 
         for batch in batches:
             for part in slices(batch):
                 for row in part.to_pylist():
-                    found = Counter(m[0].translate(_LOWER) for m in TERM.finditer(row["text"]))
-                    for at in row["sources"]:
-                        copies = at["copies"]
-                        for term, n in found.items():
-                            entry = held.setdefault((row["lang"], at["source"], term), [0, 0])
-                            entry[0] += n * copies
-                            entry[1] += copies
-                        if len(held) > HELD:
-                            yield emptied()
-        if held:
-            yield emptied()
+                    found = words(row["text"])
+                    for at in row["sources"] if found else ():
+                        n, docs = held[row["lang"], at["source"]]
+                        size -= len(n)
+                        if at["copies"] == 1:
+                            n.update(found)
+                            docs.update(set(found))
+                        else:
+                            for term, k in Counter(found).items():
+                                n[term] += k * at["copies"]
+                                docs[term] += at["copies"]
+                        size += len(n)
+                        if size > HELD:
+                            yield from emptied()
+                            size = 0
+        yield from emptied()
 
     counted = texts.mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return counted.repartition("lang", "term")
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
@@ -103,15 +115,14 @@ def source_divergence(
     has value 0 in all pairs and no term rows. Repeated rows each count as a document. A source that is
     alone in its language has no pairs, and an empty table gives no rows. Other columns are not read.
     """
-    texts = stage(distinct_texts(docs, text, lang, source), "divergence-texts")
-    counts = stage(term_counts(texts), "divergence-terms")
-    of_term = Window.partitionBy("lang", "term")
+    counts = term_counts(distinct_texts(docs, text, lang, source)).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    of_term = Window.partitionBy("lang", "term")  # as the rows lie already
     kept = counts.withColumns({"in_lang": F.sum("docs").over(of_term), "lang_n": F.sum("n").over(of_term)}).where(F.col("in_lang") >= least_docs)
     kept = stage(kept.select("lang", "source", "term", "n", "lang_n"), "divergence-kept")
 
     langs = kept.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n")).groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
     sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = texts.select("lang", F.explode("sources.source").alias("source")).distinct()
+    groups = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source")).distinct()
     groups = groups.join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["total", "terms", "lang_total"])
     groups = stage(groups.withColumn("none", _share(F.lit(0), F.col("total"), F.col("terms"))), "divergence-groups")
 

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -186,9 +187,13 @@ def test_vector_edges(spark):
 # ---- source divergence
 
 
+TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
 def plain_divergence(rows, least=3, top=200):
     """Dense evaluation: every kept term of every group."""
-    docs = [(lang or "", source or "", [w.translate(divergence._LOWER) for w in divergence.TERM.findall(text or "")]) for text, lang, source in rows]
+    docs = [(lang or "", source or "", [w.translate(LOWER) for w in TERM.findall(text or "")]) for text, lang, source in rows]
     out = []
     for lang in {d[0] for d in docs}:
         own = [d for d in docs if d[0] == lang]
