@@ -1,7 +1,14 @@
-"""Names for helper columns beside whatever columns a table brings."""
+"""Names for helper columns beside whatever columns a table brings, and values computed once."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, even where ``body`` names it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def unused(table: DataFrame, name: str) -> str:

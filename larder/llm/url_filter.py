@@ -50,8 +50,8 @@ def _signs(url: Column) -> Column:
 
 
 def trigrams(url: Column) -> Column:
-    signs = _signs(url)
-    return F.transform(F.sequence(F.lit(1), F.length(signs) - 2), lambda i: F.substr(signs, i, F.lit(3)))
+    """All overlapping threes, in one pass over the text."""
+    return F.regexp_extract_all(_signs(url), F.lit("(?=([\\x00-\\x7F]{3}))"), F.lit(1))
 
 
 def _smoothed(n: Column, context: Column, followers: Column, shorter: Column) -> Column:
@@ -110,10 +110,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", id_col
     ratios = stage(trigram_ratios(stage(grams.groupBy("gram").agg(side("allow"), side("block")), "url-grams")), "url-ratios")
 
     rows = judged.withColumn("row", F.monotonically_increasing_id())
-    spread = rows.select("*", F.explode(trigrams(F.col("url"))).alias("gram"))
+    # Only the row's number goes with every gram: a path may be as long as its url.
+    spread = rows.select("row", F.explode(trigrams(F.col("url"))).alias("gram"))
     # At most ALPHABET ** 3 short rows, whatever the number of pages.
-    scored = spread.join(F.broadcast(ratios), "gram").groupBy("row", "page_id", "host", "path", "rule", "ruled")
-    scored = scored.agg(F.sum("llr").alias("llr"), F.count("*").alias("n"))
+    sums = spread.join(F.broadcast(ratios), "gram").groupBy("row").agg(F.sum("llr").alias("llr"), F.count("*").alias("n"))
+    scored = rows.drop("url").join(sums, "row")
     step = F.floor(F.col("llr") / (F.col("n") * (MICRO // STEP)))
     scored = stage(scored.select("page_id", "host", "path", "rule", "ruled", step.alias("step")), "url-scores")
 
