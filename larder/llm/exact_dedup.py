@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.staging import stage
-from .columns import unused
+from .columns import once, unused
 
 BLOCK_BYTES = 4096
 #: No second half: the last name of an odd row.
@@ -29,9 +29,11 @@ def block_key(block: Column, seed: int) -> Column:
 
 
 def _blocks(text: Column, size: int) -> Column:
-    body = text.cast("binary")
-    last = F.floor((F.greatest(F.octet_length(body), F.lit(1)) - 1) / size).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(body, i * size + 1, F.lit(size)))
+    def cut(body: Column) -> Column:
+        last = F.floor((F.greatest(F.octet_length(body), F.lit(1)) - 1) / size).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(body, i * size + 1, F.lit(size)))
+
+    return once(text.cast("binary"), cut)
 
 
 def _numbered(names: DataFrame, keys: list[str]) -> DataFrame:
