@@ -58,16 +58,15 @@ _SIGN = re.compile(r":=|=>|=(?![=~])|:(?![:/])")
 #: Characters before a sign that make it another operator.
 _NOT_BEFORE = frozenset("=!<>:+-*/%&|^~")
 _KEYWORD_LEFT = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*$""", re.I | re.A)
-_NAME_LEFT = re.compile(r"""([A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*)(?:["'\]]|\s*\))?[ \t]*(?::[ \t]*[A-Za-z_][\w.\[\]<>]*[ \t]*)?$""", re.A)
+#: A name, what may close it, and a type after it, all read from the sign to the left.
+_NAME_LEFT = re.compile(r"""[ \t]*(?:[\w.\[\]<>]*[A-Za-z_][ \t]*:[ \t]*)?(?:["'\]]|\)[ \t]*)?([\w$]*[A-Za-z_$](?:[.\-][\w$]*[A-Za-z_$])*)""", re.A)
 _TERM = re.compile(
-    r"""[ \t]*(?:[rbuf]{1,2}(?=["']))?(?:"(?P<d>(?:[^"\\\n]|\\.)*)"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`\n]*)`|(?P<name>[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)(?![\w+/=\-.@:$])|(?P<word>[^\s"'`,;(){}\[\]<>]+))""",
-    re.A,
+    r"""[ \t]*(?:[\[({]\s*)?(?:[rbuf]{1,2}(?=["']))?(?:\"""(?P<t>(?:[^"\\]|\\.|"(?!""))*)\"""|\'\'\'(?P<u>(?:[^'\\]|\\.|'(?!''))*)\'\'\'|"(?P<d>(?:[^"\\\n]|\\.)*)"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`\n]*)`|(?P<name>[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)(?![\w+/=\-.@:$])|(?P<word>[^\s"'`,;(){}\[\]<>]+))""",
+    re.A | re.S,
 )
 _JOIN = re.compile(r"[ \t]*\+[ \t]*(?=[\"'`A-Za-z_$])|[ \t]+\.\.?[ \t]+(?=[\"'`A-Za-z_$])")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _PLACEHOLDER = re.compile(r"(?:\$[({].*|\{\{.*|%\(.*|<.*|x+|\*+|\.+|null|none|true|false|changeme|example|your.*|todo|placeholder|undefined)$", re.I)
-#: How far a name is looked for to the left of its sign, and blanks to the left of one.
-_LEFT = 120
 
 #: kind ("name" or "literal"), value, start, end
 Term = tuple[str, str, int, int]
@@ -112,42 +111,53 @@ def literal_score(value: str) -> float:
 
 
 def assignments(text: str) -> Iterator[tuple[str, list[Term]]]:
-    """(name, terms) in text order."""
-    for sign in _SIGN.finditer(text):
-        at = sign.start()
-        if at == 0 or text[at - 1] in _NOT_BEFORE:
+    """(name, terms) in text order.
+
+    A name lies between its sign and the sign before the last one (which may belong to a type), on one
+    line. An unquoted value reaches to the end of its run; signs within that run get what lies before the
+    next sign. So every stretch of text is looked at a fixed number of times.
+    """
+    signs = [m.span() for m in _SIGN.finditer(text)]
+    line = run_end = 0
+    for i, (start, end) in enumerate(signs):
+        line = max(line, text.rfind("\n", signs[i - 1][1] if i else 0, start) + 1)
+        if start == 0 or text[start - 1] in _NOT_BEFORE:
             continue
-        left = text[max(0, at - _LEFT) : at]
-        name = _NAME_LEFT.search(left[left.rfind("\n") + 1 :])
+        name = _NAME_LEFT.match(text[max(line, signs[i - 2][1] if i > 1 else 0) : start][::-1])
         if not name:
             continue
+        stop = signs[i + 1][0] if end < run_end and i + 1 < len(signs) else len(text)
         terms: list[Term] = []
-        at = sign.end()
-        while term := _TERM.match(text, at):
+        at = end
+        while term := _TERM.match(text, at, stop):
             kind = term.lastgroup
             terms.append(("name" if kind == "name" else "literal", term[kind], *term.span(kind)))
             at = term.end()
-            join = _JOIN.match(text, at) if kind != "word" else None
+            if kind == "word":
+                run_end = max(run_end, at)
+            join = _JOIN.match(text, at, stop) if kind != "word" else None
             if not join:
                 break
             at = join.end()
         if terms:
-            yield name[1], terms
+            yield name[1][::-1], terms
 
 
 def literals(text: str) -> dict[tuple[int, int], tuple[float, str]]:
     """Span -> (score, name) of every literal that reaches a sensitive name."""
     found: dict[tuple[int, int], tuple[float, str]] = {}
-    constants: dict[str, list[Term]] = {}
+    # A constant is made of each span once, however often it is put into itself.
+    constants: dict[str, dict[Term, None]] = {}
     for name, terms in assignments(text):
-        pieces: list[Term] = []
-        for term in terms:
+        grows = terms[0][0] == "name" and terms[0][1] == name and name in constants
+        pieces: dict[Term, None] = constants[name] if grows else {}
+        for term in terms[grows:]:
             if term[0] == "literal":
-                pieces.append(term)
+                pieces[term] = None
             elif term[1] in constants:
-                pieces.extend(constants[term[1]])
+                pieces.update(constants[term[1]])
             elif any(c.isdigit() for c in term[1]):
-                pieces.append(term)  # an unquoted value of configuration syntax
+                pieces[term] = None  # an unquoted value of configuration syntax
         constants[name] = pieces
         weight = name_score(name)
         score = weight * literal_score("".join(p[1] for p in pieces)) if weight else 0.0
