@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.staging import stage
@@ -298,23 +299,24 @@ def find_contamination(
     to give the same rows in the same order each time, as a stored table does.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
-    found = _contamination(rows, benchmark, item_text, item_id, window, shard_bytes, block_words)
+    found, _ = _contamination(rows, benchmark, item_text, item_id, window, shard_bytes, block_words)
     names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
     return found.select("doc_id", "n_words", _covered(F.col("hits")).alias("n_hit"), names.alias("items"), "matches")
 
 
-def _contamination(docs: DataFrame, benchmark: DataFrame, item_text: str, item_id: str, window: int, shard_bytes: int, block_words: int) -> DataFrame:
-    """(row, doc_id, n_words, hits, matches) of (row, doc_id, text)."""
+def _contamination(docs: DataFrame, benchmark: DataFrame, item_text: str, item_id: str, window: int, shard_bytes: int, block_words: int) -> tuple[DataFrame, list[Broadcast]]:
+    """(row, doc_id, n_words, hits, matches) of (row, doc_id, text), and what was sent to the tasks for it."""
     spark = docs.sparkSession
     rows = docs.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
     tests = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     total = tests.agg(F.sum(F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")))).first()[0] or 0
     n_blocks = max(1, -(-int(total) // block_words))
-    passes = []
+    passes, sent = [], []
     for block in range(n_blocks):
         part = tests.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n_blocks)) == block)
         index = TestIndex.build([(r[0], r[1]) for r in part.toLocalIterator()], window)
-        passes.append(_scan(rows, spark.sparkContext.broadcast(index), window, shard_bytes))
+        sent.append(spark.sparkContext.broadcast(index))
+        passes.append(_scan(rows, sent[-1], window, shard_bytes))
     found = passes[0]
     if len(passes) > 1:
         for more in passes[1:]:
@@ -322,7 +324,7 @@ def _contamination(docs: DataFrame, benchmark: DataFrame, item_text: str, item_i
         found = found.groupBy("row", "doc_id").agg(
             F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("matches")).alias("matches")
         )
-    return found
+    return found, sent
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -332,7 +334,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     key = unused(docs, "_row")
     numbered = docs.withColumn(key, F.monotonically_increasing_id())
     rows = numbered.select(F.col(key).alias("row"), F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
-    found = _contamination(rows, benchmark, "text", "item_id", WINDOW_WORDS, SHARD_BYTES, BLOCK_WORDS)
+    found, sent = _contamination(rows, benchmark, "text", "item_id", WINDOW_WORDS, SHARD_BYTES, BLOCK_WORDS)
     # Stored first, so that Spark knows its size and moves the documents only if it is large.
     hit = stage(found.filter(F.size("hits") > 0).select(F.col("row").alias(key)).distinct(), "hit-rows")
+    for index in sent:
+        index.destroy()
     return numbered.join(hit, key, "left_anti").drop(key)

@@ -9,13 +9,16 @@ A shard reports a star per component, never its pairs; stars are joined to compo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.staging import stage
+from .batches import slices
 from .columns import unused
 
 SHINGLE_WORDS = 3
@@ -327,11 +330,17 @@ def slots_of(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    """A list column that shares one flat array."""
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
+
 def _marks(texts: DataFrame, shingle: int) -> DataFrame:
     """(row, fp, size, slots) of (row, text), in one pass over the texts; size is that of the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             marks, sizes, slots = [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_hashes(text, shingle)
@@ -340,7 +349,7 @@ def _marks(texts: DataFrame, shingle: int) -> DataFrame:
                 sizes.append(len(distinct))
                 slots.append(slots_of(distinct).view(np.int64))
             fp = pa.array(np.array(marks, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), fp, pa.array(sizes, pa.int64()), pa.array(slots, pa.list_(pa.int64()))], names=["row", "fp", "size", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), fp, pa.array(sizes, pa.int64()), _lists(slots)], names=["row", "fp", "size", "slots"])
 
     return texts.mapInArrow(run, "row bigint, fp bigint, size bigint, slots array<bigint>")
 
@@ -349,9 +358,9 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     """(row, shingles) of (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             made = [shingle_set(t, shingle).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, pa.list_(pa.int64()))], names=["row", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), _lists(made)], names=["row", "shingles"])
 
     return texts.mapInArrow(run, "row bigint, shingles array<bigint>")
 
@@ -403,7 +412,7 @@ def _seen(texts: DataFrame, shingle: int, bits: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(1 << bits, np.int64)
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             for text in batch.column("text").to_pylist():
                 np.add.at(count, (shingle_set(text, shingle) >> np.uint64(64 - bits)).astype(np.int64), 1)
         some = np.flatnonzero(count)
@@ -415,18 +424,17 @@ def _seen(texts: DataFrame, shingle: int, bits: int) -> np.ndarray:
     return out
 
 
-def _prefixes(texts: DataFrame, similarity: float, shingle: int, bits: int) -> DataFrame:
+def _prefixes(texts: DataFrame, similarity: float, shingle: int, bits: int, seen: Broadcast) -> DataFrame:
     """(row, size, shingle, inner): the rarest shingles of every set, rarest as far as buckets tell.
 
     Any order common to all sets will do. Of two sets at ``similarity`` the larger one has, among its first
     size - similarity * size + 1 shingles, one of the smaller one's first size - 2 * similarity /
     (1 + similarity) * size + 1, which are ``inner``. So a passage that many share is met only where it
-    makes the texts that share it copies, or nearly.
+    makes the texts that share it copies, or nearly. ``seen`` has the counts of all buckets.
     """
-    seen = texts.sparkSession.sparkContext.broadcast(_seen(texts, shingle, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             rows, sizes, found, inner = [], [], [], []
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
                 own = shingle_set(text, shingle)
@@ -453,9 +461,11 @@ def prefix_pairs(texts: DataFrame, labels: DataFrame, similarity: float, shingle
 
     ``labels`` has (node, label) of the rows already grouped, ``total`` is the number of shingles.
     """
-    bits = int(np.clip(np.ceil(np.log2(max(1, total) / 256)), 12, 24))
-    first = _prefixes(texts, similarity, shingle, bits).join(labels.withColumnRenamed("node", "row"), "row", "left")
+    bits = int(np.clip(np.ceil(np.log2(max(1, total) / 256)), 12, 20))
+    seen = texts.sparkSession.sparkContext.broadcast(_seen(texts, shingle, bits))
+    first = _prefixes(texts, similarity, shingle, bits, seen).join(labels.withColumnRenamed("node", "row"), "row", "left")
     first = stage(first.withColumn("label", F.coalesce("label", "row")), "near-prefixes")
+    seen.destroy()
     # A shingle met in one group only says nothing new, however large the group.
     open_ = first.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("inner").alias("any")).filter("low <> high and any")
     left = stage(first.join(stage(open_.select("shingle"), "near-open"), "shingle", "left_semi"), "near-left")
