@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..sources.staging import shared_dir
+from ..sources.staging import shared_dir, stage
 from .joins import shuffle_width
 
 #: Bins of a number beside the one for missing; categories that keep a bin of their own, by frequency.
@@ -351,7 +351,8 @@ def train(rows: DataFrame, target: str, numbers: Sequence[str], categories: Sequ
     quantile ``levels`` are given. Rows without a target fail the job."""
     spark = rows.sparkSession
     bad = F.when(F.col(target).isNull(), F.raise_error(F.lit("a training row has no target")).cast("double"))
-    checked = rows.withColumn(target, bad.otherwise(F.col(target).cast("double")))
+    checked = rows.select("part", bad.otherwise(F.col(target).cast("double")).alias(target), *numbers, *categories)
+    checked = stage(checked, "boosting-rows")  # read by the coder, the sums and the packing
     coder = fit_coder(checked, numbers, categories)
     stats = {r["part"]: r for r in checked.groupBy("part").agg(F.count("*").alias("n"), F.avg(target).alias("mean"), F.min(target).alias("low"), F.max(target).alias("high")).collect()}
     if not stats:

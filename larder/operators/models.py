@@ -20,7 +20,6 @@ from pyspark.ml.regression import GeneralizedLinearRegression, RandomForestRegre
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.storagelevel import StorageLevel
 
-from ..sources.staging import stage
 from . import KEY, SERIES, boosting
 from .joins import salted_join, shuffle_width
 from .quantiles import CELL, STANDARD_LEVELS, noncrossing
@@ -94,8 +93,7 @@ def boosted_inputs(features: DataFrame, part: Column) -> DataFrame:
 
 
 def fit_boosted(rows: DataFrame, levels: tuple[float, ...] | None = None, settings: boosting.Settings = boosting.Settings()) -> boosting.Boosted:
-    """All parts of ``boosted_inputs`` trained side by side: for counts, or for the quantile ``levels``.
-    The rows should be staged."""
+    """All parts of ``boosted_inputs`` trained side by side: for counts, or for the quantile ``levels``."""
     return boosting.train(rows.where("role = 'train'"), "demand", BOOSTED_NUMBERS, BOOSTED_CATEGORIES, levels, settings)
 
 
@@ -103,7 +101,7 @@ def boosted_point(
     features: DataFrame, name: str = "gbm", settings: boosting.Settings = boosting.Settings(), part: Column | None = None, keep: tuple[str, ...] = tuple(CELL)
 ) -> DataFrame:
     """Count forecasts of the test rows, every fold by the model of its own training rows."""
-    rows = stage(boosted_inputs(features, F.col("fold") if part is None else part), "boosted-rows")
+    rows = boosted_inputs(features, F.col("fold") if part is None else part)
     done = fit_boosted(rows, None, settings).predict(rows.where("role = 'test'"), keep)
     return done.select(*keep, F.get("forecasts", F.lit(0)).alias("forecast"), F.lit(name).alias("model"))
 
@@ -116,7 +114,7 @@ def level_rows(forecasts: DataFrame, levels: tuple[float, ...], cell: list[str])
 
 def boosted_quantiles(features: DataFrame, levels: tuple[float, ...] = STANDARD_LEVELS, settings: boosting.Settings = boosting.Settings()) -> DataFrame:
     """Quantile forecasts of the test rows: one model per fold and level, all trained in one pass."""
-    rows = stage(boosted_inputs(features, F.col("fold")), "boosted-rows")
+    rows = boosted_inputs(features, F.col("fold"))
     return level_rows(fit_boosted(rows, levels, settings).predict(rows.where("role = 'test'"), CELL), levels, CELL)
 
 

@@ -54,7 +54,7 @@ def quantile_gbm(v: Views) -> DataFrame:
 
 @query("feature_importance")
 def feature_importance(v: Views) -> DataFrame:
-    rows = stage(ops.boosted_inputs(staged_features(v), F.col("fold")), "boosted-rows")
+    rows = ops.boosted_inputs(staged_features(v), F.col("fold"))
     return ops.feature_importance(ops.fit_boosted(rows, settings=settings(v)), v.spark)
 
 
