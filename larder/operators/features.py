@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.calendar import calendar_columns
 from . import KEY, SERIES
+from .asof import asof_join
 from .folds import with_folds
 
 # The feature columns, in the order models read them.
@@ -29,9 +30,15 @@ FEATURES = [
 def era_asof(rows: DataFrame, eras: DataFrame) -> DataFrame:
     """Last menu reprint on or before the day; days before the first belong to the first.
 
-    Eras are a handful of configured rows. A scalar subquery turns them into one sorted array, which
-    every row searches without a join.
+    Configured eras of all tenants are a handful of rows. A scalar subquery turns them into one sorted
+    array, which every row searches without a join. Eras with a ``restaurant_id`` are a table of any
+    size; they are joined as of the day, and rows of a tenant without eras get nulls.
     """
+    if "restaurant_id" in eras.columns:
+        starts = eras.select("restaurant_id", F.col("start_date").alias("_start"), "era_id")
+        found = asof_join(rows, starts, ["restaurant_id"], "business_date", "_start", unit="year", before_first=True)
+        elapsed = F.greatest(F.lit(0), F.datediff("business_date", "_start"))
+        return found.withColumn("era_days_elapsed", F.when(F.col("_start").isNotNull(), elapsed)).drop("_start")
     era = F.struct(F.col("start_date").alias("s"), F.col("era_id").alias("e"))
     joined = rows.withColumn("_eras", eras.agg(F.array_sort(F.collect_list(era))).scalar())
     started = F.filter("_eras", lambda era: era["s"] <= F.col("business_date"))

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .asof import asof_join
+
 INGREDIENT = ["restaurant_id", "ingredient_id"]
 # Days a price must be older to count as prior, move worth reporting, days kept.
 LOOKBACK_DAYS = 7
@@ -68,6 +70,16 @@ def pair_of_days(days: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataFra
     )
 
 
+def price_on(rows: DataFrame, prices: DataFrame, at: str) -> DataFrame:
+    """Every row with its ingredient's price on the day ``at``: the last one observed by then.
+
+    Rows before the first observation, or without a day, get nulls. Adds ``unit_price`` and
+    ``observed_date``.
+    """
+    days = daily_price(prices).drop("ingredient_name")
+    return asof_join(rows, days, INGREDIENT, at, "observed_date")
+
+
 def price_trend(prices: DataFrame, as_of: str | None = None, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     return trend_of_pairs(price_asof(prices, as_of, lookback_days))
 

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.calendar import calendar_columns, flag, to_business_date
 from ..functions.money import chef_round, critical_ratio, dollar_loss
-from ..operators import KEY, SERIES, baselines, demand as ops, exogenous, features, folds as fold_ops, quality, scoring
+from ..operators import KEY, SERIES, baselines, demand as ops, exogenous, features, folds as fold_ops, pricing, quality, scoring
 from ..operators.quantiles import route_batch
 from ..operators.unconstrain import expanding_stats, unconstrain
 from ..plans import floors
@@ -656,18 +656,17 @@ def unconstrain_gap(v: Views) -> DataFrame:
 # ---- ingredient use
 
 
-@query(
-    "ingredient_depletion",
-    f"""SELECT restaurant_id, ingredient_id, order_day, «sum(portions * qty_per_portion)» AS depleted_qty FROM (
+DEPLETION = f"""SELECT restaurant_id, ingredient_id, order_day, :total AS depleted_qty FROM (
           SELECT restaurant_id, item_id, demand AS portions,
             CASE WHEN isodow(business_date) IN (1, 4) THEN business_date
                  WHEN isodow(business_date) < 4 THEN CAST(business_date + CAST(4 - isodow(business_date) AS INTEGER) AS DATE)
                  ELSE CAST(business_date + CAST(8 - isodow(business_date) AS INTEGER) AS DATE) END AS order_day
           FROM clean_demand) d JOIN (
           SELECT lower(p_type) AS item_id, {norm("p_brand")} AS ingredient_id, min(p_size) / 10.0::DOUBLE AS qty_per_portion
-          FROM part GROUP BY 1, 2) r USING (item_id) GROUP BY ALL""",
-)
-def ingredient_depletion(v: Views) -> DataFrame:
+          FROM part GROUP BY 1, 2) r USING (item_id) GROUP BY ALL"""
+
+
+def depletion(v: Views) -> DataFrame:
     from ..functions.text import normalize_name
 
     recipes = v.table("part").groupBy(
@@ -675,3 +674,44 @@ def ingredient_depletion(v: Views) -> DataFrame:
     ).agg((F.min("p_size") / 10.0).alias("qty_per_portion"))
     tenants = F.explode(F.array(F.lit("r0"), F.lit("r1"))).alias("restaurant_id")
     return exogenous.ingredient_depletion(clean(v), recipes.select(tenants, "*"))
+
+
+@query("ingredient_depletion", DEPLETION.replace(":total", "«sum(portions * qty_per_portion)»"))
+def ingredient_depletion(v: Views) -> DataFrame:
+    return depletion(v)
+
+
+@query(
+    "depletion_cost",
+    f"""SELECT d.restaurant_id, d.ingredient_id, d.order_day, p.observed_date, «p.unit_price» AS unit_price,
+          «d.depleted_qty» AS depleted_qty, «d.depleted_qty * p.unit_price» AS cost
+        FROM ({DEPLETION.replace(":total", "sum(portions * qty_per_portion)")}) d ASOF LEFT JOIN (
+          SELECT restaurant_id, ingredient_id, observed_date, unit_price FROM price_observations
+          QUALIFY row_number() OVER (PARTITION BY restaurant_id, ingredient_id, observed_date ORDER BY seq DESC, unit_price DESC) = 1) p
+        ON d.restaurant_id = p.restaurant_id AND d.ingredient_id = p.ingredient_id AND d.order_day >= p.observed_date""",
+)
+def depletion_cost(v: Views) -> DataFrame:
+    """What each order of an ingredient cost at the price known on the order day."""
+    used = stage(depletion(v), "depletion")
+    priced = pricing.price_on(used, v.price_observations, "order_day")
+    return priced.withColumn("cost", F.col("depleted_qty") * F.col("unit_price"))
+
+
+@query(
+    "tenant_era_asof",
+    """WITH own AS (SELECT restaurant_id, CAST(start_date + CASE restaurant_id WHEN 'r0' THEN 0 ELSE 45 END AS DATE) AS start_date, era_id
+         FROM menu_eras, (SELECT unnest(['r0', 'r1']) AS restaurant_id) b),
+       days AS (SELECT restaurant_id, business_date, count(*) AS n_lines FROM pos_sales GROUP BY 1, 2),
+       first AS (SELECT restaurant_id, min(start_date) AS start_date, arg_min(era_id, start_date) AS era_id FROM own GROUP BY 1)
+       SELECT d.restaurant_id, d.business_date, d.n_lines, coalesce(o.era_id, f.era_id) AS era_id,
+         CAST(greatest(0, d.business_date - coalesce(o.start_date, f.start_date)) AS INTEGER) AS era_days_elapsed
+       FROM days d ASOF LEFT JOIN own o ON d.restaurant_id = o.restaurant_id AND d.business_date >= o.start_date
+       JOIN first f ON f.restaurant_id = d.restaurant_id""",
+)
+def tenant_era_asof(v: Views) -> DataFrame:
+    """Lines a day under each tenant's own menu reprints; r1 reprints 45 days later."""
+    late = F.when(F.col("restaurant_id") == "r0", 0).otherwise(45)
+    tenants = F.explode(F.array(F.lit("r0"), F.lit("r1"))).alias("restaurant_id")
+    own = v.menu_eras.select(tenants, "start_date", "era_id").withColumn("start_date", F.date_add("start_date", late))
+    days = v.pos_sales.groupBy("restaurant_id", "business_date").agg(F.count("*").alias("n_lines"))
+    return features.era_asof(stage(days, "days"), own)
