@@ -61,6 +61,24 @@ def append_prices_dedup(v: Views) -> DataFrame:
     return writers.append_prices_dedup(v.price_observations, again)
 
 
+@query(
+    "append_prices_monthly",
+    """SELECT restaurant_id, CASE WHEN observed_date IS NULL THEN 'none' ELSE strftime(observed_date, '%Y-%m') END AS month,
+         count(*) AS n_rows, max(seq) AS last_seq, «sum(unit_price)» AS total FROM (
+           SELECT restaurant_id, max(seq) AS seq, unit_price, observed_date FROM price_observations
+           GROUP BY restaurant_id, ingredient_id, price_observations.unit_price, source_invoice, observed_date) h
+       GROUP BY ALL""",
+)
+def append_prices_monthly(v: Views) -> DataFrame:
+    """All invoices but those of the latest year, then the rest, then every second row of it again."""
+    root = stage_path(v.spark, "prices")
+    late = F.col("observed_date") >= "2001-01-01"
+    for part in (~late, late, late & (F.col("seq") % 2 == 0)):
+        writers.append_prices(v.price_observations.where(part), root)
+    months = writers.read_price_history(v.spark, root).groupBy("restaurant_id", "month")
+    return months.agg(F.count("*").alias("n_rows"), F.max("seq").alias("last_seq"), F.sum("unit_price").alias("total"))
+
+
 @query("export_leg_csv", f"SELECT {BOM_COLUMNS} FROM bom")
 def export_leg_csv(v: Views) -> DataFrame:
     from ..sources import schemas
