@@ -72,6 +72,17 @@ def read_86_log(v: Views) -> DataFrame:
     return readers.read_86_log(v.spark, path).unionByName(absent)
 
 
+@query("read_mixed_headers", f"SELECT {POS_COLUMNS} FROM pos_sales")
+def read_mixed_headers(v: Views) -> DataFrame:
+    """Exports of two tills whose columns stand in different orders, one with a column more."""
+    path = stage_path(v.spark, "pos-mixed")
+    first = F.col("server_id") < "S005"
+    v.pos_sales.where(first).write.option("header", True).option("escape", '"').csv(f"{path}/till=1")
+    turned = v.pos_sales.where(~first).select(F.lit("x").alias("till_note"), *reversed(v.pos_sales.columns))
+    turned.write.option("header", True).option("escape", '"').csv(f"{path}/till=2")
+    return readers.read_pos_sales(v.spark, path, mixed=True)
+
+
 @query(
     "read_truth",
     f"""SELECT {KEYS}, true_demand, FALSE AS stockout FROM truth_demand

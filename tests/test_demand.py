@@ -229,6 +229,25 @@ def test_csv_columns_are_found_by_name(spark, tmp_path):
         readers.read_86_log(spark, str(path))
 
 
+def test_every_file_has_its_own_header(spark, tmp_path):
+    folder = tmp_path / "a folder 100%"
+    folder.mkdir()
+    (folder / "one.csv").write_text("restaurant_id,business_date,item_name,time_86d\nr0,2024-01-01,Soup,19:30\nr0,2024-01-01,Stew,12:00\n")
+    (folder / "two.csv").write_text("\ntime_86d,note,item_name,business_date,restaurant_id\n20:15,x,Soup,2024-01-02,r1\n")
+    (folder / "three é.csv").write_text("restaurant_id,business_date,item_name,time_86d\nr2,2024-01-03,Pie,\n")
+    (folder / "empty.csv").write_text("")
+    got = readers.read_86_log(spark, str(folder), mixed=True).collect()
+    assert sorted((r.restaurant_id, r.item_name, r.time_86d) for r in got) == [
+        ("r0", "Soup", "19:30"), ("r0", "Stew", "12:00"), ("r1", "Soup", "20:15"), ("r2", "Pie", None),
+    ]
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_86_log(spark, str(folder)).collect()
+    assert readers.read_86_log(spark, str(tmp_path / "none"), mixed=True).count() == 0
+    (folder / "four.csv").write_text("restaurant_id,business_date,item_name\nr0,2024-01-01,Soup\n")
+    with pytest.raises(ValueError, match="time_86d"):
+        readers.read_86_log(spark, str(folder), mixed=True)
+
+
 def test_grid_of_one_large_tenant(spark):
     days = [(("r0" if d % 20 else "r1"), DAY + dt.timedelta(d), "a", "lunch", d % 5) for d in range(400)]
     daily = spark.createDataFrame(days, "restaurant_id string, business_date date, item_id string, service_period string, qty int")
