@@ -26,6 +26,8 @@ MAX_BITS = 2
 SEED = 42
 #: Fingerprints the tree is built on; all are then dealt by it.
 SAMPLE = 1 << 18
+#: Hash values that the draw tells apart.
+_DRAW = 1 << 40
 #: Fingerprints of a shard that the tree aims at.
 SHARD = 4096
 #: Fingerprints that are compared all with all.
@@ -280,14 +282,17 @@ def near_duplicates(
     take part; a component of such rows only has a null id. Repeated rows are members like any other. No
     rows give no rows. Other columns are not read.
 
-    The tree is built on the ``sample`` fingerprints with the smallest hashes; all are dealt by it.
+    The tree is built on about ``sample`` fingerprints, those with the smallest hashes; all are dealt by it.
     """
     return linked(stage(fingerprints(docs, text, id_column, shingle, seed), "near-members"), max_bits, shard, sample)
 
 
 def _tree_of(points: DataFrame, max_bits: int, shard: int, sample: int) -> Node:
+    """The tree over distinct fingerprints. Each is drawn by its own hash, so no task sorts or gathers them all."""
     total = points.count()
-    drawn = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64)
+    share = min(1.0, sample / max(1, total))
+    chosen = F.pmod(F.xxhash64("fp"), F.lit(_DRAW)) < F.lit(int(share * _DRAW))
+    drawn = np.sort(points.where(chosen).select("fp").toArrow().column("fp").to_numpy())
     return build_tree(drawn.view(np.uint64), max(0, int(np.ceil(np.log2(max(1, total) / shard)))), max_bits)[0]
 
 

@@ -236,6 +236,12 @@ def similarity(a, b):
     return len(x & y) / len(x | y)
 
 
+def test_a_tree_on_few_fingerprints_gives_the_same_components(spark, documents):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole, few = simhash.near_duplicates(docs), simhash.near_duplicates(docs, shard=16, sample=64)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, few.collect()))
+
+
 def test_members_of_a_component_are_searched(spark):
     for seed in range(50):
         pick = random.Random(seed)
