@@ -14,6 +14,7 @@ SHAPED = [
     "clean_demand", "observed_demand", "unconstrain", "feature_frame", "day_ahead_features", "baseline_lag7", "baseline_croston",
     "fold_scores", "newsvendor_policy", "coverage", "latest_price", "price_trend", "retention", "covers_by_dish", "menu_grid",
     "dish_detail", "opportunities", "data_summary", "validate_sales", "append_prices_dedup", "ingredient_depletion",
+    "tenant_era_asof", "depletion_cost",
 ]
 
 
