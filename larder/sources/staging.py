@@ -3,9 +3,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.joins import shuffle_width
+
 
 _private: dict[str, str] = {}
 
@@ -40,6 +43,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by_key(df: DataFrame, name: str, keys: Sequence[str], aligned: bool = False) -> DataFrame:
+    """The same, hashed into one file per shuffle partition by ``keys``.
+
+    Aggregates and windows over the keys, or over more columns besides them, then read the table without
+    an exchange. ``aligned`` says that ``df`` is already partitioned by exactly these keys and this
+    width, so it is written as it stands. The catalog entry that carries the layout is dropped at once: the
+    returned DataFrame keeps what it resolved, and nothing is left in a shared catalog.
+    """
+    spark = df.sparkSession
+    width = shuffle_width(df)
+    path = stage_path(spark, name)
+    table = f"larder_staged_{uuid.uuid4().hex}"
+    rows = df if aligned else df.repartition(width, *keys)
+    rows.write.bucketBy(width, *keys).option("path", path).saveAsTable(table, format="parquet")
+    staged = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return staged
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a staged table that nothing will read any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,15 +107,15 @@ def test_naive_forecasts_see_training_days_only(spark):
         assert r.chef_gut == round(r.rolling28 / 5) * 5
 
 
-def croston(demands, alpha=0.1):
+def croston(demands, alpha=0.1, textbook=False):
     hits = [i for i, d in enumerate(demands) if d > 0]
     if not hits:
         return 0.0
     gaps = [g for g in (b - a for a, b in zip([0] + hits, hits)) if g > 0]
     z, p = float(demands[hits[0]]), 1.0
-    for i in hits:
+    for n, i in enumerate(hits):
         z = alpha * demands[i] + (1 - alpha) * z
-        p = alpha * (gaps[min(i, len(gaps) - 1)] if gaps else 1.0) + (1 - alpha) * p
+        p = alpha * (gaps[min(n if textbook else i, len(gaps) - 1)] if gaps else 1.0) + (1 - alpha) * p
     return z / max(p, 1.0)
 
 
@@ -126,6 +127,22 @@ def test_croston(spark, pattern):
     assert got == pytest.approx({f: croston(values[: 84 + 28 * f]) for f in range(4)})
 
 
+@pytest.mark.parametrize("textbook", [False, True])
+def test_croston_over_many_slices_folds_and_starts(spark, textbook):
+    """700 days are up to eleven slices; ends fall on, before and behind a slice's last occurrence."""
+    rng = random.Random(3)
+    chances = [0, 0.02, 0.2, 0.5, 0.9, 1]
+    sold = {f"i{n}": [rng.randint(1, 9) * (rng.random() < chance) for _ in range(700)] for n, chance in enumerate(chances)}
+    spans = [(0, 0), (0, 63), (0, 64), (0, 65), (0, 500), (0, 699), (37, 300), (37, 699)]
+    at = lambda day: DAY + dt.timedelta(day)
+    rows = [("r0", item, "dinner", at(day), units) for item, values in sold.items() for day, units in enumerate(values)]
+    demand = spark.createDataFrame(rows, "restaurant_id string, item_id string, service_period string, business_date date, demand bigint")
+    folds = spark.createDataFrame([("r0", f, at(a), at(b)) for f, (a, b) in enumerate(spans)], "restaurant_id string, fold int, train_start date, train_end date")
+    got = {(r.item_id, r.fold): r.forecast for r in croston_rates(demand, folds, textbook=textbook).collect()}
+    want = {(item, f): croston(values[a : b + 1], textbook=textbook) for item, values in sold.items() for f, (a, b) in enumerate(spans)}
+    assert got == pytest.approx(want)
+
+
 def test_lags_use_calendar_days_and_the_strict_past(spark):
     demand = series(spark, [10] * 30 + [99])
     last = history_columns(demand).orderBy(F.desc("business_date")).first()
