@@ -51,47 +51,85 @@ def interpolated(sorted_values: Column, q: Column) -> Column:
     return a + (b - a) * (place - low)
 
 
-def weekday_samples(demand: DataFrame, folds: DataFrame, min_history: int = 8) -> DataFrame:
-    """Sorted training demand per fold, series and weekday.
+#: Keys of one distribution: what all cells of a series, fold and weekday share.
+WEEK = [*SERIES, "fold", "day_of_week"]
 
-    A weekday with fewer than ``min_history`` days borrows the whole series. Arrays hold at most
-    one value per calendar day.
+
+def weekday_samples(demand: DataFrame, folds: DataFrame) -> DataFrame:
+    """Per fold and series, ``whole``: its sorted training demand, and ``fine``: the same per weekday.
+
+    One aggregate; both hold at most one value per calendar day. Demand staged by series is not shuffled.
     """
-    y = F.sort_array(F.collect_list(F.col("demand").cast("double")))
-    rows = train_rows(demand, folds).withColumn("day_of_week", F.weekday("business_date"))
-    fine = rows.groupBy(*SERIES, "fold", "day_of_week").agg(y.alias("fine"))
-    coarse = fine.groupBy(*SERIES, "fold").agg(F.sort_array(F.flatten(F.collect_list("fine"))).alias("coarse"))
-    week = coarse.withColumn("day_of_week", F.explode(F.sequence(F.lit(0), F.lit(6))))
-    both = week.join(fine, [*SERIES, "fold", "day_of_week"], "left")
-    enough = F.coalesce(F.size("fine"), F.lit(0)) >= min_history
-    return both.select(
-        *SERIES, "fold", "day_of_week", F.when(enough, F.col("fine")).otherwise(F.col("coarse")).alias("sample")
+    y = F.struct(F.col("demand").cast("double").alias("y"), F.weekday("business_date").alias("day_of_week"))
+    rows = train_rows(demand, folds).groupBy(*SERIES, "fold").agg(F.sort_array(F.collect_list(y)).alias("days"))
+    values = lambda days: F.transform(days, lambda d: d["y"])
+    fine = F.transform(
+        F.sequence(F.lit(0), F.lit(6)), lambda n: values(F.filter("days", lambda d: d["day_of_week"] == n))
+    )
+    return rows.select(*SERIES, "fold", values(F.col("days")).alias("whole"), fine.alias("fine"))
+
+
+def _per_weekday(samples: DataFrame, read, name: str, min_history: int) -> DataFrame:
+    """``read(sample)`` for every weekday; one with fewer than ``min_history`` days borrows the whole series."""
+    whole = samples.withColumn("_whole", read(F.col("whole")))
+    days = F.transform(
+        "fine",
+        lambda sample, n: F.struct(
+            n.alias("day_of_week"), F.when(F.size(sample) >= min_history, read(sample)).otherwise(F.col("_whole")).alias(name)
+        ),
     )
+    return whole.select(*SERIES, "fold", F.inline(days))
 
 
-def _targets_with_sample(samples: DataFrame, targets: DataFrame) -> DataFrame:
-    keyed = targets.withColumn("day_of_week", F.weekday("business_date"))
-    return keyed.join(samples, [*SERIES, "fold", "day_of_week"])
+def at_targets(weekly: DataFrame, targets: DataFrame) -> DataFrame:
+    """What is known per WEEK, at every target of that series, fold and weekday."""
+    return targets.withColumn("day_of_week", F.weekday("business_date")).join(weekly, WEEK)
 
 
-def empirical_quantiles(samples: DataFrame, targets: DataFrame, levels: DataFrame) -> DataFrame:
-    """Forecast table from the empirical distribution of each series and weekday."""
+def weekday_quantiles(samples: DataFrame, levels: DataFrame, min_history: int = 8) -> DataFrame:
+    """Per WEEK the array ``pairs`` of (quantile, forecast) at the tenant's levels.
+
+    Levels meet a series once, before its weekdays are unfolded, so no sample is copied.
+    """
     per_tenant = checked_levels(levels).groupBy("restaurant_id").agg(F.sort_array(F.collect_list("quantile")).alias("qs"))
-    curves = salted_join(samples, per_tenant, ["restaurant_id"], SERIES).withColumn("quantile", F.explode("qs"))
-    curves = curves.select(
-        *SERIES,
-        "fold",
-        "day_of_week",
-        "quantile",
-        F.greatest(interpolated(F.col("sample"), F.col("quantile")), F.lit(0.0)).alias("forecast"),
-    )
-    return _targets_with_sample(curves, targets).select(*CELL, "quantile", "forecast")
 
+    def read(sample: Column) -> Column:
+        return F.transform(
+            "qs",
+            lambda q: F.struct(q.alias("quantile"), F.greatest(interpolated(sample, q), F.lit(0.0)).alias("forecast")),
+        )
+
+    return _per_weekday(salted_join(samples, per_tenant, ["restaurant_id"], SERIES), read, "pairs", min_history)
+
+
+def long_quantiles(curves: DataFrame, cell: list[str] = CELL) -> DataFrame:
+    """One row per level of ``pairs``."""
+    return curves.select(*cell, F.inline("pairs"))
 
-def empirical_mean(samples: DataFrame, targets: DataFrame) -> DataFrame:
-    """Point forecast from the same distributions: the mean of each sample."""
-    mean = F.aggregate("sample", F.lit(0.0), lambda total, y: total + y) / F.size("sample")
-    return _targets_with_sample(samples, targets).select(*CELL, F.greatest(mean, F.lit(0.0)).alias("forecast"))
+
+def empirical_quantiles(samples: DataFrame, targets: DataFrame, levels: DataFrame) -> DataFrame:
+    """Forecast table from the empirical distribution of each series and weekday.
+
+    Curves travel as one row each and are unfolded at their targets.
+    """
+    return long_quantiles(at_targets(weekday_quantiles(samples, levels), targets))
+
+
+def weekday_means(samples: DataFrame, min_history: int = 8) -> DataFrame:
+    """Point forecast from the same distributions, per WEEK: the mean of each sample."""
+
+    def mean(sample: Column) -> Column:
+        return F.greatest(F.aggregate(sample, F.lit(0.0), lambda total, y: total + y) / F.size(sample), F.lit(0.0))
+
+    return _per_weekday(samples, mean, "forecast", min_history)
+
+
+def empirical_policy(samples: DataFrame, targets: DataFrame, economics: DataFrame) -> DataFrame:
+    """Prep quantities of the empirical distributions: decided once per WEEK, not once per target."""
+    weekly = long_quantiles(weekday_quantiles(samples, required_levels(economics)), WEEK)
+    return at_targets(newsvendor_policy(weekly, economics, WEEK), targets).select(
+        *CELL, "critical_ratio", "prep_quantity", "expected_waste", "expected_stockout"
+    )
 
 
 def noncrossing(quantiles: DataFrame, cell: list[str] = CELL) -> DataFrame:

@@ -14,9 +14,8 @@ from ..operators.joins import salted_join
 from ..operators.models import boosted_inputs, fit_boosted, level_rows
 from ..operators.quantiles import CELL, empirical_quantiles, required_levels, weekday_samples
 from ..operators.scoring import coverage, pit, pit_summary, underage_per_item
-from ..operators.unconstrain import unconstrain
 from ..sources.staging import stage
-from .floors import CURVE_LEVELS, Backtest, end_anchored
+from .floors import CURVE_LEVELS, Backtest, end_anchored, recovered
 
 
 @dataclass
@@ -29,7 +28,7 @@ class Calibration:
 
 def calibration_inputs(clean: DataFrame, economics: DataFrame, **windows) -> Calibration:
     """Quantile forecasts of all end-anchored folds on recovered demand."""
-    run = end_anchored(stage(unconstrain(clean).select(*KEY, "demand"), "unconstrained"), **windows)
+    run = end_anchored(recovered(clean), **windows)
     samples = weekday_samples(run.demand, run.folds)
     quantiles = empirical_quantiles(samples, run.targets, required_levels(economics))
     return Calibration(run, quantiles)
@@ -43,7 +42,7 @@ def trained_inputs(
     The last fold is trained once more on its earlier days; its later days give the scores that move the
     two ends of the interval. Folds and this extra part, at all levels, are one training.
     """
-    run = end_anchored(stage(unconstrain(clean).select(*KEY, "demand"), "unconstrained"), n_folds=n_folds)
+    run = end_anchored(recovered(clean), n_folds=n_folds)
     features = stage(feature_frame(run.demand, run.folds, eras), "features")
     latest = run.folds.groupBy("restaurant_id").agg(F.max("fold").alias("fold"))
     last = salted_join(features, latest, ["restaurant_id", "fold"], ["business_date"])

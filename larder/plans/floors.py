@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.money import dollar_loss
-from ..operators import KEY
+from ..operators import KEY, SERIES
 from ..operators.baselines import baseline_croston, long_forecasts, naive_forecasts
 from ..operators.features import day_ahead_features, feature_frame, lag_fill_rate
 from ..operators.folds import assert_no_leakage, forecast_frame, tail_folds, test_rows, walk_forward_folds
@@ -19,16 +19,19 @@ from ..operators.boosting import Settings
 from ..operators.models import POINT_MODELS, boosted_point, boosted_quantiles, encode, point_gbm, predict_point, series_levels
 from ..operators.quantiles import (
     CELL,
-    empirical_mean,
-    empirical_quantiles,
+    WEEK,
+    at_targets,
+    long_quantiles,
     newsvendor_policy,
     required_levels,
     route_batch,
+    weekday_means,
+    weekday_quantiles,
     weekday_samples,
 )
 from ..operators.scoring import fold_scores, oracle_actual, score_join, touching_folds
 from ..operators.unconstrain import unconstrain
-from ..sources.staging import stage
+from ..sources.staging import stage, stage_by_key
 
 BASELINES = ["lag7", "rolling28", "chef_gut"]
 
@@ -68,7 +71,7 @@ def backtest(
     demand: DataFrame, economics: DataFrame, models: Sequence[str] = tuple(BASELINES), **windows
 ) -> DataFrame:
     """Fold scores of the baselines, all folds and models in one plan."""
-    run = walk_forward(stage(demand, "demand"), **windows)
+    run = walk_forward(stage_by_key(demand, "demand", SERIES), **windows)
     return fold_scores(score_join(run.actuals, baseline_forecasts(run, models), economics, list(models)))
 
 
@@ -76,7 +79,7 @@ def point_floor(
     demand: DataFrame, economics: DataFrame, eras: DataFrame, kind: str = "gbm", n_folds: int = 4, settings: Settings = Settings()
 ) -> DataFrame:
     """The global point model against the baselines, on clean demand."""
-    run = walk_forward(stage(demand.select(*KEY, "demand"), "demand"), n_folds=n_folds)
+    run = walk_forward(stage_by_key(demand.select(*KEY, "demand"), "demand", SERIES), n_folds=n_folds)
     features = stage(feature_frame(run.demand, run.folds, eras), "features")
     point = stage(point_gbm(features, n_folds, kind, settings=settings), "forecasts")
     forecasts = baseline_forecasts(run).unionByName(point)
@@ -93,7 +96,7 @@ def unconstrain_floor(
     Only items with a sold-out cell can differ; ``touching`` marks the (fold, item) pairs whose
     test window holds one.
     """
-    clean = stage(clean, "clean")
+    clean = stage_by_key(clean, "clean", SERIES)
     ruler = stage(oracle_actual(clean, truth), "ruler")
     run = end_anchored(ruler, n_folds=n_folds)
     arms = {"clean": clean.select(*KEY, "demand"), "unconstrained": unconstrain(clean).select(*KEY, "demand")}
@@ -133,21 +136,30 @@ def unconstrain_gate(scores: DataFrame) -> DataFrame:
     return out.withColumns({"improvement": gain, "passed": gain > 0})
 
 
+def recovered(clean: DataFrame) -> DataFrame:
+    """Recovered demand, staged by series; ``unconstrain`` leaves it partitioned that way."""
+    return stage_by_key(unconstrain(clean).select(*KEY, "demand"), "unconstrained", SERIES, aligned=True)
+
+
 def newsvendor_scored(clean: DataFrame, economics: DataFrame, **windows) -> DataFrame:
-    """Batch items only: prep at the distribution's mean against prep at the critical ratio."""
+    """Batch items only: prep at the distribution's mean against prep at the critical ratio.
+
+    Both are decided once per series, fold and weekday and then looked up by the targets.
+    """
     batch = route_batch(economics)
-    run = end_anchored(stage(unconstrain(clean).select(*KEY, "demand"), "unconstrained"), **windows)
+    run = end_anchored(recovered(clean), **windows)
     wanted = batch.select("restaurant_id", "item_id")
     targets = run.targets.join(wanted, ["restaurant_id", "item_id"], "left_semi")
     actuals = run.actuals.join(wanted, ["restaurant_id", "item_id"], "left_semi")
-    samples = weekday_samples(run.demand, run.folds)
-    quantiles = empirical_quantiles(samples, targets, required_levels(batch))
-    policy = newsvendor_policy(quantiles, batch).select(*CELL, F.col("prep_quantity").alias("forecast"))
-    forecasts = (
-        empirical_mean(samples, targets)
+    samples = weekday_samples(run.demand.join(wanted, ["restaurant_id", "item_id"], "left_semi"), run.folds)
+    curves = long_quantiles(weekday_quantiles(samples, required_levels(batch)), WEEK)
+    policy = newsvendor_policy(curves, batch, WEEK).select(*WEEK, F.col("prep_quantity").alias("forecast"))
+    weekly = (
+        weekday_means(samples)
         .withColumn("model", F.lit("point_as_mean"))
         .unionByName(policy.withColumn("model", F.lit("quantile_newsvendor")))
     )
+    forecasts = at_targets(weekly, targets).select(*CELL, "model", "forecast")
     return score_join(actuals, forecasts, batch, ["point_as_mean", "quantile_newsvendor"])
 
 
@@ -164,7 +176,7 @@ def newsvendor_trained(clean: DataFrame, economics: DataFrame, eras: DataFrame,
     critical ratio of the boosted quantiles, both fitted on recovered demand."""
     batch = route_batch(economics)
     wanted = batch.select("restaurant_id", "item_id")
-    run = end_anchored(stage(unconstrain(clean).select(*KEY, "demand"), "unconstrained"), n_folds=n_folds)
+    run = end_anchored(recovered(clean), n_folds=n_folds)
     features = stage(feature_frame(run.demand, run.folds, eras), "features")
     curves = stage(boosted_quantiles(features, CURVE_LEVELS, settings), "curves")
     policy = newsvendor_policy(curves, batch).select(*CELL, F.col("prep_quantity").alias("forecast"))
@@ -189,7 +201,7 @@ def day_ahead_run(
     Strict-past windows over the actual series give every row that view at once, so nothing is
     replayed day by day.
     """
-    demand = stage(demand.select(*KEY, "demand"), "demand")
+    demand = stage_by_key(demand.select(*KEY, "demand"), "demand", SERIES)
     days = demand.select("restaurant_id", "business_date").distinct()
     last = days.groupBy("restaurant_id").agg(
         F.sort_array(F.collect_list("business_date"), asc=False).alias("days")

@@ -11,7 +11,7 @@ from ..operators.unconstrain import expanding_stats, unconstrain
 from ..plans import floors
 from ..sources import readers
 from ..sources.driver_views import STAFF, Views
-from ..sources.staging import stage, stage_path
+from ..sources.staging import stage, stage_by_key, stage_path
 from . import query
 from .common_sql import CALENDAR, COMP, FEATURES, KEYS, SERIES as S_KEYS, STAFF as STAFF_SQL, VOID, ANOMALY, norm, past
 
@@ -26,7 +26,7 @@ def clean(v: Views) -> DataFrame:
 
 
 def staged_clean(v: Views) -> DataFrame:
-    return stage(clean(v), "clean")
+    return stage_by_key(clean(v), "clean", SERIES)
 
 
 def truth_of(clean_demand: DataFrame) -> DataFrame:

@@ -16,6 +16,11 @@ def inputs(v: Views) -> calibration.Calibration:
     return calibration.calibration_inputs(clean(v), v.item_economics)
 
 
+def policy(v: Views) -> DataFrame:
+    run = floors.end_anchored(floors.recovered(clean(v)))
+    return ops.empirical_policy(ops.weekday_samples(run.demand, run.folds), run.targets, v.item_economics)
+
+
 @query("required_levels", "SELECT restaurant_id, quantile FROM levels")
 def required_levels(v: Views) -> DataFrame:
     return ops.required_levels(v.item_economics)
@@ -48,8 +53,7 @@ def quantile_curve(v: Views) -> DataFrame:
 
 @query("prep_quantity", f"SELECT {KEYS}, fold, «prep» AS prep_quantity FROM prep")
 def prep_quantity(v: Views) -> DataFrame:
-    policy = ops.newsvendor_policy(inputs(v).quantiles, v.item_economics)
-    return policy.select(*KEY, "fold", "prep_quantity")
+    return policy(v).select(*KEY, "fold", "prep_quantity")
 
 
 WASTE = "CASE WHEN prep <= x_min THEN 0 ELSE waste END"
@@ -58,14 +62,12 @@ STOCKOUT = """CASE WHEN prep >= x_max THEN 0 ELSE (x_max - x_min - full_area) -
 
 @query("expected_waste", f"SELECT {KEYS}, fold, «{WASTE}» AS expected_waste FROM waste")
 def expected_waste(v: Views) -> DataFrame:
-    policy = ops.newsvendor_policy(inputs(v).quantiles, v.item_economics)
-    return policy.select(*KEY, "fold", "expected_waste")
+    return policy(v).select(*KEY, "fold", "expected_waste")
 
 
 @query("expected_stockout", f"SELECT {KEYS}, fold, «{STOCKOUT}» AS expected_stockout FROM waste")
 def expected_stockout(v: Views) -> DataFrame:
-    policy = ops.newsvendor_policy(inputs(v).quantiles, v.item_economics)
-    return policy.select(*KEY, "fold", "expected_stockout")
+    return policy(v).select(*KEY, "fold", "expected_stockout")
 
 
 @query(
@@ -73,7 +75,7 @@ def expected_stockout(v: Views) -> DataFrame:
     f"""SELECT {KEYS}, fold, «r» AS critical_ratio, «prep» AS prep_quantity, «{WASTE}» AS expected_waste, «{STOCKOUT}» AS expected_stockout FROM waste""",
 )
 def newsvendor_policy(v: Views) -> DataFrame:
-    return ops.newsvendor_policy(inputs(v).quantiles, v.item_economics)
+    return policy(v)
 
 
 @query("newsvendor_floor", f"SELECT {SCORE_COLUMNS} FROM newsvendor_scores")
