@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,40 @@ def test_oracle_ruler_needs_truth_on_censored_cells(spark):
     assert got == {"dinner": 8.0, "lunch": 4.0}
     with pytest.raises(Exception, match="without a truth row"):
         scoring.oracle_actual(demand, truth.where("service_period = 'lunch'")).collect()
+
+
+def test_weekday_distributions_against_numpy(spark):
+    """Percentiles and means per weekday; one with fewer than eight training days borrows the whole series.
+    Tenants have levels of their own, and equal values and zeros are kept."""
+    start = dt.date(2024, 1, 1)
+    sold = {("r0", "a"): [n * 7 % 11 for n in range(90)], ("r0", "b"): [n % 2 for n in range(30)], ("r1", "a"): [3] * 60}
+    rows = [(t, i, "dinner", start + dt.timedelta(n), x) for (t, i), values in sold.items() for n, x in enumerate(values)]
+    demand = spark.createDataFrame(rows, "restaurant_id string, item_id string, service_period string, business_date date, demand bigint")
+    ends = {0: 27, 1: 70}
+    folds = spark.createDataFrame(
+        [(t, f, start, start + dt.timedelta(end)) for t in ("r0", "r1") for f, end in ends.items()],
+        "restaurant_id string, fold int, train_start date, train_end date",
+    )
+    wanted = {"r0": [0.1, 0.5, 0.731], "r1": [0.25]}
+    levels = spark.createDataFrame([(t, q) for t, qs in wanted.items() for q in qs], "restaurant_id string, quantile double")
+    samples = ops.weekday_samples(demand, folds)
+    means = {(r.restaurant_id, r.item_id, r.fold, r.day_of_week): r.forecast for r in ops.weekday_means(samples).collect()}
+    curves = {
+        (r.restaurant_id, r.item_id, r.fold, r.day_of_week): [(p.quantile, p.forecast) for p in r.pairs]
+        for r in ops.weekday_quantiles(samples, levels).collect()
+    }
+    assert len(means) == len(curves) == len(sold) * len(ends) * 7
+    for (tenant, item), values in sold.items():
+        for fold, end in ends.items():
+            train = values[: end + 1]
+            for weekday in range(7):
+                fine = train[weekday::7]
+                sample = fine if len(fine) >= 8 else train
+                key = tenant, item, fold, weekday
+                assert means[key] == pytest.approx(np.mean(sample))
+                assert [q for q, _ in curves[key]] == wanted[tenant]
+                assert [x for _, x in curves[key]] == pytest.approx([np.quantile(sample, q) for q in wanted[tenant]])
+    targets = demand.withColumn("fold", F.lit(1))
+    found = ops.empirical_quantiles(samples, targets, levels)
+    assert found.count() == 120 * 3 + 60
+    assert ops.empirical_quantiles(samples.where("false"), targets, levels).count() == 0
