@@ -106,8 +106,8 @@ class Block:
     raw: np.ndarray
 
 
-def pack(rows: DataFrame, coder: Coder, target: str, objectives: int, width: int) -> RDD:
-    """The training rows as blocks, evenly over ``width`` partitions."""
+def pack(rows: DataFrame, coder: Coder, target: str, objectives: int, width: int, whole: bool = False) -> RDD:
+    """The training rows as blocks, evenly over ``width`` partitions, or with ``whole`` those of a part together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, np.ndarray, np.ndarray]] = []
@@ -137,7 +137,8 @@ def pack(rows: DataFrame, coder: Coder, target: str, objectives: int, width: int
             yield emptied()
 
     picked = rows.select("part", F.col(target).cast("double").alias(target), *coder.numbers, *coder.categories)
-    return picked.repartition(width).mapInArrow(run, "block binary").rdd.map(lambda r: pickle.loads(r["block"]))
+    spread = picked.repartitionById(width, F.pmod("part", F.lit(width)).cast("int")) if whole else picked.repartition(width)
+    return spread.mapInArrow(run, "block binary").rdd.map(lambda r: pickle.loads(r["block"]))
 
 
 @dataclass
@@ -151,9 +152,10 @@ class Tree:
 
     def nodes(self, codes: np.ndarray) -> np.ndarray:
         node = np.zeros(len(codes), np.int64)
-        rows = np.arange(len(codes))
+        flat, rows = codes.reshape(-1), np.arange(len(codes)) * codes.shape[1]
         for features, left in zip(self.features, self.left):
-            node = 2 * node + ~left[node, codes[rows, features[node]]]
+            right = (~left).reshape(-1)
+            node = 2 * node + right.take(node * left.shape[1] + flat.take(rows + features.take(node)))
         return node
 
 
@@ -178,8 +180,17 @@ def histograms(block: Block, trees: dict[int, Tree], levels: Sequence[float | No
         tree, codes = trees[model], block.codes[at]
         nodes = tree.nodes(codes) * bins
         count = 1 << len(tree.features)
-        g, h = _gradients(block.y[at], block.raw[at, j], levels[j], settings)
         out = np.zeros((3, count, codes.shape[1], bins), np.int64)
+        if levels[j] is not None:
+            # Two gradients and one curvature: rows above and below their target are counted, not added up.
+            (above, below), (curve, _) = _gradients(np.array([0.0, 0.0]), np.array([1.0, 0.0]), levels[j], settings)
+            nodes = 2 * nodes + (block.raw[at, j] > block.y[at])
+            for i in range(codes.shape[1]):
+                under, over = np.bincount(nodes + 2 * codes[:, i].astype(np.int64), minlength=2 * count * bins).reshape(count, bins, 2).transpose(2, 0, 1)
+                out[0, :, i], out[1, :, i], out[2, :, i] = over * int(above) + under * int(below), (over + under) * int(curve), over + under
+            yield model, out
+            continue
+        g, h = _gradients(block.y[at], block.raw[at, j], None, settings)
         for i in range(codes.shape[1]):
             key = nodes + codes[:, i]
             for k, weights in enumerate((g, h, None)):
@@ -231,9 +242,9 @@ def digits(block: Block, trees: dict[int, Tree], levels: Sequence[float], found:
         yield model, np.bincount(key, minlength=count << digit).reshape(count, -1)
 
 
-def _summed(blocks: RDD, emit, models: int) -> RDD:
-    """What ``emit`` yields per block, added up per model: in each partition, then, if there are several,
-    across them."""
+def _summed(blocks: RDD, emit, models: int, whole: bool = False) -> RDD:
+    """What ``emit`` yields per block, added up per model: in each partition, then, if a model's rows may lie
+    in several (not with ``whole``), across them."""
 
     def run(some: Iterator[Block]) -> Iterator[tuple[int, np.ndarray]]:
         sums: dict[int, np.ndarray] = {}
@@ -244,30 +255,41 @@ def _summed(blocks: RDD, emit, models: int) -> RDD:
 
     parts = blocks.mapPartitions(run)
     width = blocks.getNumPartitions()
-    return parts if width == 1 else parts.reduceByKey(np.add, min(models, width))
+    return parts if whole or width == 1 else parts.reduceByKey(np.add, min(models, width))
 
 
-def leaf_quantiles(blocks: RDD, trees: dict[int, Tree], levels: Sequence[float], bits: int, offset: int) -> dict[int, np.ndarray]:
+def next_digit(count: np.ndarray, found: np.ndarray, wanted: np.ndarray | None, level: float, digit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``found`` bits of every leaf with the next ``digit`` ones, and the rank still ``wanted`` among the rows
+    that share them. ``count`` has rows by leaf and digit; the first pass, which wants nothing yet, sets the ranks."""
+    below = count.cumsum(axis=1)
+    if wanted is None:
+        wanted = np.maximum(1, np.ceil(level * below[:, -1] - 1e-9)).astype(np.int64)
+        found = np.where(below[:, -1] > 0, 0, -1)  # a leaf without rows stays negative
+    next_bits = (below < wanted[:, None]).sum(axis=1)
+    before = np.take_along_axis(below, np.maximum(next_bits - 1, 0)[:, None], axis=1)[:, 0]
+    wanted = wanted - np.where(next_bits > 0, before, 0)
+    return found << digit | np.minimum(next_bits, (1 << digit) - 1), wanted
+
+
+def leaf_quantiles(blocks: RDD, trees: dict[int, Tree], levels: Sequence[float], bits: int, offset: int, whole: bool = False) -> dict[int, np.ndarray]:
     """Exact lower quantile of the residuals in every leaf (0 where there are none), to 1 / GRID.
 
     Some bits of it a pass, from the top: a fixed number of counting passes, in which no task sorts or
-    gathers rows.
+    gathers rows. Counts are read where they were added up; two numbers a leaf come back.
     """
     passes = -(-bits // DIGIT)
     digit = -(-bits // passes)
     found = {m: np.zeros(1 << len(t.features), np.int64) for m, t in trees.items()}
     wanted: dict[int, np.ndarray] = {}
     for shift in range((passes - 1) * digit, -1, -digit):
-        counts = _summed(blocks, lambda b, f=dict(found), s=shift: digits(b, trees, levels, f, s, digit, offset), len(trees))
-        for model, count in counts.collect():
-            below = count.cumsum(axis=1)
-            if model not in wanted:
-                wanted[model] = np.maximum(1, np.ceil(levels[model % len(levels)] * below[:, -1] - 1e-9)).astype(np.int64)
-                found[model] = np.where(below[:, -1] > 0, 0, -1)  # a leaf without rows stays negative
-            next_bits = (below < wanted[model][:, None]).sum(axis=1)
-            before = np.take_along_axis(below, np.maximum(next_bits - 1, 0)[:, None], axis=1)[:, 0]
-            wanted[model] = wanted[model] - np.where(next_bits > 0, before, 0)
-            found[model] = found[model] << digit | np.minimum(next_bits, (1 << digit) - 1)
+        counts = _summed(blocks, lambda b, f=dict(found), s=shift: digits(b, trees, levels, f, s, digit, offset), len(trees), whole)
+
+        def read(item: tuple[int, np.ndarray], found=dict(found), wanted=dict(wanted)) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
+            model, count = item
+            return model, next_digit(count, found[model], wanted.get(model), levels[model % len(levels)], digit)
+
+        for model, (bits_so_far, rank) in counts.map(read).collect():
+            found[model], wanted[model] = bits_so_far, rank
     return {model: np.where(f < 0, 0.0, (f - offset) / GRID) for model, f in found.items()}
 
 
@@ -333,11 +355,11 @@ class Boosted:
         return out
 
 
-def grow(blocks: RDD, models: Sequence[int], levels: Sequence[float | None], categorical: np.ndarray, bins: int, settings: Settings) -> dict[int, Tree]:
+def grow(blocks: RDD, models: Sequence[int], levels: Sequence[float | None], categorical: np.ndarray, bins: int, settings: Settings, whole: bool = False) -> dict[int, Tree]:
     """One tree for every model, a job a level; leaves get the Newton step of their sums."""
     trees = {m: Tree() for m in models}
     for _ in range(settings.depth):
-        sums = _summed(blocks, lambda b, t=trees: histograms(b, t, levels, bins, settings), len(trees))
+        sums = _summed(blocks, lambda b, t=trees: histograms(b, t, levels, bins, settings), len(trees), whole)
         grown = dict(trees)
         for model, (features, left, values) in sums.mapValues(lambda s: choose(s, categorical, settings)).collect():
             old = trees[model]
@@ -359,12 +381,14 @@ def train(rows: DataFrame, target: str, numbers: Sequence[str], categories: Sequ
         raise ValueError("no training rows")
     objectives = (None,) if levels is None else tuple(levels)
     models = [part * len(objectives) + j for part in sorted(stats) for j in range(len(objectives))]
-    width = max(1, min(shuffle_width(rows), -(-sum(r["n"] for r in stats.values()) // BLOCK)))
+    # Parts that a block holds stay whole: a task then adds up its own models, and no sums move.
+    whole = max(r["n"] for r in stats.values()) <= BLOCK
+    width = max(1, min(shuffle_width(rows), len(stats) if whole else -(-sum(r["n"] for r in stats.values()) // BLOCK)))
     categorical = np.array([False] * len(numbers) + [True] * len(categories))
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(f"{shared_dir(spark)}/larder/{sc.applicationId}/boosting")
-    blocks = pack(checked, coder, target, len(objectives), width).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = pack(checked, coder, target, len(objectives), width, whole).persist(StorageLevel.MEMORY_AND_DISK)
     bounds, bits, offset = None, 0, 0
     if levels is None:
         start = {m: math.log(max(stats[m]["mean"], 1e-9)) for m in models}
@@ -374,7 +398,7 @@ def train(rows: DataFrame, target: str, numbers: Sequence[str], categories: Sequ
         offset = math.ceil(max(bounds[1], 0) - min(bounds[0], 0) + 1) * GRID
         bits = (2 * offset).bit_length()
         root = {m: Tree() for m in models}
-        start = {m: float(v[0]) for m, v in leaf_quantiles(blocks, root, objectives, bits, offset).items()}
+        start = {m: float(v[0]) for m, v in leaf_quantiles(blocks, root, objectives, bits, offset, whole).items()}
     first = {m: Tree(values=np.array([start[m]])) for m in models}
     done: list[dict[int, Tree]] = []
     trees = first
@@ -382,10 +406,10 @@ def train(rows: DataFrame, target: str, numbers: Sequence[str], categories: Sequ
         last, blocks = blocks, blocks.map(lambda b, t=trees: _moved(b, t, objectives, bounds)).persist(StorageLevel.MEMORY_AND_DISK)
         if number % CHECKPOINT == CHECKPOINT - 1:
             blocks.checkpoint()
-        trees = grow(blocks, models, objectives, categorical, coder.bins, settings)
+        trees = grow(blocks, models, objectives, categorical, coder.bins, settings, whole)
         last.unpersist()
         if levels is not None:
-            exact = leaf_quantiles(blocks, trees, objectives, bits, offset)
+            exact = leaf_quantiles(blocks, trees, objectives, bits, offset, whole)
             for model, tree in trees.items():
                 tree.values = np.rint(exact[model] * settings.step * GRID) / GRID
         done.append(trees)

@@ -208,3 +208,23 @@ def test_widening_takes_the_exact_rank(spark):
         assert [(round(a, 9), round(b, 9)) for a, b in got[tenant]] == [(round(47 - move, 9), round(52 + move, 9))]
     share = np.mean([lower <= x[4] <= upper for x in rows if x[0] == "r2" for lower, upper in got["r2"]])
     assert 0.8 <= share < 0.802
+
+
+def test_leaf_counts_stay_in_the_tasks(spark, monkeypatch):
+    brought = []
+    collect = boosting.RDD.collect
+    monkeypatch.setattr(boosting.RDD, "collect", lambda self: brought.append(collect(self)) or brought[-1])
+    rows = spark.createDataFrame(sample().assign(y=lambda df: df.y * 1000))
+    boosting.train(rows, "y", NUMBERS, CATEGORIES, (0.1, 0.5, 0.9), SMALL)
+    sizes = [len(boosting.pickle.dumps(found)) / len(found) for found in brought]
+    # Two numbers for each of 8 leaves, or the splits of 4 nodes; counts by digit would be 8 x 2^9 numbers and more.
+    assert sizes and max(sizes) < 4096
+
+
+def test_whole_parts_move_no_sums(spark):
+    rows = spark.createDataFrame(sample())
+    coder = boosting.fit_coder(rows, NUMBERS, CATEGORIES)
+    blocks = boosting.pack(rows, coder, "y", 1, 3, whole=True)
+    homes = blocks.map(lambda b: [part for part, *_ in b.spans]).glom().map(lambda own: {p for b in own for p in b}).collect()
+    assert sorted(p for own in homes for p in own) == [0, 1, 2]
+    assert sum(len(b.y) for b in blocks.collect()) == 900
