@@ -315,6 +315,8 @@ COPY_SHINGLE_WORDS = 5
 #: Each slot is a sample of SLOT_SIZE shingles; two texts at 0.8 share none of the slots once in 90,000 times.
 SLOTS = 16
 SLOT_SIZE = 3
+#: 2 ** SEEN_BITS buckets tell how rare a shingle is. As many for any input: a task reports each at most once.
+SEEN_BITS = 18
 _ODD = (np.random.default_rng(11).integers(0, 1 << 63, SLOTS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -412,8 +414,8 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILA
     return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _seen(texts: DataFrame, shingle: int, bits: int) -> np.ndarray:
-    """How many shingles of all sets fall into each of 2 ** bits buckets."""
+def _seen(texts: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """(bucket, n): how many shingles of a task's sets fall into each of 2 ** bits buckets, where any do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(1 << bits, np.int64)
@@ -423,7 +425,12 @@ def _seen(texts: DataFrame, shingle: int, bits: int) -> np.ndarray:
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], names=["bucket", "n"])
 
-    rows = texts.mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    return texts.mapInArrow(run, "bucket int, n bigint")
+
+
+def _bucket_sums(seen: DataFrame, bits: int) -> np.ndarray:
+    """The counts of all tasks, by bucket."""
+    rows = seen.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << bits, np.int64)
     out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
@@ -461,13 +468,13 @@ def _prefixes(texts: DataFrame, similarity: float, shingle: int, bits: int, seen
     return texts.mapInArrow(run, "row bigint, size bigint, shingle bigint, inner boolean")
 
 
-def prefix_pairs(texts: DataFrame, labels: DataFrame, similarity: float, shingle: int, total: int) -> DataFrame:
+def prefix_pairs(texts: DataFrame, labels: DataFrame, similarity: float, shingle: int, bits: int = SEEN_BITS) -> DataFrame:
     """(a, b) of all rows not yet in one group that may share ``similarity`` of their shingles: none is left out.
 
-    ``labels`` has (node, label) of the rows already grouped, ``total`` is the number of shingles.
+    ``labels`` has (node, label) of the rows already grouped. The number of buckets, 2 ** ``bits``, only
+    changes which shingles are taken for rare, not what is left after the exact comparison.
     """
-    bits = int(np.clip(np.ceil(np.log2(max(1, total) / 256)), 12, 20))
-    seen = texts.sparkSession.sparkContext.broadcast(_seen(texts, shingle, bits))
+    seen = texts.sparkSession.sparkContext.broadcast(_bucket_sums(_seen(texts, shingle, bits), bits))
     first = _prefixes(texts, similarity, shingle, bits, seen).join(labels.withColumnRenamed("node", "row"), "row", "left")
     first = stage(first.withColumn("label", F.coalesce("label", "row")), "near-prefixes")
     seen.destroy()
@@ -501,8 +508,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "
     blank = empty.crossJoin(F.broadcast(empty.agg(F.min("row").alias("b")))).select(F.col("row").alias("a"), "b")
     tried = fingerprint_pairs(marks, max_bits).unionByName(slot_pairs(marks.select("row", "slots")))
     edges = stage(blank.unionByName(similar_pairs(tried, texts, similarity, shingle)), "near-found")
-    total = marks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    rest = prefix_pairs(texts, connected(edges), similarity, shingle, total)
+    rest = prefix_pairs(texts, connected(edges), similarity, shingle)
     labels = connected(edges.unionByName(similar_pairs(rest, texts, similarity, shingle)))
     grouped = marks.select("row").join(labels.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("label", "row").alias("label"))
     ids = numbered.select(F.col(key).alias("row"), F.col(id_column).alias("id"))
