@@ -17,7 +17,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from ..sources.staging import stage
+from ..sources.staging import discard, stage, stage_at
 from .batches import slices
 from .columns import unused
 
@@ -317,6 +317,8 @@ SLOTS = 16
 SLOT_SIZE = 3
 #: 2 ** SEEN_BITS buckets tell how rare a shingle is. As many for any input: a task reports each at most once.
 SEEN_BITS = 18
+#: Texts that are paired where they meet in a shingle; larger crowds are seen from one of their texts.
+CROWD = 8
 _ODD = (np.random.default_rng(11).integers(0, 1 << 63, SLOTS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -436,8 +438,20 @@ def _bucket_sums(seen: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _longest(n: float, shared: float) -> int:
+    """How many of n elements in a common order hold the first of at least ``shared`` common ones, and at least one."""
+    # The small number keeps rounding from making a prefix too short.
+    return int(n) - max(1, int(np.ceil(shared - 1e-6))) + 1
+
+
+#: What is known of a row where it is met: the text it is seen from, its label and size, how many shingles tell it
+#: from that text, these beyond what its size allows, the unit such surpluses are dealt by, whether it is in that
+#: text's group, and its place in the order.
+_MET = ["centre", "shingle", "row", "label", "size", "apart", "over", "unit", "near", "place", "inner", "outer"]
+
+
 def _prefixes(texts: DataFrame, similarity: float, shingle: int, bits: int, seen: Broadcast) -> DataFrame:
-    """(row, size, shingle, inner): the rarest shingles of every set, rarest as far as buckets tell.
+    """(row, size, shingle, place, inner): the rarest shingles of every set, rarest as far as buckets tell.
 
     Any order common to all sets will do. Of two sets at ``similarity`` the larger one has, among its first
     size - similarity * size + 1 shingles, one of the smaller one's first size - 2 * similarity /
@@ -447,45 +461,144 @@ def _prefixes(texts: DataFrame, similarity: float, shingle: int, bits: int, seen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chain.from_iterable(map(slices, batches)):
-            rows, sizes, found, inner = [], [], [], []
+            rows, sizes, found, place, inner = [], [], [], [], []
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
                 own = shingle_set(text, shingle)
                 n = len(own)
                 if not n:
                     continue
-                # The small number keeps rounding from making a prefix too short.
-                outer = n - int(np.ceil(similarity * n - 1e-6)) + 1
-                short = n - int(np.ceil(2 * similarity / (1 + similarity) * n - 1e-6)) + 1
+                outer = _longest(n, similarity * n)
                 order = np.lexsort((own, seen.value[(own >> np.uint64(64 - bits)).astype(np.int64)]))[:outer]
                 found.append(own[order])
                 rows.append(np.full(len(order), row, np.int64))
                 sizes.append(np.full(len(order), n, np.int64))
-                inner.append(np.arange(len(order)) < short)
+                place.append(np.arange(len(order), dtype=np.int32))
+                inner.append(place[-1] < _longest(n, 2 * similarity / (1 + similarity) * n))
             if rows:
-                columns = [np.concatenate(rows), np.concatenate(sizes), np.concatenate(found).view(np.int64), np.concatenate(inner)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "size", "shingle", "inner"])
+                columns = [np.concatenate(rows), np.concatenate(sizes), np.concatenate(found).view(np.int64), np.concatenate(place), np.concatenate(inner)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "size", "shingle", "place", "inner"])
+
+    return texts.mapInArrow(run, "row bigint, size bigint, shingle bigint, place int, inner boolean")
+
+
+def _centres(crowded: DataFrame) -> DataFrame:
+    """(centre, row, label): each row of a crowd with the one of them that meets the most others.
+
+    In a family of copies that is the text they were made from, for nearly all shingles alike.
+    """
+    weight = stage(crowded.groupBy("row").agg(F.sum("n").alias("weight")), "near-weight")
+    heads = crowded.join(weight, "row").groupBy("centre", "shingle").agg(F.max(F.struct("weight", (-F.col("row")).alias("row"))).alias("head"))
+    heads = stage(heads.select("centre", "shingle", (-F.col("head.row")).alias("head")), "near-heads")
+    return stage(crowded.join(heads, ["centre", "shingle"]).select(F.col("head").alias("centre"), "row", "label").distinct(), "near-centres")
+
 
-    return texts.mapInArrow(run, "row bigint, size bigint, shingle bigint, inner boolean")
+def _differences(members: DataFrame, texts: DataFrame, similarity: float, shingle: int, bits: int, seen: Broadcast) -> DataFrame:
+    """(centre, row, label, size, apart, over, unit, near, linked, inner, outer, shingles) of (centre, row, label).
+
+    Two sets x and e are at ``similarity`` where they differ in at most slack * (|x| + |e|) shingles. With X and E
+    for what tells them from the centre they share at least (over(x) + over(e)) / 2 of X and E, where over(x) is
+    |X| - slack * |x|. If that asks for none, both are linked to the centre; so of a pair to be found, one, e, is
+    not, and over(e) exceeds slack * |centre|. X then has one of E among its first ``inner`` shingles, in an order
+    common to the centre's rows, and E that one among its first ``outer``: what a text has beside its centre
+    comes first, as its copies lack the same passages sooner than they add them.
+    """
+    slack = (1 - similarity) / (1 + similarity)
+    own = members.filter("row = centre").select("row", F.col("label").alias("of"))
+    middle = stage(texts.join(own, "row").select(F.col("row").alias("centre"), "of", F.col("text").alias("whole")), "near-middle")
+    # Texts travel, not their shingles, which take more room and cannot be packed.
+    both = texts.join(members, "row").join(middle, "centre").select("centre", "row", "label", (F.col("label") == F.col("of")).alias("same"), "text", "whole")
 
+    def rank(of: np.ndarray) -> np.ndarray:
+        return seen.value[(of >> np.uint64(64 - bits)).astype(np.int64)]
 
-def prefix_pairs(texts: DataFrame, labels: DataFrame, similarity: float, shingle: int, bits: int = SEEN_BITS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, y = None, None
+        for batch in chain.from_iterable(map(slices, batches)):
+            made, shown = {c: [] for c in ("size", "apart", "over", "unit", "near", "linked", "inner", "outer")}, []
+            for i in range(batch.num_rows):
+                x = shingle_set(batch.column("text")[i].as_py(), shingle)
+                if centre != batch.column("centre")[i].as_py():
+                    centre, y = batch.column("centre")[i].as_py(), shingle_set(batch.column("whole")[i].as_py(), shingle)
+                more, less = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                size, apart, common = len(x), len(more) + len(less), len(x) - len(more)
+                linked = common >= similarity * (size + len(y) - common)
+                near, over = linked or batch.column("same")[i].as_py(), apart - slack * size
+                # What many rows lack is seen less often, so of the centre's own shingles the frequent ones come first.
+                order = np.concatenate((more[np.lexsort((more, rank(more)))], less[np.lexsort((less, -rank(less)))]))
+                inner = _longest(apart, (over + slack * len(y)) / 2 if near else over)
+                outer = 0 if near else _longest(apart, over - slack * size / similarity)
+                shown.append(order[: max(0, inner, outer)].view(np.int64))
+                for name, value in zip(made, (size, apart, over, slack * max(1, len(y)), near, linked, inner, outer)):
+                    made[name].append(value)
+            kinds = dict(size=pa.int64(), apart=pa.int64(), over=pa.float64(), unit=pa.float64(), near=pa.bool_(), linked=pa.bool_(), inner=pa.int32(), outer=pa.int32())
+            columns = [batch.column(c) for c in ("centre", "row", "label")] + [pa.array(made[c], kinds[c]) for c in made]
+            yield pa.RecordBatch.from_arrays([*columns, _lists(shown)], names=["centre", "row", "label", *made, "shingles"])
+
+    kind = "centre bigint, row bigint, label bigint, size bigint, apart bigint, over double, unit double, near boolean, linked boolean, inner int, outer int, shingles array<bigint>"
+    return both.mapInArrow(run, kind)
+
+
+def _meeting(met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the rows that meet in a shingle and may be at ``similarity``.
+
+    The first shingle that two rows share stands so early in both that enough may follow: place + (over + over) / 2
+    <= apart. So its place bounds how far over a partner may be, and a row is put only where such partners are, by
+    half units.
+    """
+    slack = (1 - similarity) / (1 + similarity)
+    band = lambda over: F.floor(2 * over / F.col("unit"))
+    most = 2 * (F.col("apart") - F.col("place")) - F.col("over") + 1e-6
+    x = met.filter("inner").withColumn("low", F.when(F.col("near"), F.col("unit")).otherwise(F.col("over")) - 1e-6)
+    y = met.filter("outer").withColumn("low", F.col("over") - 2 * slack / similarity * F.col("size") - 1e-6)
+    x, y = (t.filter(F.col("low") <= most).withColumn("own", band(F.col("over"))).withColumn("met", F.explode(F.sequence(band(F.col("low")), band(most)))) for t in (x, y))
+    x = x.select("centre", "shingle", F.col("own").alias("p"), F.col("met").alias("q"), *[F.col(c).alias(f"x_{c}") for c in _MET[2:10]])
+    y = y.select("centre", "shingle", F.col("met").alias("p"), F.col("own").alias("q"), *[F.col(c).alias(f"y_{c}") for c in _MET[2:10]])
+    before = (F.col("x_over") < F.col("y_over")) | ((F.col("x_over") == F.col("y_over")) & (F.col("x_row") < F.col("y_row")))
+    sizes = F.least("x_size", "y_size") >= similarity * F.greatest("x_size", "y_size") - 1e-6
+    shared = (F.col("x_over") + F.col("y_over")) / 2 - 1e-6
+    early = (F.col("x_place") + shared <= F.col("x_apart")) & (F.col("y_place") + shared <= F.col("y_apart"))
+    near = (F.col("x_label") != F.col("y_label")) & (F.col("x_near") | before) & sizes & early
+    return x.join(y, ["centre", "shingle", "p", "q"]).filter(near).select(F.col("x_row").alias("a"), F.col("y_row").alias("b"))
+
+
+def _met(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows, with their number n, that meet others in several groups: one group only says nothing new, however large."""
+    outer = F.max("outer") if "outer" in rows.columns else F.lit(True)
+    open_ = rows.groupBy(*by).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("inner").alias("x"), outer.alias("y"), F.count("*").alias("n"))
+    open_ = stage(open_.filter("low <> high and x and y").select(*by, "n"), "near-open")
+    return stage(rows.join(open_, list(by)), "near-left")
+
+
+def prefix_pairs(texts: DataFrame, labels: DataFrame, similarity: float, shingle: int, bits: int = SEEN_BITS, crowd: int | None = None) -> DataFrame:
     """(a, b) of all rows not yet in one group that may share ``similarity`` of their shingles: none is left out.
 
     ``labels`` has (node, label) of the rows already grouped. The number of buckets, 2 ** ``bits``, only
     changes which shingles are taken for rare, not what is left after the exact comparison.
+
+    With ``crowd``, rows linked to one text are paired with it only, so what is left out follows from other links:
+    up to ``crowd`` rows that meet in a shingle are paired; more are seen from one of them, and those not linked
+    to it meet others where they differ from it in the same way, which in a family of copies few do.
     """
+    slack = (1 - similarity) / (1 + similarity)
     seen = texts.sparkSession.sparkContext.broadcast(_bucket_sums(_seen(texts, shingle, bits), bits))
     first = _prefixes(texts, similarity, shingle, bits, seen).join(labels.withColumnRenamed("node", "row"), "row", "left")
-    first = stage(first.withColumn("label", F.coalesce("label", "row")), "near-prefixes")
+    first, first_at = stage_at(first.withColumn("label", F.coalesce("label", "row")), "near-prefixes")
+    met = _met(first, "shingle")
+    discard(texts.sparkSession, first_at)
+    # Seen from no text, all of a set is a difference. Few meet here, so they are not dealt by how far over they are.
+    size = F.col("size")
+    given = {"centre": F.lit(-1).cast("long"), "apart": size, "over": (1 - slack) * size, "unit": F.lit(float("inf")), "near": F.lit(False), "outer": F.lit(True)}
+    met = met.select(*[given.get(c, F.col(c)).alias(c) for c in _MET], "n")
+    few = _meeting(met if crowd is None else met.filter(F.col("n") <= crowd), similarity)
+    if crowd is None:
+        seen.destroy()
+        return few
+    apart = stage(_differences(_centres(met.filter(F.col("n") > crowd)), texts, similarity, shingle, bits, seen), "near-apart")
     seen.destroy()
-    # A shingle met in one group only says nothing new, however large the group.
-    open_ = first.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("inner").alias("any")).filter("low <> high and any")
-    left = stage(first.join(stage(open_.select("shingle"), "near-open"), "shingle", "left_semi"), "near-left")
-    x = left.filter("inner").select("shingle", F.col("row").alias("a"), F.col("size").alias("m"), F.col("label").alias("p"))
-    y = left.select("shingle", F.col("row").alias("b"), F.col("size").alias("n"), F.col("label").alias("q"))
-    smaller = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("b")))
-    near = (F.col("p") != F.col("q")) & smaller & (F.col("m") >= similarity * F.col("n") - 1e-6)
-    return x.join(y, "shingle").filter(near).select("a", "b")
+    rows = apart.select("*", F.posexplode("shingles").alias("place", "shingle"))
+    rows = rows.withColumn("inner", F.col("place") < F.col("inner")).withColumn("outer", F.col("place") < F.col("outer"))
+    linked = apart.filter("linked and row <> centre").select(F.col("centre").alias("a"), F.col("row").alias("b"))
+    return few.unionByName(_meeting(_met(rows.select(*_MET), "centre", "shingle"), similarity)).unionByName(linked)
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -508,7 +621,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "
     blank = empty.crossJoin(F.broadcast(empty.agg(F.min("row").alias("b")))).select(F.col("row").alias("a"), "b")
     tried = fingerprint_pairs(marks, max_bits).unionByName(slot_pairs(marks.select("row", "slots")))
     edges = stage(blank.unionByName(similar_pairs(tried, texts, similarity, shingle)), "near-found")
-    rest = prefix_pairs(texts, connected(edges), similarity, shingle)
+    rest = prefix_pairs(texts, connected(edges), similarity, shingle, crowd=CROWD)
     labels = connected(edges.unionByName(similar_pairs(rest, texts, similarity, shingle)))
     grouped = marks.select("row").join(labels.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("label", "row").alias("label"))
     ids = numbered.select(F.col(key).alias("row"), F.col(id_column).alias("id"))
