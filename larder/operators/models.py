@@ -106,9 +106,14 @@ def boosted_point(
     return done.select(*keep, F.get("forecasts", F.lit(0)).alias("forecast"), F.lit(name).alias("model"))
 
 
-def level_rows(forecasts: DataFrame, levels: tuple[float, ...], cell: list[str]) -> DataFrame:
-    """A row per level from an array of forecasts, in order: the sorted forecasts go to the sorted levels."""
-    pairs = F.arrays_zip(F.array(*[F.lit(q) for q in sorted(levels)]).alias("quantile"), F.sort_array("forecasts").alias("forecast"))
+def level_rows(forecasts: DataFrame, levels: tuple[float, ...], cell: list[str], wanted: Column | None = None) -> DataFrame:
+    """A row per level from an array of forecasts, in order: the sorted forecasts go to the sorted levels.
+    ``wanted`` has the levels to be told per row, all by default; forecasts at others do not change them."""
+    names, found = F.array(*[F.lit(q) for q in sorted(levels)]), F.col("forecasts")
+    if wanted is not None:
+        found = F.filter(found, lambda _, i: F.array_contains(wanted, F.get(names, i)))
+        names = F.filter(names, lambda q: F.array_contains(wanted, q))
+    pairs = F.arrays_zip(names.alias("quantile"), F.sort_array(found).alias("forecast"))
     return forecasts.select(*cell, F.inline(pairs)).toDF(*cell, "quantile", "forecast")
 
 

@@ -12,7 +12,7 @@ from ..operators.features import feature_frame
 from ..operators.folds import train_rows
 from ..operators.joins import salted_join
 from ..operators.models import boosted_inputs, fit_boosted, level_rows
-from ..operators.quantiles import CELL, empirical_quantiles, required_levels, weekday_samples
+from ..operators.quantiles import CELL, checked_levels, empirical_quantiles, required_levels, weekday_samples
 from ..operators.scoring import coverage, pit, pit_summary, underage_per_item
 from ..sources.staging import stage
 from .floors import CURVE_LEVELS, Backtest, end_anchored, recovered
@@ -35,14 +35,29 @@ def calibration_inputs(clean: DataFrame, economics: DataFrame, **windows) -> Cal
 
 
 def trained_inputs(
-    clean: DataFrame, eras: DataFrame, n_folds: int = 4, confidence: float = 0.8, settings: Settings = Settings()
+    clean: DataFrame,
+    eras: DataFrame,
+    n_folds: int = 4,
+    confidence: float = 0.8,
+    settings: Settings = Settings(),
+    economics: DataFrame | None = None,
 ) -> Calibration:
     """The same with boosted quantiles, and conformalised intervals of the last fold.
 
     The last fold is trained once more on its earlier days; its later days give the scores that move the
-    two ends of the interval. Folds and this extra part, at all levels, are one training.
+    two ends of the interval. Folds and this extra part, at all levels, are one training. With ``economics``
+    the levels include every item's own critical ratio; a tenant's curves have those of its items, whatever
+    other tenants ask for.
     """
     run = end_anchored(recovered(clean), n_folds=n_folds)
+    own = run.folds.select("restaurant_id").distinct().withColumn("own", F.array().cast("array<double>"))
+    ratios: list[float] = []
+    if economics is not None:
+        needed = checked_levels(required_levels(economics, CURVE_LEVELS)).where("quantile is not null")
+        needed = stage(needed.groupBy("restaurant_id").agg(F.collect_set("quantile").alias("needed")), "levels")
+        own = own.join(needed, "restaurant_id", "left").select("restaurant_id", F.coalesce("needed", "own").alias("own"))
+        # One model is trained per level, so the driver holds their names whatever the input.
+        ratios = needed.select(F.explode("needed").alias("q")).agg(F.collect_set("q").alias("levels")).first()["levels"]
     features = stage(feature_frame(run.demand, run.folds, eras), "features")
     latest = run.folds.groupBy("restaurant_id").agg(F.max("fold").alias("fold"))
     last = salted_join(features, latest, ["restaurant_id", "fold"], ["business_date"])
@@ -54,12 +69,16 @@ def trained_inputs(
     parts = features.withColumn("_part", F.col("fold")).unionByName(last.withColumn("_part", F.lit(n_folds)))
     rows = stage(boosted_inputs(parts, F.col("_part")).drop("_part"), "boosted-rows")
     tails = (round((1 - confidence) / 2, 6), round(1 - (1 - confidence) / 2, 6))
-    levels = tuple(sorted({*CURVE_LEVELS, *tails}))
+    common = sorted({*CURVE_LEVELS, *tails})
+    levels = tuple(sorted({*common, *ratios}))
     model = fit_boosted(rows, levels, settings)
     done = stage(model.predict(rows.where("role <> 'train'"), [*CELL, "part", "role", "actual"]), "quantiles")
-    curves = level_rows(done.where(F.col("part") < n_folds), levels, CELL).where(F.col("quantile").isin(*CURVE_LEVELS))
-    in_order = F.sort_array("forecasts")
-    ends = done.where(F.col("part") == n_folds).withColumns({name: F.get(in_order, F.lit(levels.index(q))) for name, q in zip(("lo", "hi"), tails)})
+    wanted = F.array_union(F.array(*map(F.lit, common)), "own")
+    curves = salted_join(done.where(F.col("part") < n_folds), own, ["restaurant_id"], ["business_date"])
+    curves = level_rows(curves, levels, [*CELL, "own"], wanted)
+    curves = curves.where(F.col("quantile").isin(*CURVE_LEVELS) | F.array_contains("own", F.col("quantile"))).drop("own")
+    in_order = F.sort_array(F.array(*[F.get("forecasts", F.lit(levels.index(q))) for q in common]))
+    ends = done.where(F.col("part") == n_folds).withColumns({name: F.get(in_order, F.lit(common.index(q))) for name, q in zip(("lo", "hi"), tails)})
     scores = stage(held_scores(ends.where("role = 'held'").withColumn("demand", F.col("actual"))), "held-scores")
     return Calibration(run, curves, widened(ends.where("role = 'test'"), scores, confidence))
 

@@ -106,7 +106,7 @@ def newsvendor_trained(v: Views) -> DataFrame:
 @query("calibration_trained")
 def calibration_trained(v: Views) -> DataFrame:
     base = staged_clean(v)
-    found = calibration.trained_inputs(base, v.menu_eras, settings=settings(v))
+    found = calibration.trained_inputs(base, v.menu_eras, settings=settings(v), economics=v.item_economics)
     return calibration.calibration_run(base, truth_of(base), v.item_economics, found)
 
 

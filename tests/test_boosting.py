@@ -194,6 +194,25 @@ def test_intervals_of_trained_ends(spark):
     assert all(a["forecast"] <= b["forecast"] for r in curves for a, b in zip(r["c"], r["c"][1:])) and len(curves[0]["c"]) == 14
 
 
+def test_trained_curves_have_every_items_own_ratio(spark):
+    demand = weekly(spark).withColumn("censored", F.lit(False))
+    eras = spark.createDataFrame([(DAY, 0)], "start_date date, era_id int")
+    items = sorted((r.restaurant_id, r.item_id) for r in demand.select("restaurant_id", "item_id").distinct().collect())
+    costs = [(tenant, item, 1.0, 1.0 + k / 7) for k, (tenant, item) in enumerate(items)]
+    economics = spark.createDataFrame([*costs, ("elsewhere", "other", 5.0, 1.0)], "restaurant_id string, item_id string, co double, cu double")
+    truth = demand.select(*models.KEY, F.col("demand").alias("true_demand"))
+    small = boosting.Settings(rounds=3, step=0.3, depth=2)
+    found = calibration.trained_inputs(demand, eras, settings=small, economics=economics)
+    rows = calibration.calibration_run(demand, truth, economics, found).collect()
+    assert sorted((r.restaurant_id, r.label) for r in rows if r.section == "underage") == items
+    own = {(tenant, round(cu / (co + cu), 6)) for tenant, _, co, cu in costs}
+    levels = {(r.restaurant_id, r["quantile"]) for r in found.quantiles.select("restaurant_id", "quantile").distinct().collect()}
+    assert levels == own | {(tenant, q) for tenant, _ in items for q in calibration.CURVE_LEVELS}
+    # Other items' levels leave the intervals as they were.
+    plain = calibration.trained_inputs(demand, eras, settings=small)
+    assert sorted(found.intervals.collect()) == sorted(plain.intervals.collect())
+
+
 def test_widening_takes_the_exact_rank(spark):
     rng = np.random.default_rng(8)
     columns = "restaurant_id string, business_date date, item_id string, service_period string, demand double, lo double, hi double"
