@@ -9,15 +9,17 @@ A shard reports a star per component, never its pairs; stars are joined to compo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..sources.staging import discard, stage, stage_at
+from ..sources.staging import stage
 from .batches import slices
 from .columns import unused
 
@@ -317,6 +319,11 @@ SLOTS = 16
 SLOT_SIZE = 3
 #: 2 ** SEEN_BITS buckets tell how rare a shingle is. As many for any input: a task reports each at most once.
 SEEN_BITS = 18
+#: Shingles of a task among which repeated ones are counted by themselves, how often they then have to come, and how
+#: many of the most frequent ones are told apart. They only change which shingles are taken for rare.
+HELD_SHINGLES = 1 << 22
+OFTEN = 2
+COMMON = 1 << 19
 #: Texts that are paired where they meet in a shingle; larger crowds are seen from one of their texts.
 CROWD = 8
 _ODD = (np.random.default_rng(11).integers(0, 1 << 63, SLOTS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -363,11 +370,45 @@ def _marks(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "row bigint, fp bigint, size bigint, slots array<bigint>")
 
 
-def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(row, shingles) of (row, text)."""
+@dataclass(frozen=True)
+class Rows:
+    """A set of row numbers, as the bits of blocks of 64: rows are numbered closely, so it takes a quarter of a byte
+    a text at most. Texts are picked by it where they lie; to be joined, all of them would have to move."""
+
+    blocks: np.ndarray
+    bits: np.ndarray
+
+    @staticmethod
+    def of(rows: DataFrame) -> Rows:
+        """Those in column ``row``; they may repeat."""
+        block = F.expr("row div 64").alias("block")
+        bits = F.expr("bit_or(shiftleft(1L, cast(row % 64 AS int)))").alias("bits")
+        found = rows.groupBy(block).agg(bits).toArrow()
+        blocks = found.column("block").to_numpy()
+        order = np.argsort(blocks)
+        return Rows(np.append(blocks[order], -1), np.append(found.column("bits").to_numpy()[order], 0))
+
+    def has(self, rows: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.blocks[:-1], rows >> 6)
+        return (self.blocks[at] == rows >> 6) & (self.bits[at] >> (rows & 63) & 1 == 1)
+
+
+def _in(rows: Broadcast, row: Column) -> Column:
+    """Whether a row number is among the ``Rows``."""
+
+    @F.pandas_udf("boolean")
+    def has(numbers: pd.Series) -> pd.Series:
+        return pd.Series(rows.value.has(numbers.to_numpy()))
+
+    return has(row)
+
+
+def _sets(texts: DataFrame, shingle: int, wanted: Broadcast) -> DataFrame:
+    """(row, shingles) of those (row, text) that are among the ``wanted`` Rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chain.from_iterable(map(slices, batches)):
+            batch = batch.filter(pa.array(wanted.value.has(batch.column("row").to_numpy())))
             made = [shingle_set(t, shingle).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), _lists(made)], names=["row", "shingles"])
 
@@ -393,7 +434,8 @@ def slot_pairs(slots: DataFrame) -> DataFrame:
     """
     spread = slots.select("row", F.posexplode("slots").alias("slot", "value"))
     sizes = stage(spread.groupBy("slot", "value").agg(F.count("*").alias("n")).filter("n > 1"), "near-sizes")
-    shared = stage(spread.join(sizes, ["slot", "value"]), "near-shared")
+    # Neither side of these joins is broadcast: Spark takes what it explodes, or reads packed, for much smaller than it is.
+    shared = stage(spread.join(sizes.hint("merge"), ["slot", "value"]), "near-shared")
     weight = stage(shared.groupBy("row").agg(F.sum("n").alias("weight")), "near-weight")
     shared = shared.join(weight, "row")
     heads = shared.groupBy("slot", "value").agg(
@@ -402,15 +444,14 @@ def slot_pairs(slots: DataFrame) -> DataFrame:
         F.min(F.struct(F.xxhash64("slot", "row").alias("hash"), "row")).alias("any"),
     )
     heads = stage(heads.select("slot", "value", F.array_distinct(F.array("first", -F.col("centre.row"), "any.row")).alias("heads")), "near-heads")
-    return shared.join(heads, ["slot", "value"]).select(F.col("row").alias("a"), F.explode("heads").alias("b")).filter("a <> b")
+    return shared.join(heads.hint("merge"), ["slot", "value"]).select(F.col("row").alias("a"), F.explode("heads").alias("b")).filter("a <> b")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE_WORDS) -> DataFrame:
     """Those of the pairs (a, b) that share at least ``similarity`` of their shingles; ``texts`` has (row, text)."""
     pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    # Stored first, so that Spark knows its size and moves the texts only if it is large.
-    needed = stage(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "near-needed")
-    sets = stage(_sets(texts.join(needed, "row", "left_semi"), shingle), "near-sets")
+    needed = Rows.of(pairs.select(F.col("a").alias("row")).union(pairs.select("b")))
+    sets = stage(_sets(texts, shingle, texts.sparkSession.sparkContext.broadcast(needed)), "near-sets")
     both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -438,6 +479,57 @@ def _bucket_sums(seen: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _common(texts: DataFrame, shingle: int) -> DataFrame:
+    """(shingle, n): how many texts have it, of shingles that come often among some texts of a task."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        often = n >= OFTEN
+        return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often])], names=["shingle", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in chain.from_iterable(map(slices, batches)):
+            for text in batch.column("text").to_pylist():
+                held.append(shingle_set(text, shingle))
+                size += len(held[-1])
+                if size >= HELD_SHINGLES:
+                    yield counted(held)
+                    held, size = [], 0
+        yield counted(held)
+
+    return texts.mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+
+
+@dataclass(frozen=True)
+class Rarity:
+    """An order of all shingles, the rare ones first: by the counts of the buckets, after them the most common
+    shingles by counts of their own, as a passage that many texts share does not stand out in a bucket."""
+
+    bits: int
+    buckets: np.ndarray
+    common: np.ndarray
+    counts: np.ndarray
+
+    @staticmethod
+    def of(texts: DataFrame, shingle: int, bits: int) -> Rarity:
+        buckets = _bucket_sums(_seen(texts, shingle, bits), bits)
+        common = stage(_common(texts, shingle), "near-common")
+        by_count = common.groupBy("n").agg(F.count("*").alias("of")).toPandas().sort_values("n", ascending=False)
+        fit = by_count["n"][by_count["of"].cumsum() <= COMMON]
+        kept = common.filter(F.col("n") >= int(fit.min())).toPandas() if len(fit) else pd.DataFrame({"shingle": [], "n": []})
+        shingles = kept["shingle"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(shingles)
+        return Rarity(bits, buckets, shingles[order], kept["n"].to_numpy(np.int64)[order])
+
+    def rank(self, of: np.ndarray) -> np.ndarray:
+        out = self.buckets[(of >> np.uint64(64 - self.bits)).astype(np.int64)]
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, of), len(self.common) - 1)
+            out = out + np.where(self.common[at] == of, self.counts[at] + int(self.buckets.max()), 0)
+        return out
+
+
 def _longest(n: float, shared: float) -> int:
     """How many of n elements in a common order hold the first of at least ``shared`` common ones, and at least one."""
     # The small number keeps rounding from making a prefix too short.
@@ -450,13 +542,13 @@ def _longest(n: float, shared: float) -> int:
 _MET = ["centre", "shingle", "row", "label", "size", "apart", "over", "unit", "near", "place", "inner", "outer"]
 
 
-def _prefixes(texts: DataFrame, similarity: float, shingle: int, bits: int, seen: Broadcast) -> DataFrame:
-    """(row, size, shingle, place, inner): the rarest shingles of every set, rarest as far as buckets tell.
+def _prefixes(texts: DataFrame, similarity: float, shingle: int, rarity: Broadcast) -> DataFrame:
+    """(row, size, shingle, place, inner): the rarest shingles of every set, rarest as far as ``rarity`` tells.
 
     Any order common to all sets will do. Of two sets at ``similarity`` the larger one has, among its first
     size - similarity * size + 1 shingles, one of the smaller one's first size - 2 * similarity /
     (1 + similarity) * size + 1, which are ``inner``. So a passage that many share is met only where it
-    makes the texts that share it copies, or nearly. ``seen`` has the counts of all buckets.
+    makes the texts that share it copies, or nearly.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,7 +560,7 @@ def _prefixes(texts: DataFrame, similarity: float, shingle: int, bits: int, seen
                 if not n:
                     continue
                 outer = _longest(n, similarity * n)
-                order = np.lexsort((own, seen.value[(own >> np.uint64(64 - bits)).astype(np.int64)]))[:outer]
+                order = np.lexsort((own, rarity.value.rank(own)))[:outer]
                 found.append(own[order])
                 rows.append(np.full(len(order), row, np.int64))
                 sizes.append(np.full(len(order), n, np.int64))
@@ -489,10 +581,10 @@ def _centres(crowded: DataFrame) -> DataFrame:
     weight = stage(crowded.groupBy("row").agg(F.sum("n").alias("weight")), "near-weight")
     heads = crowded.join(weight, "row").groupBy("centre", "shingle").agg(F.max(F.struct("weight", (-F.col("row")).alias("row"))).alias("head"))
     heads = stage(heads.select("centre", "shingle", (-F.col("head.row")).alias("head")), "near-heads")
-    return stage(crowded.join(heads, ["centre", "shingle"]).select(F.col("head").alias("centre"), "row", "label").distinct(), "near-centres")
+    return stage(crowded.join(heads.hint("merge"), ["centre", "shingle"]).select(F.col("head").alias("centre"), "row", "label").distinct(), "near-centres")
 
 
-def _differences(members: DataFrame, texts: DataFrame, similarity: float, shingle: int, bits: int, seen: Broadcast) -> DataFrame:
+def _differences(members: DataFrame, texts: DataFrame, similarity: float, shingle: int, rarity: Broadcast) -> DataFrame:
     """(centre, row, label, size, apart, over, unit, near, linked, inner, outer, shingles) of (centre, row, label).
 
     Two sets x and e are at ``similarity`` where they differ in at most slack * (|x| + |e|) shingles. With X and E
@@ -504,15 +596,13 @@ def _differences(members: DataFrame, texts: DataFrame, similarity: float, shingl
     """
     slack = (1 - similarity) / (1 + similarity)
     own = members.filter("row = centre").select("row", F.col("label").alias("of"))
+    texts = texts.filter(_in(texts.sparkSession.sparkContext.broadcast(Rows.of(members.select("row"))), F.col("row")))
     middle = stage(texts.join(own, "row").select(F.col("row").alias("centre"), "of", F.col("text").alias("whole")), "near-middle")
     # Texts travel, not their shingles, which take more room and cannot be packed.
-    both = texts.join(members, "row").join(middle, "centre").select("centre", "row", "label", (F.col("label") == F.col("of")).alias("same"), "text", "whole")
-
-    def rank(of: np.ndarray) -> np.ndarray:
-        return seen.value[(of >> np.uint64(64 - bits)).astype(np.int64)]
+    both = texts.join(members, "row").join(middle.hint("merge"), "centre").select("centre", "row", "label", (F.col("label") == F.col("of")).alias("same"), "text", "whole")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, y = None, None
+        centre, y, rank = None, None, rarity.value.rank
         for batch in chain.from_iterable(map(slices, batches)):
             made, shown = {c: [] for c in ("size", "apart", "over", "unit", "near", "linked", "inner", "outer")}, []
             for i in range(batch.num_rows):
@@ -543,10 +633,10 @@ def _meeting(met: DataFrame, similarity: float) -> DataFrame:
 
     The first shingle that two rows share stands so early in both that enough may follow: place + (over + over) / 2
     <= apart. So its place bounds how far over a partner may be, and a row is put only where such partners are, by
-    half units.
+    two units: narrower bands would repeat the rows more often than they part them.
     """
     slack = (1 - similarity) / (1 + similarity)
-    band = lambda over: F.floor(2 * over / F.col("unit"))
+    band = lambda over: F.floor(over / (2 * F.col("unit")))
     most = 2 * (F.col("apart") - F.col("place")) - F.col("over") + 1e-6
     x = met.filter("inner").withColumn("low", F.when(F.col("near"), F.col("unit")).otherwise(F.col("over")) - 1e-6)
     y = met.filter("outer").withColumn("low", F.col("over") - 2 * slack / similarity * F.col("size") - 1e-6)
@@ -558,15 +648,17 @@ def _meeting(met: DataFrame, similarity: float) -> DataFrame:
     shared = (F.col("x_over") + F.col("y_over")) / 2 - 1e-6
     early = (F.col("x_place") + shared <= F.col("x_apart")) & (F.col("y_place") + shared <= F.col("y_apart"))
     near = (F.col("x_label") != F.col("y_label")) & (F.col("x_near") | before) & sizes & early
-    return x.join(y, ["centre", "shingle", "p", "q"]).filter(near).select(F.col("x_row").alias("a"), F.col("y_row").alias("b"))
+    # Exploded, so never broadcast: Spark takes either side for as large as the table before.
+    return x.join(y.hint("merge"), ["centre", "shingle", "p", "q"]).filter(near).select(F.col("x_row").alias("a"), F.col("y_row").alias("b"))
 
 
 def _met(rows: DataFrame, *by: str) -> DataFrame:
     """The rows, with their number n, that meet others in several groups: one group only says nothing new, however large."""
-    outer = F.max("outer") if "outer" in rows.columns else F.lit(True)
-    open_ = rows.groupBy(*by).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("inner").alias("x"), outer.alias("y"), F.count("*").alias("n"))
-    open_ = stage(open_.filter("low <> high and x and y").select(*by, "n"), "near-open")
-    return stage(rows.join(open_, list(by)), "near-left")
+    of = Window.partitionBy(*by)
+    outer = F.max("outer").over(of) if "outer" in rows.columns else F.lit(True)
+    open_ = {"_low": F.min("label").over(of), "_high": F.max("label").over(of), "_x": F.max("inner").over(of), "_y": outer, "n": F.count("*").over(of)}
+    met = rows.withColumns(open_).filter("_low <> _high and _x and _y").drop("_low", "_high", "_x", "_y")
+    return stage(met, "near-left")
 
 
 def prefix_pairs(texts: DataFrame, labels: DataFrame, similarity: float, shingle: int, bits: int = SEEN_BITS, crowd: int | None = None) -> DataFrame:
@@ -580,21 +672,19 @@ def prefix_pairs(texts: DataFrame, labels: DataFrame, similarity: float, shingle
     to it meet others where they differ from it in the same way, which in a family of copies few do.
     """
     slack = (1 - similarity) / (1 + similarity)
-    seen = texts.sparkSession.sparkContext.broadcast(_bucket_sums(_seen(texts, shingle, bits), bits))
-    first = _prefixes(texts, similarity, shingle, bits, seen).join(labels.withColumnRenamed("node", "row"), "row", "left")
-    first, first_at = stage_at(first.withColumn("label", F.coalesce("label", "row")), "near-prefixes")
-    met = _met(first, "shingle")
-    discard(texts.sparkSession, first_at)
+    rarity = texts.sparkSession.sparkContext.broadcast(Rarity.of(texts, shingle, bits))
+    first = _prefixes(texts, similarity, shingle, rarity).join(labels.withColumnRenamed("node", "row"), "row", "left")
+    met = _met(first.withColumn("label", F.coalesce("label", "row")), "shingle")
     # Seen from no text, all of a set is a difference. Few meet here, so they are not dealt by how far over they are.
     size = F.col("size")
     given = {"centre": F.lit(-1).cast("long"), "apart": size, "over": (1 - slack) * size, "unit": F.lit(float("inf")), "near": F.lit(False), "outer": F.lit(True)}
     met = met.select(*[given.get(c, F.col(c)).alias(c) for c in _MET], "n")
     few = _meeting(met if crowd is None else met.filter(F.col("n") <= crowd), similarity)
     if crowd is None:
-        seen.destroy()
+        rarity.destroy()
         return few
-    apart = stage(_differences(_centres(met.filter(F.col("n") > crowd)), texts, similarity, shingle, bits, seen), "near-apart")
-    seen.destroy()
+    apart = stage(_differences(_centres(met.filter(F.col("n") > crowd)), texts, similarity, shingle, rarity), "near-apart")
+    rarity.destroy()
     rows = apart.select("*", F.posexplode("shingles").alias("place", "shingle"))
     rows = rows.withColumn("inner", F.col("place") < F.col("inner")).withColumn("outer", F.col("place") < F.col("outer"))
     linked = apart.filter("linked and row <> centre").select(F.col("centre").alias("a"), F.col("row").alias("b"))
@@ -628,6 +718,5 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "
     named = stage(grouped.join(ids, "row"), "near-grouped")
     first = named.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first"))
     first = stage(first.select("label", F.col("first.row").alias("stays")), "near-first")
-    # The copies, not what stays: they are fewer, and few enough need no shuffle of the texts.
-    copies = stage(named.join(first, "label").filter("row <> stays").select(F.col("row").alias(key)), "near-copies")
-    return numbered.join(copies, key, "left_anti").drop(key)
+    copies = Rows.of(named.join(first, "label").filter("row <> stays").select("row"))
+    return numbered.filter(~_in(docs.sparkSession.sparkContext.broadcast(copies), F.col(key))).drop(key)
