@@ -326,6 +326,8 @@ OFTEN = 2
 COMMON = 1 << 19
 #: Texts that are paired where they meet in a shingle; larger crowds are seen from one of their texts.
 CROWD = 8
+#: Times as many of a crowd are paired if they are not linked to the text it is seen from.
+LOOSE = 8
 _ODD = (np.random.default_rng(11).integers(0, 1 << 63, SLOTS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -573,19 +575,19 @@ def _prefixes(texts: DataFrame, similarity: float, shingle: int, rarity: Broadca
     return texts.mapInArrow(run, "row bigint, size bigint, shingle bigint, place int, inner boolean")
 
 
-def _centres(crowded: DataFrame) -> DataFrame:
-    """(centre, row, label): each row of a crowd with the one of them that meets the most others.
+def _heads(crowded: DataFrame) -> DataFrame:
+    """(shingle, head): of each crowd the row that meets the most others.
 
     In a family of copies that is the text they were made from, for nearly all shingles alike.
     """
     weight = stage(crowded.groupBy("row").agg(F.sum("n").alias("weight")), "near-weight")
-    heads = crowded.join(weight, "row").groupBy("centre", "shingle").agg(F.max(F.struct("weight", (-F.col("row")).alias("row"))).alias("head"))
-    heads = stage(heads.select("centre", "shingle", (-F.col("head.row")).alias("head")), "near-heads")
-    return stage(crowded.join(heads.hint("merge"), ["centre", "shingle"]).select(F.col("head").alias("centre"), "row", "label").distinct(), "near-centres")
+    heads = crowded.join(weight, "row").groupBy("shingle").agg(F.max(F.struct("weight", (-F.col("row")).alias("row"))).alias("head"))
+    return stage(heads.select("shingle", (-F.col("head.row")).alias("head")), "near-heads")
 
 
-def _differences(members: DataFrame, texts: DataFrame, similarity: float, shingle: int, rarity: Broadcast) -> DataFrame:
+def _differences(members: DataFrame, centres: DataFrame, texts: DataFrame, similarity: float, shingle: int, rarity: Broadcast, linked_only: bool) -> DataFrame:
     """(centre, row, label, size, apart, over, unit, near, linked, inner, outer, shingles) of (centre, row, label).
+    ``centres`` has (row, of) with their labels.
 
     Two sets x and e are at ``similarity`` where they differ in at most slack * (|x| + |e|) shingles. With X and E
     for what tells them from the centre they share at least (over(x) + over(e)) / 2 of X and E, where over(x) is
@@ -593,11 +595,15 @@ def _differences(members: DataFrame, texts: DataFrame, similarity: float, shingl
     not, and over(e) exceeds slack * |centre|. X then has one of E among its first ``inner`` shingles, in an order
     common to the centre's rows, and E that one among its first ``outer``: what a text has beside its centre
     comes first, as its copies lack the same passages sooner than they add them.
+
+    With ``linked_only`` the shingles of pairs that hold a row linked to the centre are told, no others. The distance of
+    two sets, what they do not share of all they have, obeys the triangle inequality: a row more than twice as far from
+    the centre as a linked one may be is linked to none of these, and has no shingles.
     """
     slack = (1 - similarity) / (1 + similarity)
-    own = members.filter("row = centre").select("row", F.col("label").alias("of"))
-    texts = texts.filter(_in(texts.sparkSession.sparkContext.broadcast(Rows.of(members.select("row"))), F.col("row")))
-    middle = stage(texts.join(own, "row").select(F.col("row").alias("centre"), "of", F.col("text").alias("whole")), "near-middle")
+    wanted = Rows.of(members.select("row").union(centres.select("row")))
+    texts = texts.filter(_in(texts.sparkSession.sparkContext.broadcast(wanted), F.col("row")))
+    middle = stage(texts.join(centres, "row").select(F.col("row").alias("centre"), "of", F.col("text").alias("whole")), "near-middle")
     # Texts travel, not their shingles, which take more room and cannot be packed.
     both = texts.join(members, "row").join(middle.hint("merge"), "centre").select("centre", "row", "label", (F.col("label") == F.col("of")).alias("same"), "text", "whole")
 
@@ -617,6 +623,9 @@ def _differences(members: DataFrame, texts: DataFrame, similarity: float, shingl
                 order = np.concatenate((more[np.lexsort((more, rank(more)))], less[np.lexsort((less, -rank(less)))]))
                 inner = _longest(apart, (over + slack * len(y)) / 2 if near else over)
                 outer = 0 if near else _longest(apart, over - slack * size / similarity)
+                if linked_only:
+                    inner = inner if linked else 0
+                    outer = outer if common >= (2 * similarity - 1) * (size + len(y) - common) - 1e-6 else 0
                 shown.append(order[: max(0, inner, outer)].view(np.int64))
                 for name, value in zip(made, (size, apart, over, slack * max(1, len(y)), near, linked, inner, outer)):
                     made[name].append(value)
@@ -668,8 +677,9 @@ def prefix_pairs(texts: DataFrame, labels: DataFrame, similarity: float, shingle
     changes which shingles are taken for rare, not what is left after the exact comparison.
 
     With ``crowd``, rows linked to one text are paired with it only, so what is left out follows from other links:
-    up to ``crowd`` rows that meet in a shingle are paired; more are seen from one of them, and those not linked
-    to it meet others where they differ from it in the same way, which in a family of copies few do.
+    up to ``crowd`` rows that meet in a shingle are paired; more are seen from one of them. Rows not linked to it but
+    near enough meet linked ones where they differ from it in the same way, which in a family of copies few do. Those
+    not linked to it are paired with each other up to ``LOOSE`` crowds, and beyond that meet by such differences, too.
     """
     slack = (1 - similarity) / (1 + similarity)
     rarity = texts.sparkSession.sparkContext.broadcast(Rarity.of(texts, shingle, bits))
@@ -683,12 +693,29 @@ def prefix_pairs(texts: DataFrame, labels: DataFrame, similarity: float, shingle
     if crowd is None:
         rarity.destroy()
         return few
-    apart = stage(_differences(_centres(met.filter(F.col("n") > crowd)), texts, similarity, shingle, rarity), "near-apart")
-    rarity.destroy()
-    rows = apart.select("*", F.posexplode("shingles").alias("place", "shingle"))
-    rows = rows.withColumn("inner", F.col("place") < F.col("inner")).withColumn("outer", F.col("place") < F.col("outer"))
+    heads = _heads(met.filter(F.col("n") > crowd))
+    crowded = stage(met.filter(F.col("n") > crowd).drop("n").join(heads.hint("merge"), "shingle"), "near-crowded")
+    members = stage(crowded.select(F.col("head").alias("centre"), "row", "label").distinct(), "near-centres")
+    centres = members.filter("row = centre").select("row", F.col("label").alias("of"))
+
+    def told_apart(members: DataFrame, linked_only: bool) -> tuple[DataFrame, DataFrame]:
+        """The differences from the centres, and the pairs they name."""
+        apart = stage(_differences(members, centres, texts, similarity, shingle, rarity, linked_only), "near-apart")
+        rows = apart.select("*", F.posexplode("shingles").alias("place", "shingle"))
+        rows = rows.withColumn("inner", F.col("place") < F.col("inner")).withColumn("outer", F.col("place") < F.col("outer"))
+        return apart, _meeting(_met(rows.select(*_MET), "centre", "shingle"), similarity)
+
+    apart, found = told_apart(members, True)
     linked = apart.filter("linked and row <> centre").select(F.col("centre").alias("a"), F.col("row").alias("b"))
-    return few.unionByName(_meeting(_met(rows.select(*_MET), "centre", "shingle"), similarity)).unionByName(linked)
+    # Rows not linked to the head of a crowd meet each other as before, unless they are a crowd of their own.
+    loose = apart.filter("not linked").select(F.col("centre").alias("head"), "row")
+    loose = _met(crowded.join(loose.hint("merge"), ["head", "row"]), "shingle")
+    found = found.unionByName(_meeting(loose.filter(F.col("n") <= LOOSE * crowd), similarity))
+    many = stage(loose.filter(F.col("n") > LOOSE * crowd).select(F.col("head").alias("centre"), "row", "label").distinct(), "near-centres")
+    if not many.isEmpty():
+        found = found.unionByName(told_apart(many, False)[1])
+    rarity.destroy()
+    return few.unionByName(found).unionByName(linked)
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
